@@ -1,0 +1,5 @@
+"""Empty on purpose: every input of this library is a set of whole files.
+
+Best-record selection needs all of a student's records, so nothing here is
+offered on an unbounded stream.
+"""

@@ -1,0 +1,43 @@
+"""Run a registered query and its SQL side by side."""
+
+from __future__ import annotations
+
+import math
+from pathlib import Path
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
+
+
+def connect(sf_dir: str):
+    con = duckdb.connect()
+    for t in TABLES:
+        if Path(f"{sf_dir}/{t}.parquet").exists():
+            con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
+    return con
+
+
+def _plain(value):
+    if isinstance(value, float) and math.isnan(value):
+        return "nan"
+    return value
+
+
+def canonical(columns, rows):
+    """Columns by name, rows in any order; values compared exactly."""
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    plain = [tuple(_plain(row[i]) for i in order) for row in rows]
+    return [columns[i] for i in order], sorted(plain, key=lambda r: tuple((v is None, str(type(v)), v) for v in r))
+
+
+def spark_rows(df):
+    return canonical(df.columns, [tuple(r) for r in df.collect()])
+
+
+def duck_rows(con, sql):
+    cursor = con.execute(sql)
+    return canonical([d[0] for d in cursor.description], cursor.fetchall())
