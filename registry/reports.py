@@ -8,6 +8,7 @@ from tallymark.functions.bands import fixed_standard
 from tallymark.functions.flags import met_exit, met_growth, valid_exit, valid_growth
 from tallymark.operators.joins import keyed_join
 from tallymark.operators.records import best_record
+from tallymark.operators.settle import settle
 from tallymark.operators.subgroups import (
     ALL, COMBINED as COMBINED_LABEL, DISABILITY, DISADVANTAGED, LEARNERS, subgroup_rates,
 )
@@ -62,7 +63,7 @@ def indicator_rates(spark, sf_dir):
 
 def levels_assembled(spark, sf_dir):
     """Three level tables made apart, then stacked with missing keys 0."""
-    people = students(spark, sf_dir)
+    people = settle(students(spark, sf_dir))
     made = {
         level: growth_rates(people, {level: keys}, subgroups=report_subgroups(COMBINED)).drop("level")
         for level, keys in LEVELS.items()

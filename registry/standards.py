@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tallymark.functions.missing import name
 from tallymark.operators.carry import carry_forward, int_steps
 from tallymark.operators.quantiles import exact_quantiles
-from tallymark.plans.growth import attach_standard, growth_standards, student_growth, student_table
+from tallymark.plans.growth import (
+    attach_standard, growth_standards, indicator_growth, scores_by_year, student_table,
+)
 
 from .views import (
     ASSESSMENT_SQL, STUDENT_SQL, YEAR_MAX_SQL, assessment, band_sql, quantile_sql, student, table,
@@ -23,12 +25,16 @@ def rounded(df, columns):
 _QUANTILES = ["median_score", "score_60", "score_70"]
 
 
-def _standards(spark, sf_dir, same_grade=True, method="slices", all_missing="inf"):
-    return growth_standards(
-        assessment(spark, sf_dir), 2001, 2000, same_grade, method=method, all_missing=all_missing, **COLUMNS
+def _scores(spark, sf_dir, all_missing="inf"):
+    return scores_by_year(
+        assessment(spark, sf_dir), [2001, 2000], grade="grade", all_missing=all_missing, **COLUMNS
     )
 
 
+def _standards(spark, sf_dir, same_grade=True, method="slices", all_missing="inf"):
+    return growth_standards(_scores(spark, sf_dir, all_missing), 2001, 2000, same_grade, method=method)
+
+
 def growth_standards_query(spark, sf_dir):
     return rounded(_standards(spark, sf_dir), _QUANTILES)
 
@@ -49,7 +55,7 @@ def price_quantiles(spark, sf_dir):
     """Quantiles of a column with nearly as many values as rows."""
     lines = table(spark, sf_dir, "lineitem")
     probs = {"q10": 0.1, "q50": 0.5, "q99": 0.99}
-    return rounded(exact_quantiles(lines, ["l_returnflag"], "l_extendedprice", probs), probs)
+    return rounded(exact_quantiles(lines, ["l_returnflag"], "l_extendedprice", probs, task_values=1000), probs)
 
 
 def attach_standard_query(spark, sf_dir):
@@ -60,9 +66,8 @@ def attach_standard_query(spark, sf_dir):
 
 
 def _growth(spark, sf_dir, all_missing="inf", compare_decimals=None):
-    return student_growth(
-        assessment(spark, sf_dir), _standards(spark, sf_dir, all_missing=all_missing), 2001,
-        all_missing=all_missing, compare_decimals=compare_decimals, **COLUMNS,
+    return indicator_growth(
+        assessment(spark, sf_dir), 2001, all_missing=all_missing, compare_decimals=compare_decimals, **COLUMNS
     )
 
 
@@ -102,8 +107,7 @@ def carry_forward_query(spark, sf_dir):
 def carry_forward_records(spark, sf_dir):
     """Each record's last known score in school, student and record order."""
     records = assessment(spark, sf_dir).select("school", "id", "k1", "k2", "k3", "k4", "pl_comp")
-    path = [F.shiftright("school", 10), F.col("school"), F.shiftright("id", 10), F.col("id")]
-    return carry_forward(records, "pl_comp", ["school", "id", "k1", "k2", "k3", "k4"], path, out="carried")
+    return carry_forward(records, "pl_comp", ["school", "id", "k1", "k2", "k3", "k4"], out="carried")
 
 
 QUERIES = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.missing import name
+from .settle import settle
 
 
 def int_steps(column: Column, step_bits: int = 10, bits: int = 40) -> list[Column]:
@@ -21,9 +22,10 @@ def carry_forward(
     df: DataFrame,
     column: str,
     order: list[str],
-    path: list[Column],
+    path: list[Column] | None = None,
     leading=None,
     out: str | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Fill missing values of ``column`` with the last known one before them.
 
@@ -31,15 +33,25 @@ def carry_forward(
     the first known value get ``leading``. The result goes to ``out`` (default:
     ``column``).
 
-    ``path`` cuts the order into buckets: expressions that rise with the order,
-    coarse to fine, such as its first columns. Each bucket is filled alone; the
-    value a bucket starts with is found step by step among the buckets under
-    the same parent, so no task sees more than one finest bucket of rows or the
-    children of one bucket. Pass a longer path if one bucket holds many rows.
+    The order is cut into buckets, each filled alone; the value a bucket starts
+    with is found among the buckets. ``path`` cuts by expressions that rise
+    with the order, coarse to fine, such as its first columns; no task then
+    sees more than the rows of one finest bucket or the children of another.
+    Where one value of them may hold many rows, leave ``path`` out: the rows
+    are sorted into ``buckets`` ranges of even size (default: the number of
+    shuffle partitions) and written with their range, so that a rerun task
+    finds the same ranges.
     """
-    steps = [f"_step{i}" for i in range(len(path))]
-    rows = df.withColumns({s: p for s, p in zip(steps, path)})
     known = name(column)
+    if path is None:
+        spark = df.sparkSession
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = df.repartitionByRange(n, *[name(c).asc_nulls_last() for c in order])
+        steps = ["_step0"]
+        rows = settle(ranged.withColumn(steps[0], F.spark_partition_id()))
+    else:
+        steps = [f"_step{i}" for i in range(len(path))]
+        rows = df.withColumns({s: p for s, p in zip(steps, path)})
 
     # Last known value per bucket, from the finest buckets up.
     last = {len(steps): _last_known(rows, steps, known, [name(c) for c in order])}

@@ -1,8 +1,9 @@
 """Exact quantiles by linear interpolation, for groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task's memory. Here
-equal values are counted first, the distinct values of a group are cut into
-slices, and only the slices holding a wanted rank are sorted.
+equal values are counted first. While a group still has more values than one
+task should rank, it is cut into slices, and only those holding a wanted rank
+are kept.
 """
 
 from __future__ import annotations
@@ -13,80 +14,109 @@ from operator import or_
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.missing import name, nan_to_null
+from .settle import settle
 
-SLICES = 64
+TASK_VALUES = 1_000_000  # distinct values that one task may rank
+MAX_GROUPS = 1_000
+SLICES = 256
 
 
 def exact_quantiles(
-    df: DataFrame, groups: list[str], value: str, probs: dict[str, float], slices: int = SLICES
+    df: DataFrame,
+    groups: list[str],
+    value: str,
+    probs: dict[str, float],
+    task_values: int = TASK_VALUES,
 ) -> DataFrame:
-    """One row per group: ``n`` rows (missing values too) and a column per quantile.
+    """One row per group: a column per quantile and ``n``, its rows.
 
     Quantile p of m values lies at place 1 + p * (m - 1), between the two nearest
-    values. Null and NaN values are left out of it. ``groups`` must be few (a
-    fixed list of labels); a group may hold any share of the rows.
+    values. Null and NaN values count in ``n`` only. A group may hold any share
+    of the rows; there may be at most ``MAX_GROUPS`` groups.
     """
     keys = list(map(name, groups))
     x = nan_to_null(name(value).cast("double"))
-    counts = df.groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n"))
-
-    # Slice borders come from a sketch; they only have to be roughly even. The
-    # always-true test keeps `_n` in the plan, so that the shuffle is shared.
-    distinct = F.when(F.col("_n") > 0, F.col("_x"))
-    borders = counts.groupBy(*keys).agg(
-        F.percentile_approx(distinct, [i / slices for i in range(1, slices)], 4 * slices).alias("_borders")
-    )
-    below = F.size(F.filter("_borders", lambda border: border < F.col("_x")))
-    sliced = _with_group(counts, borders, groups).withColumn(
-        "_slice", F.when(F.col("_x").isNull(), F.lit(-1)).otherwise(below)
-    ).drop("_borders")
-
-    # At most slices + 1 rows per group from here to the choice of slices.
-    sizes = sliced.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_size"))
-    n = sizes.groupBy(*keys).agg(F.sum("_size").alias("n"))
-    by_group = Window.partitionBy(*keys)
-    running = by_group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = (
-        sizes.where("_slice >= 0")
-        .withColumn("_m", F.sum("_size").over(by_group))
-        .withColumn("_before", F.sum("_size").over(running) - F.col("_size"))
+    counts = settle(df.groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n")))
+    values = F.when(F.col("_x").isNotNull(), F.col("_n"))
+    totals = settle(counts.groupBy(*keys).agg(F.sum(values).alias("_m"), F.sum("_n").alias("n")))
+    if totals.count() > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups")
+
+    known = _with_groups(counts.where("_x is not null"), totals.drop("n"), groups)
+    known = known.withColumns({"_slice": F.lit(0).cast("bigint"), "_before": F.lit(0).cast("bigint")})
+    largest = _largest(known, groups)
+    while largest > task_values:
+        known = settle(_wanted_slices(known, groups, list(probs.values())))
+        before, largest = largest, _largest(known, groups)
+        if largest == before:
+            break
+
+    running = Window.partitionBy(*keys, "_slice").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ends = known.withColumn("_end", F.col("_before") + F.sum("_n").over(running))
+    ranks = [rank for p in probs.values() for rank in _ranks(p)]
+    found = ends.groupBy(*keys).agg(
+        F.max("_m").alias("_m"),
+        *[F.min(F.when(F.col("_end") > rank, F.col("_x"))).alias(f"_at{i}") for i, rank in enumerate(ranks)],
     )
-    places = [1 + p * (F.col("_m") - 1) for p in probs.values()]
-    ranks = [(F.floor(place) - 1, F.ceil(place) - 1) for place in places]
-
-    def holds(rank, start, length):
-        return (rank >= start) & (rank < start + length)
-
-    wanted = reduce(or_, [holds(rank, F.col("_before"), F.col("_size")) for pair in ranks for rank in pair])
-    chosen = _with_group(sliced, sizes.where(wanted).drop("_size"), [*groups, "_slice"], "inner")
-
-    in_slice = Window.partitionBy(*keys, "_slice").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = chosen.withColumn("_start", F.col("_before") + F.sum("_n").over(in_slice) - F.col("_n"))
-    ends = []
-    for i, (low, high) in enumerate(ranks):
-        ends.append(F.max(F.when(holds(low, F.col("_start"), F.col("_n")), F.col("_x"))).alias(f"_low{i}"))
-        ends.append(F.max(F.when(holds(high, F.col("_start"), F.col("_n")), F.col("_x"))).alias(f"_high{i}"))
-    found = placed.groupBy(*keys).agg(F.max("_m").alias("_m"), *ends)
-
-    def between(i, place):
-        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-        part = place - F.floor(place)
+
+    def between(i, p):
+        low, high = F.col(f"_at{2 * i}"), F.col(f"_at{2 * i + 1}")
+        part = _place(p) - F.floor(_place(p))
         return F.when(low == high, low).otherwise((1 - part) * low + part * high)
 
-    quantiles = found.select(
-        *keys, *[between(i, place).alias(out) for i, (out, place) in enumerate(zip(probs, places))]
+    quantiles = found.select(*keys, *[between(i, p).alias(out) for i, (out, p) in enumerate(probs.items())])
+    return _with_groups(totals.drop("_m"), quantiles, groups, "left").select(*keys, *map(name, probs), "n")
+
+
+def _place(p: float):
+    return 1 + p * (F.col("_m") - 1)
+
+
+def _ranks(p: float):
+    """The two ranks, from 0, that a quantile lies between."""
+    return F.floor(_place(p)) - 1, F.ceil(_place(p)) - 1
+
+
+def _largest(known: DataFrame, groups: list[str]) -> int:
+    return known.groupBy(*map(name, groups), "_slice").count().agg(F.max("count")).first()[0] or 0
+
+
+def _wanted_slices(known: DataFrame, groups: list[str], probs: list[float]) -> DataFrame:
+    """Cut every slice of a group further; keep the parts that hold a wanted rank."""
+    slice_keys = [*groups, "_slice"]
+    # The borders come from a sketch; they only have to be roughly even.
+    cuts = [i / SLICES for i in range(1, SLICES)]
+    sketch = known.groupBy(*map(name, slice_keys)).agg(F.percentile_approx("_x", cuts, 4 * SLICES).alias("_borders"))
+    part = F.size(F.filter("_borders", lambda border: border < F.col("_x"))).cast("bigint")
+    cut = _with_groups(known, sketch, slice_keys).withColumn("_part", part).drop("_borders")
+
+    running = Window.partitionBy(*map(name, slice_keys)).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = (
+        cut.groupBy(*map(name, slice_keys), "_part")
+        .agg(F.sum("_n").alias("_size"), F.max("_before").alias("_before"), F.max("_m").alias("_m"))
+        .withColumn("_start", F.col("_before") + F.sum("_size").over(running) - F.col("_size"))
+    )
+    start, end = F.col("_start"), F.col("_start") + F.col("_size")
+    holds = [(rank >= start) & (rank < end) for p in probs for rank in _ranks(p)]
+    wanted = sizes.where(reduce(or_, holds)).drop("_size", "_before", "_m")
+    kept = _with_groups(cut, wanted, [*slice_keys, "_part"])
+    return kept.withColumns({"_slice": F.col("_slice") * SLICES + F.col("_part"), "_before": F.col("_start")}).drop(
+        "_part", "_start"
     )
-    return _with_group(n, quantiles, groups).select(*keys, *map(name, probs), "n")
 
 
-def _with_group(df: DataFrame, per_group: DataFrame, groups: list[str], how: str = "left") -> DataFrame:
-    """Attach a table with one row per (few) group; missing groups match."""
+def _with_groups(df: DataFrame, per_group: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
+    """Attach a table with a few rows per group; missing groups match.
+
+    The table is broadcast: at most MAX_GROUPS groups, each with at most two
+    kept slices per quantile.
+    """
     renamed = per_group.select(
         *[name(g).alias(f"_g{i}") for i, g in enumerate(groups)],
         *[name(c) for c in per_group.columns if c not in groups],
     )
     same = reduce(lambda a, b: a & b, [name(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)])
-    return df.join(renamed, same, how).drop(*[f"_g{i}" for i in range(len(groups))])
+    return df.join(F.broadcast(renamed), same, how).drop(*[f"_g{i}" for i in range(len(groups))])
 
 
 def percentile_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.bands import SCORE_LABELS, grade_band, score_band
+from ..functions.bands import SCORE_LABELS, score_band
 from ..functions.flags import at_least
 from ..functions.missing import name, nan_to_null
 from ..operators.joins import keyed_join
 from ..operators.quantiles import exact_quantiles, percentile_quantiles
 from ..operators.records import extreme, student_year_max
+from ..operators.settle import settle
 
 # The quantiles of growth reported per band.
 STANDARD_PROBS = {"median_score": 0.5, "score_60": 0.6, "score_70": 0.7}
@@ -45,45 +46,37 @@ def scores_by_year(
     return df.where(name(year).isin(years)).groupBy(name(id)).agg(*aggregates)
 
 
-def year_pairs(
-    df: DataFrame, current: int, prior: int, same_grade: bool = True, **columns
-) -> DataFrame:
+def growth_pairs(scores: DataFrame, current: int, prior: int, same_grade: bool = True) -> DataFrame:
     """Prior band and growth per student with a prior-year record.
 
     With ``same_grade`` a student whose grade changed has no growth (but still
     counts), because the published standards pair the years by student and
     grade; without it the years are paired by student alone.
     """
-    wide = scores_by_year(df, [current, prior], **{"grade": "grade" if same_grade else None, **columns})
-    score = F.col(f"score_{current}")
+    now, before = F.col(f"score_{current}"), F.col(f"score_{prior}")
     if same_grade:
-        score = F.when(F.col(f"grade_{current}").eqNullSafe(F.col(f"grade_{prior}")), score)
-    pairs = wide.where(F.col(f"n_{prior}") > 0).select(
-        score_band(F.col(f"score_{prior}")).alias("score_band"),
-        nan_to_null(score - F.col(f"score_{prior}")).alias("growth"),
-        *([grade_band(F.col(f"grade_{prior}")).alias("grade_band")] if same_grade else []),
+        now = F.when(F.col(f"grade_{current}").eqNullSafe(F.col(f"grade_{prior}")), now)
+    return scores.where(F.col(f"n_{prior}") > 0).select(
+        score_band(before).alias("score_band"), nan_to_null(now - before).alias("growth")
     )
-    return pairs
 
 
 def growth_standards(
-    df: DataFrame,
+    scores: DataFrame,
     current: int,
     prior: int,
     same_grade: bool = True,
     probs: dict[str, float] = STANDARD_PROBS,
-    by: list[str] = ("score_band",),
     method: str = "slices",
-    **columns,
 ) -> DataFrame:
     """Quantiles of growth, and the number of students, per prior-score band.
 
-    ``method="slices"`` holds for any scores; ``"percentile"`` is one
-    aggregation for scores on a grid.
+    ``scores`` comes from ``scores_by_year``. ``method="slices"`` holds for any
+    scores; ``"percentile"`` is one aggregation for scores on a grid.
     """
     quantiles = {"slices": exact_quantiles, "percentile": percentile_quantiles}[method]
-    pairs = year_pairs(df, current, prior, same_grade, **columns)
-    return quantiles(pairs.where(F.col("score_band").isNotNull()), list(by), "growth", probs)
+    pairs = growth_pairs(scores, current, prior, same_grade)
+    return quantiles(pairs.where(F.col("score_band").isNotNull()), ["score_band"], "growth", probs)
 
 
 def with_standard(df: DataFrame, standards: DataFrame, score: str, out: str, quantile: str = "score_60") -> DataFrame:
@@ -110,26 +103,22 @@ def attach_standard(
 
 
 def student_growth(
-    df: DataFrame,
+    scores: DataFrame,
     standards: DataFrame,
     current: int,
     id: str = "id",
-    year: str = "year",
-    score: str = "score",
     quantile: str = "score_60",
-    all_missing: str = "inf",
     compare_decimals: int | None = None,
 ) -> DataFrame:
     """Scores of three years side by side, growth, and whether it met standard.
 
-    One row per student with a current-year record. Growth over one year is
-    measured against the prior year's standard, over two years against the sum
-    of both earlier standards. The numerator is met over one or two years, the
-    denominator is a known one-year result.
+    One row per student with a current-year record, from ``scores_by_year``.
+    Growth over one year is measured against the prior year's standard, over
+    two years against the sum of both earlier standards. The numerator is met
+    over one or two years, the denominator is a known one-year result.
     """
     years = {"current": current, "prior": current - 1, "two_back": current - 2}
-    wide = scores_by_year(df, list(years.values()), id, year, score, all_missing=all_missing)
-    wide = wide.where(F.col(f"n_{current}") > 0).select(
+    wide = scores.where(F.col(f"n_{current}") > 0).select(
         name(id), *[F.col(f"score_{y}").alias(f"score_{when}") for when, y in years.items()]
     )
     for when in years:
@@ -153,6 +142,26 @@ def student_growth(
     })
 
 
+def indicator_growth(
+    records: DataFrame,
+    current: int,
+    same_grade: bool = True,
+    all_missing: str = "inf",
+    compare_decimals: int | None = None,
+    **columns,
+) -> DataFrame:
+    """``student_growth`` from test records of three years, standards included.
+
+    The records are read and shuffled once: the yearly scores, from which both
+    the standards and the growth come, are written in between.
+    """
+    years = [current, current - 1, current - 2]
+    columns = {"grade": "grade" if same_grade else None, **columns}
+    scores = settle(scores_by_year(records, years, all_missing=all_missing, **columns))
+    standards = settle(growth_standards(scores, current, current - 1, same_grade))
+    return student_growth(scores, standards, current, columns.get("id", "id"), compare_decimals=compare_decimals)
+
+
 def student_table(
     growth: DataFrame,
     enrolment: DataFrame,

@@ -86,7 +86,13 @@ def release_table(students: DataFrame, disadvantaged: bool = False) -> DataFrame
     ).drop("level")
 
 
-def release_duplicates(formatted: DataFrame, listed: DataFrame, tie_break: list[str], listed_key="STUDENT_KEY"):
-    """Every formatted record beside the one chosen for its student."""
-    records = flag_lookup(release_records(formatted, tie_break), listed, "id", listed_key, "ed")
-    return duplicate_audit(records, "id", ["composite", "literacy"], tie_break)
+def release_duplicates(
+    formatted: DataFrame, listed: DataFrame, tie_break: list[str], listed_key: str = "STUDENT_KEY"
+) -> DataFrame:
+    """Every formatted record beside the one chosen for its student.
+
+    The lookup depends on the student only, so one serves both records.
+    """
+    audit = duplicate_audit(release_records(formatted, tie_break), "id", ["composite", "literacy"], tie_break)
+    looked_up = flag_lookup(audit, listed, "id", listed_key, "ed")
+    return looked_up.withColumns({"ed_x": F.col("ed"), "ed_y": F.col("ed")}).drop("ed")
