@@ -35,7 +35,8 @@ def subgroup_rates_query(spark, sf_dir):
         met_exit(lit, score).alias("exited"),
         met_growth(score, prior, lit, fixed_standard(prior, valid)).alias("numerator"),
     )
-    people = keyed_join(flagged, student(spark, sf_dir), ["id"], "left", expect="one")
+    # Both sides are together by id already; demographics have no missing id.
+    people = keyed_join(flagged, student(spark, sf_dir), ["id"], "left", null_keys="never", expect="one")
     return subgroup_rates(
         people,
         report_subgroups(COMBINED),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from functools import reduce
 
-from .missing import strict_chain
+from pyspark.sql import Column, functions as F
 
 # Half-open score bands [1.0, 1.5), [1.5, 2.0) ... [4.5, 5.0).
 SCORE_EDGES = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5, 5.0]
@@ -29,17 +29,26 @@ MIN_N = 10
 GRADE_BANDS = ["elementary", "middle", "high"]
 
 
+def _first_match(rules) -> Column:
+    """CASE over ranges that exclude one another.
+
+    All their tests are missing together, so a missing score falls through to
+    null and the rules for missing conditions need no tests of their own.
+    """
+    return reduce(lambda case, rule: case.when(*rule), rules[1:], F.when(*rules[0]))
+
+
 def score_band(score: Column, edges=SCORE_EDGES, labels=SCORE_LABELS) -> Column:
     """Label of the half-open band holding ``score``; null outside all bands."""
     if len(edges) != len(labels) + 1:
         raise ValueError("score_band needs one more edge than labels")
-    return strict_chain(
+    return _first_match(
         [((score >= lo) & (score < hi), label) for lo, hi, label in zip(edges, edges[1:], labels)]
     )
 
 
 def grade_band(grade: Column) -> Column:
-    return strict_chain([
+    return _first_match([
         (grade < 5, GRADE_BANDS[0]),
         ((grade > 4) & (grade < 9), GRADE_BANDS[1]),
         (grade > 8, GRADE_BANDS[2]),
@@ -60,7 +69,7 @@ def fixed_standard(prior: Column, valid: Column | None = None, table=FIXED_STAND
             return prior <= hi
         return prior >= lo if hi is None else prior.between(lo, hi)
 
-    return strict_chain([(valid & inside(lo, hi), standard) for lo, hi, standard in table])
+    return _first_match([(valid & inside(lo, hi), standard) for lo, hi, standard in table])
 
 
 def points(rate: Column, n: Column, cuts=POINT_CUTS, min_n: int = MIN_N) -> Column:
@@ -75,4 +84,4 @@ def points(rate: Column, n: Column, cuts=POINT_CUTS, min_n: int = MIN_N) -> Colu
         if hi is not None:
             condition = condition & (rate < hi)
         rules.append((condition, earned))
-    return strict_chain(rules)
+    return _first_match(rules)

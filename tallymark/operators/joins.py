@@ -177,11 +177,18 @@ def fan_out(
 def flag_lookup(
     df: DataFrame, listed: DataFrame, key: str, listed_key: str, flag: str, hot: str | None = "left"
 ) -> DataFrame:
-    """1 where the row's key is on a list (which may repeat keys), else 0."""
-    distinct = listed.select(name(listed_key).alias(listed_key)).distinct()
-    distinct = distinct.withColumn(flag, F.lit(1))
-    joined = keyed_join(df, distinct, [(key, listed_key)], "left", hot=hot)
-    return joined.withColumn(flag, present(name(flag)))
+    """1 where the row's key is on a list (which may repeat keys), else 0.
+
+    A missing key is on the list if the list has a missing key. That is asked
+    apart, so that the join is on the plain key and needs no shuffle of its own
+    where the rows are already together by it.
+    """
+    on_list = listed.select(name(listed_key).alias(listed_key))
+    missing = on_list.agg(F.coalesce(F.max(name(listed_key).isNull()), F.lit(False))).scalar()
+    distinct = on_list.where(name(listed_key).isNotNull()).distinct().withColumn(flag, F.lit(1))
+    joined = keyed_join(df, distinct, [(key, listed_key)], "left", "never", hot=hot)
+    found = F.when(name(key).isNull(), missing.cast("int")).otherwise(present(name(flag)))
+    return joined.withColumn(flag, found)
 
 
 def apply_overrides(df: DataFrame, table: list[tuple], keys: list[str], column: str) -> DataFrame:

@@ -38,13 +38,15 @@ def exact_quantiles(
     x = nan_to_null(name(value).cast("double"))
     counts = settle(df.groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n")))
     values = F.when(F.col("_x").isNotNull(), F.col("_n"))
-    totals = settle(counts.groupBy(*keys).agg(F.sum(values).alias("_m"), F.sum("_n").alias("n")))
-    if totals.count() > MAX_GROUPS:
+    totals = settle(counts.groupBy(*keys).agg(
+        F.sum(values).alias("_m"), F.sum("_n").alias("n"), F.count("_x").alias("_values")
+    ))
+    n_groups, largest = totals.agg(F.count("*"), F.coalesce(F.max("_values"), F.lit(0))).first()
+    if n_groups > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
 
-    known = _with_groups(counts.where("_x is not null"), totals.drop("n"), groups)
+    known = _with_groups(counts.where("_x is not null"), totals.drop("n", "_values"), groups)
     known = known.withColumns({"_slice": F.lit(0).cast("bigint"), "_before": F.lit(0).cast("bigint")})
-    largest = _largest(known, groups)
     while largest > task_values:
         known = settle(_wanted_slices(known, groups, list(probs.values())))
         before, largest = largest, _largest(known, groups)
@@ -65,7 +67,7 @@ def exact_quantiles(
         return F.when(low == high, low).otherwise((1 - part) * low + part * high)
 
     quantiles = found.select(*keys, *[between(i, p).alias(out) for i, (out, p) in enumerate(probs.items())])
-    return _with_groups(totals.drop("_m"), quantiles, groups, "left").select(*keys, *map(name, probs), "n")
+    return _with_groups(totals.drop("_m", "_values"), quantiles, groups, "left").select(*keys, *map(name, probs), "n")
 
 
 def _place(p: float):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
-from ..functions.missing import map_columns, name
+from ..functions.missing import map_columns, name, to_int
 from .joins import keyed_join
 
 
@@ -56,4 +57,7 @@ def comparable_ours(df: DataFrame, subgroups: list[str], relabel: dict[str, str]
 def comparable_theirs(df: DataFrame, without: str, int_keys: list[str]) -> DataFrame:
     """Their report without the complement subgroups, keys as whole numbers."""
     kept = df.where(~F.col("subgroup").contains(without))
-    return map_columns(kept, int_keys, lambda c: c.try_cast("int"))
+    texts = [k for k in int_keys if isinstance(df.schema[k].dataType, StringType)]
+    kept = map_columns(kept, texts, to_int) if texts else kept
+    numbers = [k for k in int_keys if k not in texts]
+    return map_columns(kept, numbers, lambda c: c.try_cast("int")) if numbers else kept

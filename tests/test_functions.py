@@ -1,0 +1,211 @@
+from __future__ import annotations
+
+import math
+
+import pytest
+from helpers import rows
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from tallymark.functions import bands, flags, missing
+
+
+def one(spark, expression, **values):
+    """An expression over a one-row frame."""
+    types = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+    columns = [
+        F.lit(v[1]).cast(v[0]).alias(k) if isinstance(v, tuple) else F.lit(v).cast(types[type(v)]).alias(k)
+        for k, v in values.items()
+    ]
+    return spark.range(1).select(*columns).select(expression.alias("x")).first()[0]
+
+
+NULL_BOOL, NULL_TEXT, NULL_DOUBLE = ("boolean", None), ("string", None), ("double", None)
+
+
+def test_null_condition_gives_null(spark):
+    choice = missing.strict_if(F.col("c"), F.lit("yes"), F.lit("no"))
+    assert one(spark, choice, c=True) == "yes"
+    assert one(spark, choice, c=False) == "no"
+    assert one(spark, choice, c=NULL_BOOL) is None
+
+
+def test_null_flag_wipes_the_chain(spark):
+    race = flags.classify([(F.col("white") == "Y", "White"), (F.col("asian") == "Y", "Asian"),
+                           (F.col("black") == "Y", "Black")])
+    assert one(spark, race, white="Y", asian="N", black="N") == "White"
+    assert one(spark, race, white="Y", asian="Y", black="N") == "Asian"
+    assert one(spark, race, white="Y", asian=NULL_TEXT, black="N") is None
+    assert one(spark, race, white="Y", asian=NULL_TEXT, black="Y") == "Black"
+    assert one(spark, race, white="N", asian="N", black="N") is None
+
+
+def test_default_label(spark):
+    race = flags.classify([(F.col("w") == 1, "White")], flags.NO_RACE)
+    assert one(spark, race, w=0) == "None Reported"
+
+
+def test_any_flag_is_three_valued(spark):
+    flag = flags.any_flag([F.col("a"), F.col("b")])
+    assert one(spark, flag, a="Y", b=NULL_TEXT) is True
+    assert one(spark, flag, a="N", b="N") is False
+    assert one(spark, flag, a="N", b=NULL_TEXT) is None
+
+
+@pytest.mark.parametrize("score, label", [
+    (0.9, None), (1.0, "1.0-1.4"), (1.4, "1.0-1.4"), (1.45, "1.0-1.4"), (1.5, "1.5-1.9"), (4.9, "4.5-4.9"),
+    (5.0, None), (-math.inf, None), (math.inf, None), (math.nan, None),
+])
+def test_score_band_edges(spark, score, label):
+    assert one(spark, bands.score_band(F.col("s")), s=score) == label
+
+
+def test_score_band_of_missing(spark):
+    assert one(spark, bands.score_band(F.col("s")), s=NULL_DOUBLE) is None
+
+
+def test_bands_follow_their_edges(spark):
+    band = bands.score_band(F.col("s"), [0, 10, 100], ["low", "high"])
+    assert [one(spark, band, s=s) for s in (-1, 0, 10, 100)] == [None, "low", "high", None]
+    with pytest.raises(ValueError):
+        bands.score_band(F.col("s"), [0, 10], ["low", "high"])
+
+
+def test_bands_equal_the_rebinding_chain(spark):
+    """The CASE form against nested conditions that a missing score wipes."""
+    chain = missing.strict_chain([
+        ((F.col("s") >= lo) & (F.col("s") < hi), label)
+        for lo, hi, label in zip(bands.SCORE_EDGES, bands.SCORE_EDGES[1:], bands.SCORE_LABELS)
+    ])
+    scores = [None] + [x / 20 for x in range(0, 140)]
+    df = spark.createDataFrame([(s,) for s in scores], "s double")
+    assert df.where(~chain.eqNullSafe(bands.score_band(F.col("s")))).count() == 0
+
+
+@pytest.mark.parametrize("grade, band", [(0, "elementary"), (4, "elementary"), (5, "middle"), (8, "middle"), (9, "high")])
+def test_grade_band(spark, grade, band):
+    assert one(spark, bands.grade_band(F.col("g")), g=grade) == band
+    rank = bands.grade_band_rank(bands.grade_band(F.col("g")))
+    assert one(spark, rank, g=grade) == bands.GRADE_BANDS.index(band) + 1
+
+
+@pytest.mark.parametrize("prior, standard", [
+    (1.0, 1.3), (1.4, 1.3), (1.45, None), (1.5, 0.7), (1.9, 0.7), (2.4, 0.8), (2.9, 0.7), (3.0, 0.4), (3.4, 0.4),
+    (3.5, 0.5), (3.95, None), (4.0, 0.4), (5.5, 0.4),
+])
+def test_fixed_standard(spark, prior, standard):
+    assert one(spark, bands.fixed_standard(F.col("p")), p=prior) == standard
+    assert one(spark, bands.fixed_standard(F.col("p"), F.lit(False)), p=prior) is None
+
+
+@pytest.mark.parametrize("rate, n, expected", [
+    (0.0, 10, 0), (24.9, 10, 0), (25.0, 10, 1), (40.0, 10, 2), (50.0, 10, 3), (59.9, 10, 3), (60.0, 10, 4),
+    (100.0, 9, None),
+])
+def test_points(spark, rate, n, expected):
+    assert one(spark, bands.points(F.col("r"), F.col("n")), r=rate, n=n) == expected
+
+
+@pytest.mark.parametrize("num, den, expected", [(1, 16, 6.2), (3, 16, 18.8), (1, 80, 1.2), (1, 3, 33.3), (0, 5, 0.0), (0, 0, None)])
+def test_rate_rounds_halves_to_even(spark, num, den, expected):
+    assert one(spark, missing.rate(F.col("a"), F.col("b")), a=num, b=den) == expected
+
+
+@pytest.mark.parametrize("text, number, whole", [
+    ("3", 3.0, 3), (" 3.7 ", 3.7, 3), ("-2.9", -2.9, -2), ("1e2", 100.0, 100), ("K", None, None), ("", None, None),
+    ("3d", None, None), ("NA", None, None), ("NaN", None, None), ("Inf", math.inf, None),
+])
+def test_text_to_number(spark, text, number, whole):
+    assert one(spark, missing.to_number(F.col("t")), t=text) == number
+    assert one(spark, missing.to_int(F.col("t")), t=text) == whole or text == "Inf"
+
+
+@pytest.mark.parametrize("text, code, number", [
+    ("TN00470", "00470", 470), ("TN00TN1", "00TN1", None), ("00TN1", "001", 1), ("470", "470", 470), ("TN", "", None),
+])
+def test_first_prefix_only(spark, text, code, number):
+    assert one(spark, missing.replace_first(F.col("t"), "TN"), t=text) == code
+    assert one(spark, missing.clean_code(F.col("t"), "TN"), t=text) == number
+
+
+def test_presence_and_zero(spark):
+    assert one(spark, missing.present(F.col("t")), t="N") == 1
+    assert one(spark, missing.present(F.col("t")), t=NULL_TEXT) == 0
+    assert one(spark, missing.missing_to_zero(F.col("n")), n=("int", None)) == 0
+
+
+def test_nan_becomes_null(spark):
+    df = spark.createDataFrame([(math.nan, "a"), (1.0, None)], "x double, t string")
+    assert rows(missing.nan_to_null_frame(df)) == [(1.0, None), (None, "a")]
+
+
+def test_total_of_nothing_is_zero(spark):
+    df = spark.createDataFrame([(None,), (None,)], "f boolean")
+    assert df.agg(missing.total(F.col("f"))).first()[0] == 0
+    assert df.where("false").agg(missing.total(F.col("f"))).first()[0] == 0
+
+
+def test_cast_losses(spark):
+    df = spark.createDataFrame([("K", "1"), ("3", None), (None, "2")], "grade string, school string")
+    assert rows(missing.cast_losses(df, ["grade", "school"])) == [("grade", 2, 1), ("school", 2, 0)]
+
+
+def test_column_helpers(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "school int, System_name int, x int, my_race int")
+    assert missing.columns_starting(df, "system", "school") == ["System_name", "school"]
+    assert missing.columns_containing(df, "RACE") == ["my_race"]
+    assert missing.put_first(df, ["x"]).columns == ["x", "school", "System_name", "my_race"]
+    doubled = missing.map_columns(df, ["x", "school"], lambda c: c * 2)
+    assert doubled.first().asDict() == {"school": 2, "System_name": 2, "x": 6, "my_race": 4}
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(1.5, 2)], "`Composite (Overall) Proficiency Level` double, `Race - Pacific Islander/Hawaiian` int")
+    got = df.select(*[missing.name(c) for c in df.columns]).first()
+    assert tuple(got) == (1.5, 2)
+
+
+@pytest.mark.parametrize("lit, comp, valid, exited", [
+    (4.0, 4.2, True, True), (3.9, 5.0, True, False), (5.0, 4.1, True, False), (None, 5.0, False, False),
+    (5.0, None, False, False),
+])
+def test_exit(spark, lit, comp, valid, exited):
+    values = {"l": ("double", lit), "c": ("double", comp)}
+    assert one(spark, flags.valid_exit(F.col("l"), F.col("c")), **values) is valid
+    assert one(spark, flags.met_exit(F.col("l"), F.col("c")), **values) is exited
+
+
+def met(spark, score, prior, lit, standard, decimals=None):
+    expression = flags.met_growth(F.col("s"), F.col("p"), F.col("l"), F.col("g"), decimals)
+    return one(spark, expression, s=("double", score), p=("double", prior), l=("double", lit), g=("double", standard))
+
+
+def test_met_growth_is_three_valued(spark):
+    assert met(spark, 3.5, 2.0, 1.0, 0.8) is True
+    assert met(spark, 2.5, 2.0, 1.0, 0.8) is False
+    assert met(spark, 4.5, 4.4, 4.5, 0.4) is True  # exited
+    assert met(spark, 2.0, 1.45, 1.0, None) is None  # no standard
+    assert met(spark, 4.5, 1.45, 4.5, None) is True
+    assert met(spark, 3.0, None, 5.0, 0.4) is False
+
+
+def test_exact_gain_on_doubles_and_on_decimals(spark):
+    assert met(spark, 3.4, 2.7, 1.0, 0.7) is False
+    assert met(spark, 3.4, 2.7, 1.0, 0.7, decimals=6) is True
+    fails = [p for p in (x / 10 for x in range(10, 57)) if not _gains(p)]
+    assert len(fails) == 19
+
+
+def _gains(prior):
+    for lo, hi, standard in bands.FIXED_STANDARDS:
+        if (lo is None or prior >= lo) and (hi is None or prior <= hi):
+            return round(prior + standard, 1) - prior >= standard
+    raise AssertionError(prior)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 500), st.integers(1, 500)), min_size=1, max_size=40))
+def test_rate_property(spark, pairs):
+    df = spark.createDataFrame(pairs, "a bigint, b bigint").withColumn("r", missing.rate(F.col("a"), F.col("b")))
+    for a, b, r in df.collect():
+        assert abs(r - 100 * a / b) <= 0.05 + 1e-9
