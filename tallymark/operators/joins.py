@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.missing import name, present
+from .settle import settle
 
 ROWS_PER_TASK = 1_000_000  # a key with more rows than this is split
-HOT_KEYS = 1_000  # keys outside the 1,000 largest hold under 0.1 % of the rows each
+HOT_KEYS = 10_000  # keys outside the 10,000 largest hold under 0.01 % of the rows each
 MAX_SALTS = 10_000
 
 
@@ -25,6 +26,7 @@ def keyed_join(
     expect: str = "many",
     suffixes: tuple[str, str] = ("_x", "_y"),
     hot: str | None = None,
+    salts: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Equi-join keeping one key column per pair.
@@ -33,7 +35,9 @@ def keyed_join(
     ``null_keys="match"`` joins missing with missing. ``expect="one"`` fails the
     job if a key occurs twice on the right. Other columns present on both sides
     get ``suffixes``. ``hot`` names the side on which one key may hold a large
-    share of the rows: its rows are then spread over several tasks.
+    share of the rows. That side's keys are counted first (or ``salts`` given,
+    from ``hot_keys``), and the rows of those found are spread over several
+    tasks.
     """
     if how not in ("left", "inner", "full"):
         raise ValueError("how is 'left', 'inner' or 'full'")
@@ -62,10 +66,12 @@ def keyed_join(
     rk = [f"_rk{i}" for i in range(len(pairs))]
     matched = _same_key(lk, rk, null_keys)
 
-    if hot is None:
+    if hot is not None and salts is None:
+        salts = hot_keys(left, left_keys, rows_per_task) if hot == "left" else hot_keys(right, right_keys, rows_per_task)
+    if hot is None or salts.isEmpty():
         joined = l.join(r, matched, how)
     else:
-        joined = _salted_join(l, r, lk, rk, matched, how, null_keys, hot, rows_per_task)
+        joined = _salted_join(l, r, lk, rk, matched, how, null_keys, hot, salts)
 
     keys = [
         (F.coalesce(F.col(a), F.col(b)) if how == "full" else F.col(a)).alias(k)
@@ -97,15 +103,14 @@ def _suffixed(keys, left_rest, right_rest, suffixes):
     return left_names, right_names
 
 
-def _salted_join(l, r, lk, rk, matched, how, null_keys, hot, rows_per_task):
+def _salted_join(l, r, lk, rk, matched, how, null_keys, hot, salts):
     """Spread each hot key's rows over salts; repeat its few partners per salt."""
     big, small, big_keys, small_keys = (l, r, lk, rk) if hot == "left" else (r, l, rk, lk)
-    salts = hot_keys(big, big_keys, rows_per_task)
 
     def with_salts(df, keys, tag, null_keys):
         # At most HOT_KEYS rows are broadcast.
         of = salts.select(
-            *[F.col(k).alias(f"{tag}{i}") for i, k in enumerate(big_keys)],
+            *[name(k).alias(f"{tag}{i}") for i, k in enumerate(salts.columns[:-1])],
             F.col("_salts").alias(f"{tag}n"),
         )
         same = _same_key(keys, [f"{tag}{i}" for i in range(len(keys))], null_keys)
@@ -130,18 +135,15 @@ def _salted_join(l, r, lk, rk, matched, how, null_keys, hot, rows_per_task):
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The keys with more rows than one task should take, at most ``HOT_KEYS``."""
-    return (
-        df.groupBy(*map(name, keys))
-        .agg(F.count("*").alias("_n"))
-        .orderBy(F.col("_n").desc())
-        .limit(HOT_KEYS)
-        .where(F.col("_n") > rows_per_task)
-        .select(
-            *map(name, keys),
-            F.least(F.ceil(F.col("_n") / rows_per_task), F.lit(MAX_SALTS)).cast("bigint").alias("_salts"),
-        )
-    )
+    """The keys with more rows than one task should take, at most ``HOT_KEYS``.
+
+    Found at once, reading the key columns only; the list is small and serves
+    several joins.
+    """
+    counted = df.groupBy(*map(name, keys)).agg(F.count("*").alias("_n"))
+    largest = counted.orderBy(F.col("_n").desc()).limit(HOT_KEYS).where(F.col("_n") > rows_per_task)
+    salts = F.least(F.ceil(F.col("_n") / rows_per_task), F.lit(MAX_SALTS)).cast("bigint")
+    return settle(largest.select(*map(name, keys), salts.alias("_salts")))
 
 
 def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -175,7 +177,13 @@ def fan_out(
 
 
 def flag_lookup(
-    df: DataFrame, listed: DataFrame, key: str, listed_key: str, flag: str, hot: str | None = "left"
+    df: DataFrame,
+    listed: DataFrame,
+    key: str,
+    listed_key: str,
+    flag: str,
+    hot: str | None = "left",
+    salts: DataFrame | None = None,
 ) -> DataFrame:
     """1 where the row's key is on a list (which may repeat keys), else 0.
 
@@ -186,7 +194,7 @@ def flag_lookup(
     on_list = listed.select(name(listed_key).alias(listed_key))
     missing = on_list.agg(F.coalesce(F.max(name(listed_key).isNull()), F.lit(False))).scalar()
     distinct = on_list.where(name(listed_key).isNotNull()).distinct().withColumn(flag, F.lit(1))
-    joined = keyed_join(df, distinct, [(key, listed_key)], "left", "never", hot=hot)
+    joined = keyed_join(df, distinct, [(key, listed_key)], "left", "never", hot=hot, salts=salts)
     found = F.when(name(key).isNull(), missing.cast("int")).otherwise(present(name(flag)))
     return joined.withColumn(flag, found)
 

@@ -52,10 +52,11 @@ def duplicate_audit(
     order: list[str],
     tie_break: list[str],
     suffixes: tuple[str, str] = ("_x", "_y"),
+    salts: DataFrame | None = None,
 ) -> DataFrame:
     """Every record beside the record chosen for its key."""
     chosen = best_record(df, [key], order, tie_break)
-    return keyed_join(df, chosen, [key], "inner", suffixes=suffixes, hot="left")
+    return keyed_join(df, chosen, [key], "inner", suffixes=suffixes, hot="left", salts=salts)
 
 
 def student_year_max(

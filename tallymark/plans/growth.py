@@ -176,10 +176,10 @@ def student_table(
     ``copies``, so that no student's records are multiplied out; weigh by
     ``copies`` to count. ``demographic_keys`` joins on more than the student.
     """
-    enrolled = enrolment.groupBy(*map(name, enrolment.columns)).agg(F.count("*").alias("_enrolled"))
     described = demographics.groupBy(*map(name, demographics.columns)).agg(F.count("*").alias("_described"))
-    joined = keyed_join(keyed_join(growth, enrolled, [id]), described, demographic_keys or [id])
+    enrolled = settle(enrolment.groupBy(*map(name, enrolment.columns)).agg(F.count("*").alias("_enrolled")))
+    # A missing student may be enrolled in any number of schools.
+    joined = keyed_join(keyed_join(growth, described, demographic_keys or [id]), enrolled, [id], hot="right")
     one = F.lit(1).cast("bigint")
-    return joined.withColumn(
-        "copies", F.coalesce("_enrolled", one) * F.coalesce("_described", one)
-    ).drop("_enrolled", "_described")
+    copies = F.coalesce("_enrolled", one) * F.coalesce("_described", one)
+    return joined.withColumn("copies", copies).drop("_enrolled", "_described")

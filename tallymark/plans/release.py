@@ -9,7 +9,7 @@ from ..functions.flags import (
     NO_RACE, RELEASE_COMBINED_RACES, RELEASE_RACE_FLAGS, classify, met_exit, met_growth, valid_exit, valid_growth,
 )
 from ..functions.missing import columns_starting, map_columns, name, present
-from ..operators.joins import flag_lookup
+from ..operators.joins import flag_lookup, hot_keys
 from ..operators.records import best_record, duplicate_audit
 from ..operators.subgroups import ALL, COMBINED, DISABILITY, DISADVANTAGED, LEARNERS, subgroup_rates
 
@@ -93,6 +93,8 @@ def release_duplicates(
 
     The lookup depends on the student only, so one serves both records.
     """
-    audit = duplicate_audit(release_records(formatted, tie_break), "id", ["composite", "literacy"], tie_break)
-    looked_up = flag_lookup(audit, listed, "id", listed_key, "ed")
+    records = release_records(formatted, tie_break)
+    salts = hot_keys(records, ["id"])
+    audit = duplicate_audit(records, "id", ["composite", "literacy"], tie_break, salts=salts)
+    looked_up = flag_lookup(audit, listed, "id", listed_key, "ed", salts=salts)
     return looked_up.withColumns({"ed_x": F.col("ed"), "ed_y": F.col("ed")}).drop("ed")

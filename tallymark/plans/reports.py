@@ -10,7 +10,6 @@ from ..functions.missing import columns_starting, missing_to_zero, name, nan_to_
 from ..operators.carry import carry_forward
 from ..operators.joins import apply_overrides, keyed_join
 from ..operators.reshape import stack_by_name
-from ..operators.settle import settle
 from ..operators.subgroups import (
     ALL, COMBINED, DISABILITY, DISADVANTAGED, LEARNERS, subgroup_rates, total_rates,
 )
@@ -111,11 +110,7 @@ def assemble(
     keyed = rates.withColumns({k: missing_to_zero(name(k)) for k in ("system", "school")})
     named = keyed_join(keyed, names, ["system", "school"], "left")
     place = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
-    # Carrying forward reads its rows twice.
-    ranked = settle(named.withColumn("_level", place))
     # Missing keys became 0 and may share a place with a real 0: same key, same name.
     order = ["_level", "system", "school", "subgroup"]
-    carried = carry_forward(
-        ranked, "system_name", order, [F.col("_level"), F.col("system"), F.col("school")], leading
-    )
+    carried = carry_forward(named.withColumn("_level", place), "system_name", order, leading=leading)
     return apply_overrides(carried.drop("_level"), overrides, ["system", "school"], "school_name")

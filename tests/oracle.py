@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from pathlib import Path
 
 import duckdb
@@ -22,9 +21,8 @@ def connect(sf_dir: str):
 
 
 def _plain(value):
-    if isinstance(value, float) and math.isnan(value):
-        return "nan"
-    return value
+    """Floats by their text: NaN equals NaN, 0.0 is not -0.0."""
+    return repr(value) if isinstance(value, float) else value
 
 
 def canonical(columns, rows):
