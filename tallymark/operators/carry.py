@@ -36,8 +36,8 @@ def carry_forward(
     The order is cut into buckets, each filled alone; the value a bucket starts
     with is found among the buckets. ``path`` cuts by expressions that rise
     with the order, coarse to fine, such as its first columns; no task then
-    sees more than the rows of one finest bucket or the children of another.
-    Where one value of them may hold many rows, leave ``path`` out: the rows
+    sees more than the rows of one finest bucket or the children of another
+    (``df`` is read twice). Where one value of them may hold many rows, leave ``path`` out: the rows
     are sorted into ``buckets`` ranges of even size (default: the number of
     shuffle partitions) and written with their range, so that a rerun task
     finds the same ranges.

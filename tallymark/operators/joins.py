@@ -7,7 +7,7 @@ is broadcast by hint has a bound stated next to it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.missing import name, present
 from .settle import settle
@@ -147,16 +147,14 @@ def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK)
 
 
 def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The same rows; the job fails if a key occurs more than once."""
-    rest = [c for c in df.columns if c not in keys]
-    counted = df.groupBy(*map(name, keys)).agg(
-        F.count("*").alias("_n"), *[F.first(name(c)).alias(c) for c in rest]
-    )
-    problem = F.raise_error(F.concat(F.lit("more than one row for key "), F.to_json(F.struct(*map(name, keys)))))
-    first = name(keys[0])
-    return counted.withColumn(keys[0], F.when(F.col("_n") > 1, problem).otherwise(first)).select(
-        *map(name, df.columns)
-    )
+    """The same rows; the job fails if a key occurs more than once.
+
+    Leaves the rows together and sorted by key, as the join needs them anyway.
+    """
+    same_key = Window.partitionBy(*map(name, keys)).orderBy(*map(name, keys))
+    problem = F.concat(F.lit("more than one row for key "), F.to_json(F.struct(*map(name, keys))))
+    check = F.when(F.col("_place") > 1, F.raise_error(problem).cast("boolean")).otherwise(F.lit(True))
+    return df.withColumn("_place", F.row_number().over(same_key)).where(check).drop("_place")
 
 
 def fan_out(

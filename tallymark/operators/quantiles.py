@@ -18,7 +18,7 @@ from .settle import settle
 
 TASK_VALUES = 1_000_000  # distinct values that one task may rank
 MAX_GROUPS = 1_000
-SLICES = 256
+SLICES = 64  # a power of two
 
 
 def exact_quantiles(
@@ -38,9 +38,9 @@ def exact_quantiles(
     x = nan_to_null(name(value).cast("double"))
     counts = settle(df.groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n")))
     values = F.when(F.col("_x").isNotNull(), F.col("_n"))
-    totals = settle(counts.groupBy(*keys).agg(
+    totals = counts.groupBy(*keys).agg(
         F.sum(values).alias("_m"), F.sum("_n").alias("n"), F.count("_x").alias("_values")
-    ))
+    )
     n_groups, largest = totals.agg(F.count("*"), F.coalesce(F.max("_values"), F.lit(0))).first()
     if n_groups > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
@@ -89,8 +89,7 @@ def _wanted_slices(known: DataFrame, groups: list[str], probs: list[float]) -> D
     # The borders come from a sketch; they only have to be roughly even.
     cuts = [i / SLICES for i in range(1, SLICES)]
     sketch = known.groupBy(*map(name, slice_keys)).agg(F.percentile_approx("_x", cuts, 4 * SLICES).alias("_borders"))
-    part = F.size(F.filter("_borders", lambda border: border < F.col("_x"))).cast("bigint")
-    cut = _with_groups(known, sketch, slice_keys).withColumn("_part", part).drop("_borders")
+    cut = _with_groups(known, sketch, slice_keys).withColumn("_part", _n_below("_borders", "_x")).drop("_borders")
 
     running = Window.partitionBy(*map(name, slice_keys)).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     sizes = (
@@ -107,6 +106,16 @@ def _wanted_slices(known: DataFrame, groups: list[str], probs: list[float]) -> D
     )
 
 
+def _n_below(borders: str, x: str):
+    """How many of the SLICES - 1 sorted borders are below x, by halving."""
+    steps = [SLICES >> i for i in range(1, SLICES.bit_length())]
+    return F.aggregate(
+        F.array(*map(F.lit, steps)),
+        F.lit(0),
+        lambda at, step: F.when(F.get(F.col(borders), at + step - 1) < F.col(x), at + step).otherwise(at),
+    ).cast("bigint")
+
+
 def _with_groups(df: DataFrame, per_group: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
     """Attach a table with a few rows per group; missing groups match.
 

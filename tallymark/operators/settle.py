@@ -15,11 +15,16 @@ def settle(df: DataFrame) -> DataFrame:
     they need, know its size when choosing a join, and survive lost executors.
     Tables stay until that folder is cleaned.
     """
-    path = f"{_folder(df.sparkSession)}/tallymark-{uuid4().hex}"
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession) -> str:
+    """An unused path in the cluster's checkpoint folder."""
+    return f"{_folder(spark)}/tallymark-{uuid4().hex}"
+
+
 def _folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()

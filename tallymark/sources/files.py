@@ -18,8 +18,9 @@ MISSING_TEXT = ["", "NA"]
 def read_delimited(spark: SparkSession, path, layout: Input, sep: str = ",", base: str | None = None) -> DataFrame:
     """Text with a header line; columns found by header, renamed to short names.
 
-    A file may have more columns, in any order. ``base`` is put before relative
-    paths. Numbers that do not parse become null.
+    A file may have more columns, in any order, but files read together must
+    agree on theirs. ``base`` is put before relative paths. Numbers that do not
+    parse become null.
     """
     paths = [_under(base, p) for p in ([path] if isinstance(path, (str, os.PathLike)) else path)]
     header = spark.read.csv(paths, header=True, sep=sep, inferSchema=False).columns
@@ -32,6 +33,7 @@ def read_delimited(spark: SparkSession, path, layout: Input, sep: str = ",", bas
         spark.read.schema(schema)
         .option("header", True)
         .option("sep", sep)
+        .option("enforceSchema", False)
         .option("nullValue", "NA")
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
