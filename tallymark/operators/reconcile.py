@@ -17,6 +17,7 @@ def reconcile(
     keep: list[str],
     only: str = "mismatch",
     exclude: Column | None = None,
+    expect: str = "many",
 ) -> DataFrame:
     """Rows whose ``measure`` (our name, their name) differs, by key.
 
@@ -24,18 +25,23 @@ def reconcile(
     ``exclude`` is a condition on the result; rows where it is missing go too.
     ``only="mismatch"`` compares keys present on both sides; ``only="all"``
     keeps every key and says in ``status`` whether it is a ``match``, a
-    ``mismatch``, ``only_ours`` or ``only_theirs``.
+    ``mismatch``, ``only_ours`` or ``only_theirs``. ``expect="one"`` fails the job
+    if a key occurs twice on their side.
     """
     if only not in ("mismatch", "all"):
         raise ValueError("only is 'mismatch' or 'all'")
     keys = [k if isinstance(k, str) else k[0] for k in on]
     a, b = map(name, measure)
     if only == "mismatch":
-        result = keyed_join(ours, theirs, on, "inner").where(a != b)
+        result = keyed_join(ours, theirs, on, "inner", expect=expect).where(a != b)
         shown = [*keys, measure[1], measure[0], *keep]
     else:
         result = keyed_join(
-            ours.withColumn("_ours", F.lit(True)), theirs.withColumn("_theirs", F.lit(True)), on, "full"
+            ours.withColumn("_ours", F.lit(True)),
+            theirs.withColumn("_theirs", F.lit(True)),
+            on,
+            "full",
+            expect=expect,
         ).withColumn(
             "status",
             F.when(F.col("_theirs").isNull(), F.lit("only_ours"))

@@ -7,13 +7,16 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def settle(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the cluster's checkpoint folder.
 
     Later plans read it instead of repeating the work, take only the columns
     they need, know its size when choosing a join, and survive lost executors.
-    Tables stay until that folder is cleaned.
+    Tables stay until ``clear_settled``, to be called once all results that
+    come from them are written.
     """
     path = new_path(df.sparkSession)
     df.write.parquet(path)
@@ -22,7 +25,19 @@ def settle(df: DataFrame) -> DataFrame:
 
 def new_path(spark: SparkSession) -> str:
     """An unused path in the cluster's checkpoint folder."""
-    return f"{_folder(spark)}/tallymark-{uuid4().hex}"
+    path = f"{_folder(spark)}/tallymark-{uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear_settled(spark: SparkSession) -> int:
+    """Delete the tables this process settled; returns how many there were."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    configuration = spark._jsc.hadoopConfiguration()
+    paths, _written[:] = list(_written), []
+    for path in map(jvm_path, paths):
+        path.getFileSystem(configuration).delete(path, True)
+    return len(paths)
 
 
 def _folder(spark: SparkSession) -> str:

@@ -9,7 +9,8 @@ import pytest
 from helpers import rows, sort_rows
 from pyspark.sql import functions as F
 
-from tallymark.operators.settle import _folder, settle
+from tallymark.operators import settle as settle_module
+from tallymark.operators.settle import _folder, clear_settled, settle
 from tallymark.sources import schemas
 from tallymark.sources.files import ingest_stata, read_csv, read_parquet, read_tsv
 from tallymark.sources.schemas import Input
@@ -157,3 +158,14 @@ def test_settle_folder():
     assert _folder(local) == _folder(local) == local.folder
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         _folder(Unset("yarn"))
+
+
+def test_settled_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(settle_module, "_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(settle_module, "_written", [])
+    settle(spark.range(3))
+    settle(spark.range(4))
+    assert len(list(tmp_path.iterdir())) == 2
+    assert clear_settled(spark) == 2
+    assert list(tmp_path.glob("tallymark-*")) == []
+    assert clear_settled(spark) == 0
