@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.missing import name
 from tallymark.operators.carry import carry_forward, int_steps
 from tallymark.operators.quantiles import exact_quantiles
+from tallymark.operators.settle import settle
 from tallymark.plans.growth import (
     attach_standard, growth_standards, indicator_growth, scores_by_year, student_table,
 )
@@ -59,10 +60,10 @@ def price_quantiles(spark, sf_dir):
 
 
 def attach_standard_query(spark, sf_dir):
-    records = assessment(spark, sf_dir)
-    recent = records.where(F.col("year").between(1999, 2001))
-    attached = attach_standard(recent, _standards(spark, sf_dir), score="pl_comp")
-    return rounded(attached, ["growth_standard"])
+    years = [2001, 2000, 1999]
+    scores = settle(scores_by_year(assessment(spark, sf_dir), years, grade="grade", **COLUMNS))
+    attached = attach_standard(scores, growth_standards(scores, 2001, 2000), years)
+    return rounded(attached, ["growth_standard"]).withColumnRenamed("score", "pl_comp")
 
 
 def _growth(spark, sf_dir, all_missing="inf", compare_decimals=None):

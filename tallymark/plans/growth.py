@@ -9,7 +9,7 @@ from ..functions.flags import at_least
 from ..functions.missing import name, nan_to_null
 from ..operators.joins import keyed_join
 from ..operators.quantiles import exact_quantiles, percentile_quantiles
-from ..operators.records import extreme, student_year_max
+from ..operators.records import extreme
 from ..operators.settle import settle
 
 # The quantiles of growth reported per band.
@@ -89,17 +89,18 @@ def with_standard(df: DataFrame, standards: DataFrame, score: str, out: str, qua
 
 
 def attach_standard(
-    df: DataFrame,
-    standards: DataFrame,
-    id: str = "id",
-    year: str = "year",
-    score: str = "score",
-    quantile: str = "score_60",
-    all_missing: str = "inf",
+    scores: DataFrame, standards: DataFrame, years: list[int], id: str = "id", quantile: str = "score_60"
 ) -> DataFrame:
-    """Per student-year: the highest score and the standard for growth from it."""
-    best = student_year_max(df, [year, id], highest=[score], all_missing=all_missing)
-    return with_standard(best, standards, score, "growth_standard", quantile)
+    """Per student-year: the highest score and the standard for growth from it.
+
+    ``scores`` comes from ``scores_by_year`` of the same years.
+    """
+    yearly = F.array(*[
+        F.struct(F.lit(y).alias("year"), F.col(f"n_{y}").alias("n"), F.col(f"score_{y}").alias("score"))
+        for y in years
+    ])
+    long = scores.select(name(id), F.explode(yearly).alias("y")).where("y.n > 0").select("y.year", name(id), "y.score")
+    return with_standard(long, standards, "score", "growth_standard", quantile)
 
 
 def student_growth(

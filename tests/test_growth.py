@@ -13,6 +13,7 @@ from tallymark.operators.records import student_year_max
 from tallymark.operators.reshape import spread
 from tallymark.plans.growth import (
     attach_standard, growth_pairs, growth_standards, indicator_growth, scores_by_year, student_growth, student_table,
+    with_standard,
 )
 
 SCHEMA = "id bigint, year int, grade int, score double"
@@ -81,7 +82,7 @@ def test_wide_scores_equal_self_joins(spark):
     df = records(spark)
     standards = standards_of(spark, {b: 0.3 + i / 10 for i, b in enumerate(SCORE_LABELS)})
     got = student_growth(scores_by_year(df, [2001, 2000, 1999]), standards, 2001)
-    long = attach_standard(df, standards)
+    long = with_standard(student_year_max(df, ["id", "year"], ["score"]), standards, "score", "growth_standard")
     joined = None
     for when, year in (("current", 2001), ("prior", 2000), ("two_back", 1999)):
         part = long.where(F.col("year") == year).select(
@@ -90,6 +91,9 @@ def test_wide_scores_equal_self_joins(spark):
         joined = part if joined is None else keyed_join(joined, part, ["id"])
     columns = sorted(joined.columns)
     assert rows(got, *columns) == rows(joined, *columns)
+    years = [2001, 2000, 1999]
+    attached = attach_standard(scores_by_year(df, years), standards, years)
+    assert rows(attached) == rows(long.where(F.col("year").isin(years)), "year", "id", "score", "growth_standard")
 
 
 def test_student_rules(spark):
