@@ -28,8 +28,8 @@ def _systems(spark, sf_dir):
     )
 
 
-def _schools(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(
+def _schools(spark, sf_dir, where="true"):
+    return table(spark, sf_dir, "supplier").where(where).select(
         F.col("s_nationkey").alias("system"), F.col("s_suppkey").alias("school"), F.col("s_name").alias("school_name")
     )
 
@@ -37,7 +37,7 @@ def _schools(spark, sf_dir):
 def name_lookup(spark, sf_dir):
     """Names by system and by system and school, key columns first."""
     named = keyed_join(_per_school(spark, sf_dir), _systems(spark, sf_dir), ["system"])
-    named = keyed_join(named, _schools(spark, sf_dir).where("school % 2 = 0"), ["system", "school"])
+    named = keyed_join(named, _schools(spark, sf_dir, "s_acctbal > 0"), ["system", "school"])
     return put_first(named, columns_starting(named, "system", "school"))
 
 
@@ -72,7 +72,7 @@ OVERRIDES = [(1, 1, "First School"), (3, 3, ""), (4, 4, "Fourth School"), (24, 2
 
 
 def overrides(spark, sf_dir):
-    named = keyed_join(_per_school(spark, sf_dir), _schools(spark, sf_dir).where("school % 2 = 0"), ["system", "school"])
+    named = keyed_join(_per_school(spark, sf_dir), _schools(spark, sf_dir, "s_acctbal > 0"), ["system", "school"])
     return apply_overrides(named, OVERRIDES, ["system", "school"], "school_name")
 
 
@@ -96,7 +96,7 @@ ORACLES = {
     "name_lookup": f"""with {ASSESSMENT_SQL}, {_PER_SCHOOL}
         select system, n_name as system_name, school, s_name as school_name, n from per_school
         left join nation on system = n_nationkey
-        left join supplier on system = s_nationkey and school = s_suppkey and s_suppkey % 2 = 0""",
+        left join supplier on system = s_nationkey and school = s_suppkey and s_acctbal > 0""",
     "many_to_many": f"""with {ASSESSMENT_SQL}, now as (select * from assessment where year = 2001),
         best as (select id, year, max(pl_comp) as pl_comp from now group by id, year)
         select b.id, b.year, b.pl_comp, n.system, n.school, n.k1, n.k2 from best b left join now n on b.id = n.id""",
@@ -117,5 +117,5 @@ ORACLES = {
             when system = 3 and school = 3 then '' when system = 4 and school = 4 then 'Fourth School'
             when system = 24 and school = 24 then 'Last School' else s_name end as school_name
         from per_school
-        left join supplier on system = s_nationkey and school = s_suppkey and s_suppkey % 2 = 0""",
+        left join supplier on system = s_nationkey and school = s_suppkey and s_acctbal > 0""",
 }

@@ -79,9 +79,9 @@ def _system_names(spark, sf_dir):
 
 
 def _school_names(spark, sf_dir):
-    """Schools with their own and their system's name, known for some only."""
+    """Schools with their own and their system's name; those in debt are not listed."""
     suppliers, nations = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    return suppliers.join(nations, F.expr("s_nationkey = n_nationkey")).where("s_suppkey % 3 = 1").select(
+    return suppliers.join(nations, F.expr("s_nationkey = n_nationkey")).where("s_acctbal > 0").select(
         F.col("s_nationkey").alias("system"), F.col("s_suppkey").alias("school"),
         F.col("n_name").alias("system_name"), F.col("s_name").alias("school_name"),
     )
@@ -224,7 +224,7 @@ def release_sql(subgroups=_RELEASE_SUBGROUPS) -> str:
 
 _INDICATOR = f"{students_sql()}, sums as ({_union('students', _GROWTH_SUMS, _SUBGROUPS)})"
 _SCHOOL_NAMES = """names as (select s_nationkey as system, s_suppkey as school, n_name as system_name,
-        s_name as school_name from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 3 = 1)"""
+        s_name as school_name from supplier join nation on s_nationkey = n_nationkey where s_acctbal > 0)"""
 
 
 def _report_sql(level, names, columns) -> str:

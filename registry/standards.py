@@ -98,9 +98,9 @@ def student_table_query(spark, sf_dir):
 
 
 def carry_forward_query(spark, sf_dir):
-    """Supplier names known for every fourth supplier, carried on in key order."""
+    """Supplier names, known for those with much on account, carried on in key order."""
     names = table(spark, sf_dir, "supplier").select(
-        "s_suppkey", "s_nationkey", F.expr("case when s_suppkey % 4 = 3 then s_name end").alias("known_name")
+        "s_suppkey", "s_nationkey", F.expr("case when s_acctbal > 5000 then s_name end").alias("known_name")
     )
     return carry_forward(names, "known_name", ["s_suppkey"], int_steps(F.col("s_suppkey")), "0", out="name")
 
@@ -214,7 +214,7 @@ ORACLES = {
         select id, {_ROUND_ALL}, {_FLAGS}, system, school, race_ethnicity, ed, el, swd, count(*) as copies
         from students group by all""",
     "carry_forward": """with names as (
-            select s_suppkey, s_nationkey, case when s_suppkey % 4 = 3 then s_name end as known_name from supplier)
+            select s_suppkey, s_nationkey, case when s_acctbal > 5000 then s_name end as known_name from supplier)
         select *, coalesce(last_value(known_name ignore nulls) over (order by s_suppkey
             rows between unbounded preceding and current row), '0') as name from names""",
     "carry_forward_records": f"""with {ASSESSMENT_SQL}

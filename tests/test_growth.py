@@ -4,7 +4,7 @@ import math
 import random
 
 import pytest
-from helpers import r_quantile, rows, sort_rows
+from helpers import r_quantile, rows
 from pyspark.sql import functions as F
 
 from tallymark.functions.bands import SCORE_LABELS

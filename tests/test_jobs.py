@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import pytest
 from helpers import optimized, plan, rows, sort_rows
-from pyspark.sql import functions as F
-
 from tallymark.operators.reconcile import reconcile
 from tallymark.plans.check import check_report
 from tallymark.plans.release import release_duplicates, release_students, release_table
