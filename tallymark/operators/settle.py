@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,27 +24,29 @@ def settle(df: DataFrame) -> DataFrame:
 
 def new_path(spark: SparkSession) -> str:
     """An unused path in the cluster's checkpoint folder."""
-    path = f"{_folder(spark)}/tallymark-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/tallymark-{uuid4().hex}"
     _written.append(path)
     return path
 
 
 def clear_settled(spark: SparkSession) -> int:
     """Delete the tables this process settled; returns how many there were."""
+    return drop_paths(spark, list(_written))
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> int:
+    """Delete tables at ``paths``, once nothing will read them again."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path
     configuration = spark._jsc.hadoopConfiguration()
-    paths, _written[:] = list(_written), []
-    for path in map(jvm_path, paths):
-        path.getFileSystem(configuration).delete(path, True)
+    for path in paths:
+        jvm_path(path).getFileSystem(configuration).delete(jvm_path(path), True)
+    _written[:] = [p for p in _written if p not in paths]
     return len(paths)
 
 
-def _folder(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallymark-"))
-        folder = context.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
