@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, secrets
+from . import quality_rules, secrets, substrings
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op6_substring_dedup(spark, sf_dir):
+    return substrings.digests(substrings.remove_repeated(table(spark, sf_dir, "documents")))
+
+
 @query
 def op8_secret_scans(spark, sf_dir):
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
