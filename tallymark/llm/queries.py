@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, secrets, substrings
+from . import bpe, quality_rules, secrets, substrings
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +33,13 @@ def op8_secret_scans(spark, sf_dir):
     return found.select("doc_id", *counts, digest.alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"))
 
 
+@query
+def op9_bpe_encoding_and_decoding(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digests(bpe.decode(bpe.encode(docs, path).drop("text"), path))
+
+
 @query
 def op10_quality_rules(spark, sf_dir):
     docs = quality_rules.measured(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
