@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, quality_rules, secrets, substrings
+from . import bpe, quality_rules, secrets, substrings, token_files, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -20,11 +20,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_warc(spark, sf_dir):
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.page_rows(warc.read_archives(warc.splits(manifest))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLES["op2_warc"] = """
+with rows as (
+    select page_id, coalesce(html, '') as html, min(page_id) over (partition by coalesce(html, '')) as first from pages
+), bits as (
+    select page_id, strlen(html) as payload_bytes, html, first,
+           regexp_replace(sha1(html), '(.)', '\\1', 'g') as hex
+    from rows
+)
+select page_id, payload_bytes,
+       (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+            (('0x' || substr(hex, 1 + (i * 5) // 4, 1))::int * 16
+             + coalesce(('0x' || nullif(substr(hex, 2 + (i * 5) // 4, 1), ''))::int, 0))
+            >> (3 - (i * 5) % 4)) % 32, 1), '' order by i) from range(32) r(i)) as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from bits
+"""
+
+
 @query
 def op6_substring_dedup(spark, sf_dir):
     return substrings.digests(substrings.remove_repeated(table(spark, sf_dir, "documents")))
 
 
+@query
+def op7_token_id_binary_output(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.read_files(token_files.write_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
 @query
 def op8_secret_scans(spark, sf_dir):
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
