@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, quality_rules, secrets, substrings, token_files, warc
+from . import bpe, classifier, quality_rules, secrets, substrings, token_counts, token_files, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -47,6 +47,13 @@ from bits
 """
 
 
+@query
+def op3_token_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return token_counts.count_sections(docs, path, pattern, sections=token_counts.sentences, rule="largest")
+
+
 @query
 def op4_quality_classifier(spark, sf_dir):
     return classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
