@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, quality_rules, secrets, substrings, token_counts, token_files, warc
+from . import bpe, classifier, decontaminate, quality_rules, secrets, substrings, token_counts, token_files, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,11 @@ def op4_quality_classifier(spark, sf_dir):
     return classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op6_substring_dedup(spark, sf_dir):
     return substrings.digests(substrings.remove_repeated(table(spark, sf_dir, "documents")))

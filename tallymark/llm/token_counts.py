@@ -82,7 +82,7 @@ def sentences(text: Column) -> Column:
 
 
 def _lengths(text: Column, between: str) -> Column:
-    return F.transform(F.split(text, between), F.octet_length)
+    return F.transform(F.split(text, between), lambda part: F.octet_length(part))
 
 
 def count_sections(
