@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, decontaminate, quality_rules, secrets, substrings, token_counts, token_files, warc
+from . import bpe, classifier, decontaminate, jaccard_join, quality_rules, secret_scan, substrings, token_counts, token_files, warc
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 @query
 def op2_warc(spark, sf_dir):
     manifest = warc.write_archives(table(spark, sf_dir, "pages"))
@@ -77,10 +82,10 @@ def op7_token_id_binary_output(spark, sf_dir):
 
 @query
 def op8_secret_scans(spark, sf_dir):
-    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [secrets.count_of("base", kind).alias(f"n_{kind}") for kind in secrets.KINDS]
-    digest = F.sha2(secrets.joined(F.col("base")).cast("binary"), 256)
-    return found.select("doc_id", *counts, digest.alias("base_sha256"), secrets.joined(F.col("found")).alias("spans"))
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [secret_scan.count_of("base", kind).alias(f"n_{kind}") for kind in secret_scan.KINDS]
+    digest = F.sha2(secret_scan.joined(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.joined(F.col("found")).alias("spans"))
 
 
 @query
