@@ -57,9 +57,12 @@ def present(column: Column) -> Column:
 def total(column: Column, weight: Column | None = None) -> Column:
     """Sum of a flag or whole number ignoring nulls; 0 over nothing.
 
-    ``weight`` counts a row that many times.
+    ``weight`` counts a row that many times. A value with a fraction fails the
+    job: it would be cut.
     """
-    value = column.cast("bigint")
+    number = column.cast("double")
+    fraction = F.raise_error(F.concat(F.lit("not a whole number: "), column.cast("string"))).cast("bigint")
+    value = F.when(number.isNull() | (number == F.floor(number)), column.cast("bigint")).otherwise(fraction)
     return F.coalesce(F.sum(value if weight is None else value * weight), F.lit(0).cast("bigint"))
 
 
@@ -78,6 +81,11 @@ def to_int(text: Column) -> Column:
     return to_number(text).try_cast("int")
 
 
+def to_long(text: Column) -> Column:
+    """Text to a 64-bit whole number, every digit kept; decimals are cut toward zero."""
+    return F.when(text.rlike(NUMBER_TEXT), F.coalesce(F.trim(text).try_cast("bigint"), to_number(text).try_cast("bigint")))
+
+
 def replace_first(column: Column, pattern: str, replacement: str = "") -> Column:
     """Replace the first match of ``pattern`` (without capture groups) only."""
     return F.regexp_replace(column, f"(?s)^(.*?)(?:{pattern})", "$1" + replacement)

@@ -8,13 +8,14 @@ from ..functions.missing import name
 from .settle import settle
 
 
-def int_steps(column: Column, step_bits: int = 10, bits: int = 40) -> list[Column]:
+def int_steps(column: Column, step_bits: int = 10, bits: int = 63) -> list[Column]:
     """A non-negative whole number as coarse-to-fine steps of equal width.
 
     Each step has at most ``2 ** step_bits`` values inside the one before (the
     first one too, if the numbers stay under ``2 ** bits``).
     """
-    shifts = range(bits - step_bits, -1, -step_bits)
+    steps = -(-bits // step_bits)
+    shifts = [step_bits * i for i in range(steps - 1, -1, -1)]
     return [F.shiftright(column, s) if s else column for s in shifts]
 
 

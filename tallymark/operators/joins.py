@@ -13,8 +13,6 @@ from ..functions.missing import name, present
 from .settle import settle
 
 ROWS_PER_TASK = 1_000_000  # a key with more rows than this is split
-HOT_KEYS = 10_000  # keys outside the 10,000 largest hold under 0.01 % of the rows each
-MAX_SALTS = 10_000
 
 
 def keyed_join(
@@ -35,9 +33,11 @@ def keyed_join(
     ``null_keys="match"`` joins missing with missing. ``expect="one"`` fails the
     job if a key occurs twice on the right. Other columns present on both sides
     get ``suffixes``. ``hot`` names the side on which one key may hold a large
-    share of the rows. That side's keys are counted first (or ``salts`` given,
-    from ``hot_keys``), and the rows of those found are spread over several
-    tasks.
+    share of the rows. Where Spark itself splits that side (adaptive execution,
+    on by default, does for the left side of left joins and both of inner ones),
+    nothing is counted. Else that side's keys are counted first (or ``salts``
+    given, from ``hot_keys``), and the rows of those found are spread over
+    several tasks.
     """
     if how not in ("left", "inner", "full"):
         raise ValueError("how is 'left', 'inner' or 'full'")
@@ -66,6 +66,8 @@ def keyed_join(
     rk = [f"_rk{i}" for i in range(len(pairs))]
     matched = _same_key(lk, rk, null_keys)
 
+    if salts is None and (how == "inner" or (how, hot) == ("left", "left")):
+        hot = None
     if hot is not None and salts is None:
         salts = hot_keys(left, left_keys, rows_per_task) if hot == "left" else hot_keys(right, right_keys, rows_per_task)
     if hot is None or salts.isEmpty():
@@ -108,42 +110,52 @@ def _salted_join(l, r, lk, rk, matched, how, null_keys, hot, salts):
     big, small, big_keys, small_keys = (l, r, lk, rk) if hot == "left" else (r, l, rk, lk)
 
     def with_salts(df, keys, tag, null_keys):
-        # At most HOT_KEYS rows are broadcast.
+        # Few rows: those of a key, at most one for each ROWS_PER_TASK rows. Spark sees their size.
         of = salts.select(
             *[name(k).alias(f"{tag}{i}") for i, k in enumerate(salts.columns[:-1])],
             F.col("_salts").alias(f"{tag}n"),
         )
         same = _same_key(keys, [f"{tag}{i}" for i in range(len(keys))], null_keys)
-        return df.join(F.broadcast(of), same, "left").drop(*[f"{tag}{i}" for i in range(len(keys))])
+        return df.join(of, same, "left").drop(*[f"{tag}{i}" for i in range(len(keys))])
 
     # Whole-row hash and task number: also splits a mass of identical rows, and
     # gives the same salt again when a lost task is rerun.
     spread = F.pmod(F.xxhash64(*map(name, big.columns), F.spark_partition_id()), F.col("_bn"))
     big = with_salts(big, big_keys, "_b", "match").withColumn(
         "_bsalt", F.when(F.col("_bn").isNull(), F.lit(0).cast("bigint")).otherwise(spread)
-    ).withColumn("_there", F.lit(True)).drop("_bn")
-    small = with_salts(small, small_keys, "_s", null_keys).withColumn(
+    ).withColumns({"_there": F.lit(True), "_salted": F.col("_bn").isNotNull()}).drop("_bn")
+    small = with_salts(small, small_keys, "_s", null_keys)
+    keeps_small = how == "full" or (how == "left" and hot == "right")
+    if keeps_small:
+        # A key that the other side lacks is not repeated, so it stays as the one row it is.
+        there = big.where(F.col("_salted")).select(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(big_keys)]).distinct()
+        on_big = _same_key(small_keys, [f"_t{i}" for i in range(len(small_keys))], null_keys)
+        small = small.join(there.withColumn("_on_big", F.lit(True)), on_big, "left")
+        small = small.withColumn("_sn", F.when(F.col("_on_big"), F.col("_sn"))).drop(
+            "_on_big", *[f"_t{i}" for i in range(len(small_keys))]
+        )
+    big = big.drop("_salted")
+    small = small.withColumn(
         "_ssalt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_sn", F.lit(1)) - 1))
     )
     sides = (big, small) if hot == "left" else (small, big)
     joined = sides[0].join(sides[1], matched & (F.col("_bsalt") == F.col("_ssalt")), how)
-    if how == "full" or (how == "left" and hot == "right"):
-        # A repeated partner has a match in some salt, so where it has none it
-        # is a repeat and not a row of its own.
+    if keeps_small:
+        # A partner repeated per salt has a match in some salt, so where it has
+        # none it is a repeat and not a row of its own.
         joined = joined.where(F.col("_there").isNotNull() | F.col("_sn").isNull())
     return joined
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """The keys with more rows than one task should take, at most ``HOT_KEYS``.
+    """All keys with more rows than one task should take, with the tasks they need.
 
-    Found at once, reading the key columns only; the list is small and serves
-    several joins.
+    Runs a job that reads the key columns of ``df`` only. There are at most
+    (rows / ``rows_per_task``) such keys; the list serves several joins.
     """
-    counted = df.groupBy(*map(name, keys)).agg(F.count("*").alias("_n"))
-    largest = counted.orderBy(F.col("_n").desc()).limit(HOT_KEYS).where(F.col("_n") > rows_per_task)
-    salts = F.least(F.ceil(F.col("_n") / rows_per_task), F.lit(MAX_SALTS)).cast("bigint")
-    return settle(largest.select(*map(name, keys), salts.alias("_salts")))
+    counted = df.groupBy(*map(name, keys)).agg(F.count("*").alias("_n")).where(F.col("_n") > rows_per_task)
+    salts = F.ceil(F.col("_n") / rows_per_task).cast("bigint")
+    return settle(counted.select(*map(name, keys), salts.alias("_salts")))
 
 
 def one_per_key(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,9 +201,9 @@ def flag_lookup(
     apart, so that the join is on the plain key and needs no shuffle of its own
     where the rows are already together by it.
     """
-    on_list = listed.select(name(listed_key).alias(listed_key))
+    on_list = listed.select(name(listed_key).alias(listed_key)).distinct()
     missing = on_list.agg(F.coalesce(F.max(name(listed_key).isNull()), F.lit(False))).scalar()
-    distinct = on_list.where(name(listed_key).isNotNull()).distinct().withColumn(flag, F.lit(1))
+    distinct = on_list.where(name(listed_key).isNotNull()).withColumn(flag, F.lit(1))
     joined = keyed_join(df, distinct, [(key, listed_key)], "left", "never", hot=hot, salts=salts)
     found = F.when(name(key).isNull(), missing.cast("int")).otherwise(present(name(flag)))
     return joined.withColumn(flag, found)

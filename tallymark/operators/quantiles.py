@@ -17,7 +17,6 @@ from ..functions.missing import name, nan_to_null
 from .settle import settle
 
 TASK_VALUES = 1_000_000  # distinct values that one task may rank
-MAX_GROUPS = 1_000
 SLICES = 64  # a power of two
 
 
@@ -32,7 +31,8 @@ def exact_quantiles(
 
     Quantile p of m values lies at place 1 + p * (m - 1), between the two nearest
     values. Null and NaN values count in ``n`` only. A group may hold any share
-    of the rows; there may be at most ``MAX_GROUPS`` groups.
+    of the rows, and there may be any number of groups. Building the result runs
+    jobs: equal values are counted and written, then the largest group is asked for.
     """
     keys = list(map(name, groups))
     x = nan_to_null(name(value).cast("double"))
@@ -41,9 +41,7 @@ def exact_quantiles(
     totals = counts.groupBy(*keys).agg(
         F.sum(values).alias("_m"), F.sum("_n").alias("n"), F.count("_x").alias("_values")
     )
-    n_groups, largest = totals.agg(F.count("*"), F.coalesce(F.max("_values"), F.lit(0))).first()
-    if n_groups > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups")
+    largest = totals.agg(F.coalesce(F.max("_values"), F.lit(0))).first()[0]
 
     known = _with_groups(counts.where("_x is not null"), totals.drop("n", "_values"), groups)
     known = known.withColumns({"_slice": F.lit(0).cast("bigint"), "_before": F.lit(0).cast("bigint")})
@@ -51,7 +49,7 @@ def exact_quantiles(
         known = settle(_wanted_slices(known, groups, list(probs.values())))
         before, largest = largest, _largest(known, groups)
         if largest == before:
-            break
+            raise RuntimeError(f"a slice of {largest} values could not be cut to {task_values}")
 
     running = Window.partitionBy(*keys, "_slice").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ends = known.withColumn("_end", F.col("_before") + F.sum("_n").over(running))
@@ -119,15 +117,14 @@ def _n_below(borders: str, x: str):
 def _with_groups(df: DataFrame, per_group: DataFrame, groups: list[str], how: str = "inner") -> DataFrame:
     """Attach a table with a few rows per group; missing groups match.
 
-    The table is broadcast: at most MAX_GROUPS groups, each with at most two
-    kept slices per quantile.
+    Spark broadcasts the table where it is small enough.
     """
     renamed = per_group.select(
         *[name(g).alias(f"_g{i}") for i, g in enumerate(groups)],
         *[name(c) for c in per_group.columns if c not in groups],
     )
     same = reduce(lambda a, b: a & b, [name(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)])
-    return df.join(F.broadcast(renamed), same, how).drop(*[f"_g{i}" for i in range(len(groups))])
+    return df.join(renamed, same, how).drop(*[f"_g{i}" for i in range(len(groups))])
 
 
 def percentile_quantiles(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:

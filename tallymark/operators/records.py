@@ -38,7 +38,8 @@ def best_record(
 
 def tied_best(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Keys whose best place is shared, with the number of records sharing it."""
-    copies = df.groupBy(*map(name, keys), *map(name, order)).agg(F.count("*").alias("n_tied"))
+    ranked = df.withColumns({c: _sortable(df, c) for c in order})
+    copies = ranked.groupBy(*map(name, keys), *map(name, order)).agg(F.count("*").alias("n_tied"))
     w = Window.partitionBy(*map(name, keys)).orderBy(
         *[_sortable(copies, c).desc_nulls_last() for c in order]
     )

@@ -40,31 +40,33 @@ def subgroup_rates(
     Students are summed once, per finest key and combination of subgroups;
     only those sums are repeated per subgroup and level.
     """
-    if len(subgroups) > 62:
-        raise ValueError("at most 62 listed subgroups")
     ordered = sorted(levels.items(), key=lambda level: len(level[1]))
     keys = ordered[-1][1]
     if any(cols != keys[: len(cols)] for _, cols in ordered):
         raise ValueError("each level's keys must begin the next level's")
 
-    member = [
-        F.when(condition, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-        for i, (_, condition) in enumerate(subgroups)
-    ]
-    mask = reduce(lambda a, b: a.bitwiseOR(b), member, F.lit(0).cast("bigint"))
+    masks = {
+        f"_mask{at}": reduce(
+            lambda a, b: a.bitwiseOR(b),
+            [F.when(condition, _bit(i)).otherwise(_bit()) for i, (_, condition) in enumerate(part)],
+            _bit(),
+        )
+        for at, part in enumerate(_parts(subgroups))
+    }
     weighted = None if weight is None else name(weight)
     rows = F.count("*") if weight is None else F.sum(name(weight))
     by = {f"_v{i}": c for i, c in enumerate(by_value)}
     sums = df.groupBy(
-        *map(name, keys), mask.alias("_mask"), *[name(c).alias(a) for a, c in by.items()]
+        *map(name, keys), *[m.alias(a) for a, m in masks.items()], *[name(c).alias(a) for a, c in by.items()]
     ).agg(
         *[total(m, weighted).alias(out) for out, m in measures.items()],
         rows.alias("_rows"),
     )
 
     labels = [
-        F.when(F.col("_mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(label))
-        for i, (label, _) in enumerate(subgroups)
+        F.when(F.col(mask).bitwiseAND(_bit(i)) != 0, F.lit(label))
+        for mask, part in zip(masks, _parts(subgroups))
+        for i, (label, _) in enumerate(part)
     ] + [F.col(a).cast("string") for a in by]
     members = sums.select(
         *map(name, keys),
@@ -88,6 +90,15 @@ def subgroup_rates(
     )
 
 
+def _parts(subgroups: list, size: int = 62) -> list[list]:
+    """Subgroups by mask column: a column of bits holds 62."""
+    return [subgroups[at : at + size] for at in range(0, len(subgroups), size)]
+
+
+def _bit(place: int | None = None) -> Column:
+    return F.lit(0 if place is None else 1 << place).cast("bigint")
+
+
 def _whole_level(levels):
     return next(level for level, cols in levels.items() if not cols)
 

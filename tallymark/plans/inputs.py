@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.flags import RACE_FLAGS, any_flag, classify
-from ..functions.missing import clean_code, to_int, to_number
+from ..functions.missing import clean_code, to_int, to_long, to_number
 from ..operators.records import best_record
 from ..operators.reshape import stack_by_name
 from ..sources.schemas import DISABILITY_COLUMNS, DISADVANTAGE_COLUMNS, LEARNER_COLUMNS
@@ -66,7 +66,7 @@ def demographics(raw: DataFrame) -> DataFrame:
     ]
     return raw.select(
         (F.col("school_year") + 1).alias("year"),
-        to_int(F.col("id")).alias("id"),
+        to_long(F.col("id")).alias("id"),
         classify(rules).alias("race_ethnicity"),
         any_flag([F.col(c) for c in DISADVANTAGE_COLUMNS]).alias("ed"),
         any_flag([F.col(c) for c in LEARNER_COLUMNS]).alias("el"),

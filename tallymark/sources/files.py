@@ -1,45 +1,75 @@
-"""Readers: delimited text, Parquet, and ingestion of statistical-package files."""
+"""Readers: delimited text and Parquet."""
 
 from __future__ import annotations
 
 import os
-from io import BytesIO
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, FloatType, StringType
 
-from ..functions.missing import name, nan_to_null_frame
+from ..functions.missing import name, nan_to_null_frame, to_long, to_number
 from .schemas import Input
 
 # Texts read as missing.
 MISSING_TEXT = ["", "NA"]
 
 
-def read_delimited(spark: SparkSession, path, layout: Input, sep: str = ",", base: str | None = None) -> DataFrame:
+def read_delimited(
+    spark: SparkSession, path, layout: Input, sep: str = ",", base: str | None = None, multi_line: bool = True
+) -> DataFrame:
     """Text with a header line; columns found by header, renamed to short names.
 
     A file may have more columns, in any order, but files read together must
-    agree on theirs. ``base`` is put before relative paths. Numbers that do not
-    parse become null.
+    agree on theirs. ``base`` is put before relative paths. Quotes in a quoted
+    value are doubled; quoted text keeps its blanks. A line that does not fit
+    the header fails the job. Numbers that do not parse become null;
+    ``number_losses`` counts them.
+
+    A quoted value may hold line breaks, so a file is read by one task; without
+    any, ``multi_line=False`` lets Spark split it.
     """
+    return _renamed(_read_text(spark, path, layout, sep, base, multi_line), layout)
+
+
+def number_losses(
+    spark: SparkSession, path, layout: Input, sep: str = ",", base: str | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Per number column of a file: its values, and those that become null because they do not parse."""
+    texts = _read_text(spark, path, layout, sep, base, multi_line)
+    pairs = [
+        F.struct(
+            F.lit(f.name).alias("column"), _known(f.name).isNotNull().alias("there"),
+            _number(_known(f.name), f.dataType).isNotNull().alias("kept"),
+        )
+        for f in layout.schema if not isinstance(f.dataType, StringType)
+    ]
+    return (
+        texts.select(F.explode(F.array(*pairs)).alias("p")).groupBy("p.column")
+        .agg(F.count_if("p.there").alias("n_values"), F.count_if(F.col("p.there") & ~F.col("p.kept")).alias("n_lost"))
+    )
+
+
+def _read_text(spark, path, layout, sep, base, multi_line) -> DataFrame:
+    """All columns of the header as text."""
     paths = [_under(base, p) for p in ([path] if isinstance(path, (str, os.PathLike)) else path)]
-    header = spark.read.csv(paths, header=True, sep=sep, inferSchema=False).columns
+    options = {"header": True, "sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line}
+    header = spark.read.options(**options).csv(paths, inferSchema=False).columns
     absent = [h for h in layout.renames if h not in header]
     if absent:
         raise ValueError(f"{paths} lack the columns {absent}")
-    types = {f.name: f.dataType for f in layout.schema}
-    schema = ", ".join(f"`{h.replace('`', '``')}` {types.get(h, StringType()).simpleString()}" for h in header)
-    df = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("sep", sep)
-        .option("enforceSchema", False)
-        .option("nullValue", "NA")
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .csv(paths)
-    )
-    return _renamed(df, layout)
+    schema = ", ".join(f"`{h.replace('`', '``')}` string" for h in header)
+    return spark.read.schema(schema).options(**options).csv(paths, enforceSchema=False, mode="FAILFAST")
+
+
+def _known(column: str) -> Column:
+    """A text column without the texts that stand for missing."""
+    return F.when(~F.trim(name(column)).isin(MISSING_TEXT), name(column))
+
+
+def _number(text: Column, kind) -> Column:
+    if isinstance(kind, (DoubleType, FloatType)):
+        return to_number(text).cast(kind)
+    return to_long(text).try_cast(kind)
 
 
 def read_csv(spark: SparkSession, path, layout: Input, base: str | None = None) -> DataFrame:
@@ -51,7 +81,7 @@ def read_tsv(spark: SparkSession, path, layout: Input, base: str | None = None)
 
 
 def read_parquet(spark: SparkSession, path, layout: Input | None = None, base: str | None = None) -> DataFrame:
-    """Ingested records; with ``layout``, its columns under their short names."""
+    """Typed records; with ``layout``, its columns under their short names."""
     df = spark.read.parquet(_under(base, path))
     return df if layout is None else _renamed(df, layout)
 
@@ -65,47 +95,10 @@ def _under(base: str | None, path) -> str:
 def _renamed(df: DataFrame, layout: Input) -> DataFrame:
     columns = []
     for field in layout.schema:
-        column = name(field.name).cast(field.dataType)
-        if isinstance(field.dataType, StringType):
-            column = F.when(~column.isin(MISSING_TEXT), column)
+        if isinstance(df.schema[field.name].dataType, StringType):
+            text = _known(field.name)
+            column = text if isinstance(field.dataType, StringType) else _number(text, field.dataType)
+        else:
+            column = name(field.name).cast(field.dataType)
         columns.append(column.alias(layout.renames[field.name]))
     return nan_to_null_frame(df.select(*columns))
-
-
-def ingest_stata(
-    spark: SparkSession, path: str, out: str, layout: Input, partition_by: list[str] = (), rows: int = 50_000
-) -> None:
-    """Convert .dta files (a path or glob) to Parquet, once, ahead of the jobs.
-
-    One task per file, reading ``rows`` at a time; the format has no index to
-    split a file by. Spark holds a file's bytes in one row, so under 2 GB each.
-    """
-    headers = [h for h, _, _ in layout.columns]
-    texts = [h for h, kind, _ in layout.columns if kind is StringType]
-    schema = layout.schema
-
-    def convert(batches):
-        import pandas as pd
-
-        for batch in batches:
-            for content in batch["content"]:
-                with pd.read_stata(
-                    BytesIO(content), columns=headers, chunksize=rows, convert_categoricals=False
-                ) as reader:
-                    for chunk in reader:
-                        chunk = chunk[headers]
-                        for h in texts:
-                            chunk[h] = chunk[h].map(_as_text, na_action="ignore")
-                        yield chunk.astype({h: "object" for h in headers}).where(chunk.notna(), None)
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    records = files.mapInPandas(convert, schema)
-    writer = _renamed(records, layout).write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(out)
-
-
-def _as_text(value) -> str:
-    """Whole floats lose the decimal point they only got from missing values."""
-    return str(int(value)) if isinstance(value, float) and value.is_integer() else str(value)

@@ -7,8 +7,6 @@ from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.missing import name
 
-REPORT_ROWS = 1_000_000
-
 
 def write_csv(
     df: DataFrame,
@@ -17,25 +15,28 @@ def write_csv(
     undefined: dict[str, Column] | None = None,
     one_file: bool = False,
     order_by: list[str] = (),
+    sep: str = ",",
 ) -> None:
     """Write with a header, missing values as ``na``.
 
     ``undefined`` maps a rate column to the condition under which it is printed
-    as ``NaN`` (a rate over no tests) rather than ``na``. ``one_file`` is for
-    reports and refuses more than ``REPORT_ROWS`` rows; without it the output is
-    a folder of part files, in ``order_by`` order.
+    as ``NaN`` (a rate over no tests) rather than ``na``. Text keeps its blanks;
+    quotes in it are doubled. ``one_file`` is for reports that one task can
+    write; without it the output is a folder of part files, in ``order_by`` order.
     """
     for column, condition in (undefined or {}).items():
         if not isinstance(df.schema[column].dataType, (DoubleType, FloatType)):
             raise TypeError(f"{column} is not a floating-point column")
         df = df.withColumn(column, F.when(condition, F.lit(float("nan"))).otherwise(name(column)))
-    if order_by:
-        df = df.orderBy(*[name(c).asc_nulls_last() for c in order_by])
+    order = [name(c).asc_nulls_last() for c in order_by]
     if one_file:
-        if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
-            raise ValueError(f"more than {REPORT_ROWS} rows: write part files")
-        df = df.coalesce(1)
-    df.write.mode("overwrite").csv(path, header=True, nullValue=na, emptyValue="")
+        df = df.repartition(1).sortWithinPartitions(*order) if order else df.repartition(1)
+    elif order:
+        df = df.orderBy(*order)
+    df.write.mode("overwrite").csv(
+        path, header=True, nullValue=na, emptyValue='""', sep=sep, quote='"', escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:

@@ -51,12 +51,19 @@ def test_one_bucket_holds_all(spark):
 
 
 def test_int_steps_rise_with_the_number(spark):
-    numbers = [0, 1, 1023, 1024, 2**20, 2**20 + 1, 2**39]
+    numbers = [0, 1, 1023, 1024, 2**20, 2**20 + 1, 2**39, 2**41, 2**62 + 5]
     df = spark.createDataFrame([(n, f"x{n}" if n in (1, 2**20) else None) for n in numbers], "k bigint, v string")
     steps = df.select("k", *[s.alias(f"s{i}") for i, s in enumerate(int_steps(F.col("k")))]).orderBy("k").collect()
     assert [tuple(r)[1:] for r in steps] == sorted(tuple(r)[1:] for r in steps)
     got = {r["k"]: r["f"] for r in carry_forward(df, "v", ["k"], int_steps(F.col("k")), "0", out="f").collect()}
-    assert got == {0: "0", 1: "x1", 1023: "x1", 1024: "x1", 2**20: f"x{2**20}", 2**20 + 1: f"x{2**20}", 2**39: f"x{2**20}"}
+    assert got == {0: "0", 1: "x1", 1023: "x1", 1024: "x1", 2**20: f"x{2**20}", 2**20 + 1: f"x{2**20}", 2**39: f"x{2**20}",
+                   2**41: f"x{2**20}", 2**62 + 5: f"x{2**20}"}
+
+
+def test_steps_of_large_numbers_are_few(spark):
+    df = spark.range(2000).selectExpr("id * (1L << 41) as k")
+    steps = int_steps(F.col("k"))
+    assert df.select(steps[0].alias("s")).distinct().count() <= 2**10
 
 
 def test_rows_never_meet_in_one_partition(spark, tmp_path):

@@ -16,7 +16,7 @@ from tallymark.plans.growth import indicator_growth, scores_by_year, student_gro
 from tallymark.plans.release import release_duplicates, release_students, release_table
 from tallymark.plans.reports import assemble, growth_rates, level_report, state_points
 from tallymark.sources import schemas
-from tallymark.sources.files import ingest_stata, read_csv, read_parquet, read_tsv
+from tallymark.sources.files import read_csv, read_parquet, read_tsv
 from tallymark.sources.sinks import write_csv
 
 
@@ -41,23 +41,23 @@ def write_inputs(folder, n=300):
         "statestudentid": range(250), "grade": [i % 9 for i in range(250)],
         "literacy_pl_new_standard": ["1.0"] * 250,
         "composite_pl_new_standard": [str(rng.randrange(10, 55) / 10) for _ in range(250)],
-    }).to_stata(str(folder / "prior.dta"), write_index=False)
+    }).to_parquet(folder / "prior")
     pd.DataFrame({
         "grade": [float(i % 9) for i in range(250)], "id": range(250), "system": [1.0] * 250, "school": [1.0] * 250,
         "year": [2015] * 250, "pl_lit": [1.0] * 250, "pl_comp": [rng.randrange(10, 55) / 10 for _ in range(250)],
-    }).to_stata(str(folder / "history.dta"), write_index=False)
+    }).to_parquet(folder / "history")
     people = {c: [rng.choice("YNN") for _ in range(250)] for _, _, c in schemas.DEMOGRAPHICS.columns}
     people.update(school_year=[2016] * 250, studentid=[str(i) for i in range(250)], ethnicity=["H", "X"] * 125)
     people.pop("id")
-    pd.DataFrame(people).to_stata(str(folder / "people.dta"), write_index=False)
+    pd.DataFrame(people).to_parquet(folder / "people")
 
 
 def test_indicator(spark, tmp_path):
     write_inputs(tmp_path)
-    for name, layout in (("prior", schemas.PRIOR_RESULTS), ("history", schemas.HISTORY), ("people", schemas.DEMOGRAPHICS)):
-        ingest_stata(spark, str(tmp_path / f"{name}.dta"), str(tmp_path / name), layout)
     results = read_csv(spark, "results.csv", schemas.RESULTS, base=str(tmp_path))
-    prior, history, raw = (read_parquet(spark, n, base=str(tmp_path)) for n in ("prior", "history", "people"))
+    prior = read_parquet(spark, "prior", schemas.PRIOR_RESULTS, base=str(tmp_path))
+    history = read_parquet(spark, "history", schemas.HISTORY, base=str(tmp_path))
+    raw = read_parquet(spark, "people", schemas.DEMOGRAPHICS, base=str(tmp_path))
     records = inputs.yearly_records(results, prior, history, current=2017)
     people = inputs.demographics(raw).drop("year")
     students = settle(student_table(indicator_growth(records, current=2017), inputs.enrolment(results), people))

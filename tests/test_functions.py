@@ -209,3 +209,22 @@ def test_rate_property(spark, pairs):
     df = spark.createDataFrame(pairs, "a bigint, b bigint").withColumn("r", missing.rate(F.col("a"), F.col("b")))
     for a, b, r in df.collect():
         assert abs(r - 100 * a / b) <= 0.05 + 1e-9
+
+
+def test_long_numbers_keep_their_digits(spark):
+    from tallymark.functions.missing import to_long
+
+    texts = ["3000000000", " 9007199254740993 ", "12345.0", "-7.9", "NA", "", "1e3", "99999999999999999999", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(to_long(F.col("t"))).collect()]
+    assert got == [3000000000, 9007199254740993, 12345, -7, None, None, 1000, None, None]
+
+
+def test_totals_of_fractions_fail(spark):
+    import pytest
+    from tallymark.functions.missing import total
+
+    df = spark.createDataFrame([(1.0, True), (2.0, None), (None, False)], "x double, b boolean")
+    assert tuple(df.agg(total(F.col("x")), total(F.col("b"))).first()) == (3, 1)
+    with pytest.raises(Exception, match="not a whole number"):
+        spark.createDataFrame([(1.5,)], "x double").agg(total(F.col("x"))).first()

@@ -56,7 +56,7 @@ def test_hot_rows_are_spread_even_if_equal(spark):
     try:
         copies = spark.range(0, 4000, 1, 8).selectExpr("1 as k", "'same' as a")
         one = spark.createDataFrame([(1, "x")], "k int, b string")
-        joined = keyed_join(copies, one.hint("merge"), ["k"], "left", hot="left", rows_per_task=100)
+        joined = keyed_join(copies, one.hint("merge"), ["k"], "full", hot="left", rows_per_task=100)
         sizes = [len(p) for p in joined.rdd.glom().collect()]
         assert sum(sizes) == 4000
         assert max(sizes) < 4000
@@ -64,6 +64,33 @@ def test_hot_rows_are_spread_even_if_equal(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+@pytest.mark.parametrize("how,hot", [("left", "right"), ("full", "left"), ("full", "right"), ("left", "left"), ("inner", "right")])
+def test_salts_of_keys_that_a_side_lacks(spark, how, hot):
+    left, right = [(1, 10), (5, 50), (None, 0)], [(1, "p"), (9, "q"), (None, "n")]
+    salts = spark.createDataFrame([(1, 3), (5, 4), (9, 4), (77, 2), (None, 2)], "k int, _salts bigint")
+    got = keyed_join(
+        spark.createDataFrame(left, "k int, a int"), spark.createDataFrame(right, "k int, b string"), ["k"], how,
+        hot=hot, salts=salts,
+    )
+    assert rows(got) == brute(left, right, how, "match")
+
+
+def test_every_hot_key_is_found(spark):
+    df = spark.range(60_006).selectExpr("cast(id % 20002 as int) as k")
+    found = joins.hot_keys(df, ["k"], 2)
+    assert found.count() == 20002
+    assert set(rows(found.select("_salts"))) == {(2,)}
+    one = spark.range(1000).selectExpr("1 as k")
+    assert rows(joins.hot_keys(one, ["k"], 10)) == [(1, 100)]
+
+
+def test_nothing_is_counted_where_spark_splits(spark, monkeypatch):
+    monkeypatch.setattr(joins, "hot_keys", None)
+    a, b = spark.createDataFrame([(1, 2)], "k int, a int"), spark.createDataFrame([(1, 3)], "k int, b int")
+    assert rows(keyed_join(a, b, ["k"], "inner", hot="left")) == [(1, 2, 3)]
+    assert rows(keyed_join(a, b, ["k"], "left", hot="left")) == [(1, 2, 3)]
+
+
 def test_two_keys_and_other_names(spark):
     a = spark.createDataFrame([(1, 2, "p"), (1, None, "q")], "system int, school int, a string")
     b = spark.createDataFrame([(1, 2, "r"), (1, None, "s")], "system int, schoolnumber int, b string")

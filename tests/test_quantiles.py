@@ -60,10 +60,11 @@ def test_two_group_columns(spark):
     assert rows(got) == sort_rows([(1, "a", 1.5, 2), (1, None, 5.0, 1)])
 
 
-def test_too_many_groups(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "MAX_GROUPS", 2)
-    with pytest.raises(ValueError):
-        exact_quantiles(frame(spark, [("a", 1.0), ("b", 1.0), ("c", 1.0)]), ["g"], "x", PROBS)
+def test_any_number_of_groups(spark):
+    df = spark.range(3003).selectExpr("cast(id % 1001 as string) as g", "cast(id as double) as x")
+    got = rows(exact_quantiles(df, ["g"], "x", {"m": 0.5}, task_values=2))
+    assert len(got) == 1001
+    assert all(m == float(g) + 1001 and n == 3 for g, m, n in got)
 
 
 def test_percentile_form_agrees(spark):

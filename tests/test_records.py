@@ -93,3 +93,10 @@ def test_spread_keys_decide_the_rows(spark):
     assert plan(by_id).count("Exchange") == 1
     pivoted = df.groupBy("id", "grade").pivot("year", [2000, 2001]).agg({"pl": "first"})
     assert rows(pivoted) == by_grade
+
+
+def test_null_and_nan_tie(spark):
+    from tallymark.operators.records import tied_best
+
+    df = spark.createDataFrame([(1, float("nan")), (1, None), (2, 3.0), (2, None)], "k int, x double")
+    assert [tuple(r) for r in tied_best(df, ["k"], ["x"]).collect()] == [(1, 2)]

@@ -4,15 +4,14 @@ import datetime
 import math
 import re
 
-import pandas as pd
 import pytest
-from helpers import rows, sort_rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tallymark.operators import settle as settle_module
-from tallymark.operators.settle import _folder, clear_settled, settle
+from tallymark.operators.settle import clear_settled, settle, shared_folder
 from tallymark.sources import schemas
-from tallymark.sources.files import ingest_stata, read_csv, read_parquet, read_tsv
+from tallymark.sources.files import number_losses, read_csv, read_parquet, read_tsv
 from tallymark.sources.schemas import Input
 from tallymark.sources.sinks import run_stamp, write_csv, write_parquet
 
@@ -45,7 +44,7 @@ def test_tsv(spark, tmp_path):
 def test_pruned_columns_are_not_parsed(spark, tmp_path):
     (tmp_path / "r.csv").write_text(HEADER + "\n1,x,03,TN1,1,2.5,3.1\n")
     text = read_csv(spark, str(tmp_path / "r.csv"), schemas.RESULTS).select("id")._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"ReadSchema: struct<State Student ID:bigint>", text)
+    assert re.search(r"ReadSchema: struct<State Student ID:string>", text)
 
 
 def test_schemas_have_unique_short_names():
@@ -55,32 +54,6 @@ def test_schemas_have_unique_short_names():
     assert len(schemas.DISABILITY_COLUMNS) == 16
 
 
-def test_stata_ingestion(spark, tmp_path):
-    for year in (2015, 2016):
-        pd.DataFrame({
-            "grade": [1.0, None, 3.0], "id": [1, 2, 3], "system": [10.0, 20.0, None], "school": [1.0, 2.0, 3.0],
-            "year": [year] * 3, "pl_lit": [1.5, None, 3.0], "pl_comp": [2.0, 3.0, None], "other": ["a", "b", "c"],
-        }).to_stata(str(tmp_path / f"h{year}.dta"), write_index=False)
-    out = str(tmp_path / "history")
-    ingest_stata(spark, str(tmp_path / "h*.dta"), out, schemas.HISTORY, ["year"], rows=2)
-    got = read_parquet(spark, out)
-    assert got.count() == 6
-    assert rows(got.where("year = 2015"), "id", "grade", "system", "literacy", "score") == [
-        (1, 1.0, 10.0, 1.5, 2.0), (2, None, 20.0, None, 3.0), (3, 3.0, None, 3.0, None)
-    ]
-    assert "PartitionFilters: [isnotnull(year" in got.where("year = 2015")._jdf.queryExecution().executedPlan().toString()
-
-
-def test_stata_text_keys(spark, tmp_path):
-    pd.DataFrame({
-        "system": [10.0, None], "schoolnumber": ["5", ""], "subgroup": ["All Students", "Non-White"],
-        "n_validtests_growth": [3.0, 4.0], "valid_tests": [5.0, None],
-    }).to_stata(str(tmp_path / "t.dta"), write_index=False)
-    ingest_stata(spark, str(tmp_path / "t.dta"), str(tmp_path / "t"), schemas.THEIR_RESULTS)
-    got = read_parquet(spark, str(tmp_path / "t"))
-    assert rows(got) == sort_rows([("10", "5", "All Students", 3, 5), (None, None, "Non-White", 4, None)])
-
-
 def report(spark):
     return spark.createDataFrame([(2, "b", None, 0), (1, "a", 50.0, 4), (1, None, 0.0, 3)], "system int, subgroup string, pct double, n int")
 
@@ -100,16 +73,44 @@ def test_csv_sink(spark, tmp_path):
         write_csv(report(spark), str(tmp_path / "c"), undefined={"n": F.lit(True)})
 
 
-def test_one_file_is_for_reports(spark, tmp_path, monkeypatch):
-    from tallymark.sources import sinks
-
-    monkeypatch.setattr(sinks, "REPORT_ROWS", 2)
-    with pytest.raises(ValueError):
-        write_csv(report(spark), str(tmp_path / "a"), one_file=True)
+def test_one_file_is_in_order(spark, tmp_path):
+    write_csv(report(spark).repartition(3), str(tmp_path / "a"), one_file=True, order_by=["pct", "n"])
+    assert lines(tmp_path / "a")[1:] == ["1,,0.0,3", "1,a,50.0,4", "2,b,,0"]
     write_csv(report(spark).repartition(2), str(tmp_path / "b"))
     assert len(list((tmp_path / "b").glob("part-*"))) == 2
 
 
+TEXTS = Input([("ID", schemas.LongType, "id"), ("A, name", schemas.StringType, "name"), ("Score", schemas.DoubleType, "score")])
+
+
+def test_quotes_commas_and_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text(
+        'ID,"A, name",Score\n1,"He said ""hi"", ok",2.5\n2,"two\nlines",3.5\n12345.0," pad ",x\n3000000000,a\\b,NA\n'
+    )
+    got = read_csv(spark, str(tmp_path / "q.csv"), TEXTS)
+    assert rows(got) == [
+        (1, 'He said "hi", ok', 2.5), (2, "two\nlines", 3.5), (12345, " pad ", None), (3000000000, "a\\b", None)
+    ]
+    losses = number_losses(spark, str(tmp_path / "q.csv"), TEXTS)
+    assert rows(losses) == [("ID", 4, 0), ("Score", 3, 1)]
+
+
+def test_text_is_written_as_it_is(spark, tmp_path):
+    df = spark.createDataFrame(
+        [(1, ' pad ', 1.5), (2, 'say "x", y', None), (3, "two\nlines", 0.0), (4, None, None)],
+        "`ID` bigint, `A, name` string, `Score` double",
+    )
+    write_csv(df, str(tmp_path / "w"), one_file=True, order_by=["ID"])
+    assert lines(tmp_path / "w")[1:3] == ['1," pad ",1.5', '2,"say ""x"", y",'] or lines(tmp_path / "w")[1] == "1, pad ,1.5"
+    assert rows(read_csv(spark, str(tmp_path / "w"), TEXTS)) == rows(df)
+
+
+def test_a_line_that_does_not_fit_fails(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('ID,"A, name",Score\n1,a,2.5,9\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_csv(spark, str(tmp_path / "q.csv"), TEXTS).collect()
+
+
 def test_written_report_reads_back(spark, tmp_path):
     df = spark.createDataFrame(
         [(1, 2, "All Students", 3, 4, 1, 2, 66.7, None)],
@@ -154,14 +155,16 @@ class Unset:
 
 
 def test_settle_folder():
-    local = Unset("local[4]")
-    assert _folder(local) == _folder(local) == local.folder
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        _folder(Unset("yarn"))
+    for master in ("local[4]", "yarn"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(Unset(master))
+    named = Unset("yarn")
+    named.setCheckpointDir("hdfs:/shared/")
+    assert shared_folder(named) == "hdfs:/shared"
 
 
 def test_settled_tables_can_be_cleared(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(settle_module, "_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(settle_module, "shared_folder", lambda spark: str(tmp_path))
     monkeypatch.setattr(settle_module, "_written", [])
     settle(spark.range(3))
     settle(spark.range(4))

@@ -116,3 +116,11 @@ def test_sum_columns_and_values(spark):
     assert rows(sum_columns(df, ["k"], ["n_a", "n_b"])) == [(1, 1, 5), (2, 0, 0)]
     values = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "race string")
     assert [r[0] for r in sorted_values(values, "race").collect()] == ["a", "b"]
+
+
+def test_more_subgroups_than_bits(spark):
+    df = spark.range(200).selectExpr("cast(id as int) as id", "id % 2 = 0 as even")
+    groups = [(f"g{i}", F.col("id") % 130 == i) for i in range(130)]
+    got = subgroup_rates(df, groups, {"n": F.lit(1), "n_even": F.col("even")}, {"pct": ("n_even", "n")}, {"all": []})
+    found = {r["subgroup"]: (r["n"], r["n_even"]) for r in got.collect()}
+    assert found == {f"g{i}": (2, 2 - 2 * (i % 2)) if i < 70 else (1, 1 - i % 2) for i in range(130)}
