@@ -14,13 +14,12 @@ from .views import FORMATTED_SQL, LISTED_SQL, TIE_BREAK, formatted, listed
 
 
 def _theirs(ours):
-    """Another analyst's report: some counts off by one, groups with one test left
-    out, one label of their own, a complement subgroup, keys as text."""
+    """Another analyst's report: some counts off by one, one label of their own, a complement subgroup, keys as text."""
     label = F.when(F.col("subgroup") == LEARNERS, "English Language Learners").when(
         F.col("subgroup") == "White", "Non-White"
     ).otherwise(F.col("subgroup"))
     wrong = F.when(F.col("school") % 7 == 0, 1).otherwise(0)
-    return ours.where("valid_tests_exit > 1").select(
+    return ours.select(
         F.col("system").cast("string").alias("system"),
         F.col("school").cast("string").alias("schoolnumber"),
         label.alias("subgroup"),
@@ -55,7 +54,7 @@ _BOTH = f"""with report as ({release_sql()}), theirs as (
                     when subgroup = 'White' then 'Non-White' else subgroup end as subgroup,
                 valid_tests_growth + case when school % 7 = 0 then 1 else 0 end as n_validtests_growth,
                 valid_tests_growth + valid_tests_exit as valid_tests
-            from report where valid_tests_exit > 1),
+            from report),
         b as (select * from theirs where subgroup not like '%Non-%'),
         a as (select system, school, case when subgroup = '{LEARNERS}' then 'English Language Learners'
                 else subgroup end as subgroup, valid_tests_growth, valid_tests_exit from report

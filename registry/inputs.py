@@ -29,7 +29,7 @@ def _prior(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    return assessment(spark, sf_dir).where("year < 2000").select(
+    return assessment(spark, sf_dir).where("year < 2001").select(
         F.col("grade").cast("double").alias("grade"), "id", F.col("system").cast("double").alias("system"),
         F.col("school").cast("double").alias("school"), "year", F.col("pl_lit").alias("literacy"),
         F.col("pl_comp").alias("score"),
@@ -116,7 +116,7 @@ ORACLES = {
             select *, row_number() over (partition by id order by pl_comp desc nulls last, pl_lit desc nulls last,
                 {', '.join(TIE_BREAK)}) as rn from assessment where year = 2001) where rn = 1),
         stacked as (
-            select year, system, school, grade, pl_comp, pl_lit from assessment where year < 2000
+            select year, system, school, grade, pl_comp, pl_lit from assessment where year < 2001
             union all select year, system, school, grade, pl_comp, pl_lit from best)
         select year, cast(system as double) as system, cast(school as double) as school, count(*) as n,
             cast(max(grade) as double) as grade, max(pl_comp) as score, max(pl_lit) as literacy
@@ -126,7 +126,7 @@ ORACLES = {
         "system, school, race_ethnicity", "system, cast(school as integer) as school, race_ethnicity"
     ),
     "demographics": f"""with raw as (select {', '.join(f'{e} as {c}' for c, e in _RAW.items())} from customer)
-        select cast(school_year + 1 as integer) as year, cast(id as integer) as id, {_race_sql()} as race_ethnicity,
+        select cast(school_year + 1 as integer) as year, cast(id as bigint) as id, {_race_sql()} as race_ethnicity,
             {_any(DISADVANTAGE_COLUMNS)} as ed, {_any(LEARNER_COLUMNS)} as el, {_any(DISABILITY_COLUMNS)} as swd
         from raw""",
 }

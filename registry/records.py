@@ -125,10 +125,17 @@ def race_precedence(spark, sf_dir):
     return flags.select("o_orderkey", classify(rules).alias("race_ethnicity"))
 
 
+# Tests and labels of the races, the last true one winning.
+_RACE_LABELS = [
+    ("white = 'Y'", "White"), ("asian = 'Y'", "Asian"), ("nativehawaiian = 'Y'", "Hawaiian or Pacific Islander"),
+    ("americanindian = 'Y'", "Native American or Alaska Native"), ("black = 'Y'", "Black or African American"),
+    ("ethnicity = 'H'", "Hispanic or Latino"),
+]
+
+
 def _race_sql():
     sql = "null"
-    for flag, label in RACE_FLAGS:
-        test = "ethnicity = 'H'" if flag == "hispanic" else f"{flag} = 'Y'"
+    for test, label in _RACE_LABELS:
         sql = f"case when ({test}) is null then null when {test} then '{label}' else {sql} end"
     return sql
 
@@ -164,10 +171,11 @@ def race_values(spark, sf_dir):
 
 def cast_report(spark, sf_dir):
     texts = table(spark, sf_dir, "orders").select(
-        F.expr("case when o_orderkey % 3 = 0 then null else substring(o_orderpriority, 1, 1) end").alias("digit"),
-        F.expr("substring(o_orderpriority, 1, 2)").alias("text"),
+        F.expr("case when o_orderkey % 3 = 0 then null when o_orderkey % 5 = 0 then o_orderpriority "
+               "else cast(o_custkey as varchar(20)) end").alias("number"),
+        F.col("o_orderpriority").alias("text"),
     )
-    return cast_losses(texts, ["digit", "text"])
+    return cast_losses(texts, ["number", "text"])
 
 
 QUERIES = {
@@ -261,11 +269,11 @@ ORACLES = {
         from formatted group by system, school""",
     "race_values": "select distinct c_mktsegment from customer where c_mktsegment is not null",
     "cast_report": """with texts as (
-            select case when o_orderkey % 3 = 0 then null else substring(o_orderpriority, 1, 1) end as digit,
-                substring(o_orderpriority, 1, 2) as text
+            select case when o_orderkey % 3 = 0 then null when o_orderkey % 5 = 0 then o_orderpriority
+                else cast(o_custkey as varchar) end as number, o_orderpriority as text
             from orders)
-        select 'digit' as "column", count(digit) as n_values,
-            count(digit) - count(try_cast(digit as double)) as n_lost from texts
+        select 'number' as "column", count(number) as n_values,
+            count(number) - count(try_cast(number as double)) as n_lost from texts
         union all
         select 'text', count(text), count(text) - count(try_cast(text as double)) from texts""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tallymark.functions.bands import fixed_standard
 from tallymark.functions.flags import met_exit, met_growth, valid_exit, valid_growth
@@ -79,11 +79,12 @@ def _system_names(spark, sf_dir):
 
 
 def _school_names(spark, sf_dir):
-    """Schools with their own and their system's name; those in debt are not listed."""
+    """Schools with their own and their system's name; those in debt have none."""
     suppliers, nations = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    return suppliers.join(nations, F.expr("s_nationkey = n_nationkey")).where("s_acctbal > 0").select(
+    return suppliers.join(nations, F.expr("s_nationkey = n_nationkey")).select(
         F.col("s_nationkey").alias("system"), F.col("s_suppkey").alias("school"),
-        F.col("n_name").alias("system_name"), F.col("s_name").alias("school_name"),
+        F.expr("case when s_acctbal > 0 then n_name end").alias("system_name"),
+        F.expr("case when s_acctbal > 0 then s_name end").alias("school_name"),
     )
 
 
@@ -132,7 +133,15 @@ def release_table_disadvantaged(spark, sf_dir):
     return release_table(_release(spark, sf_dir), disadvantaged=True)
 
 
+def report_order(spark, sf_dir):
+    """Rows of the district report with their place in it."""
+    placed = district_report(spark, sf_dir).withColumn("_at", F.monotonically_increasing_id())
+    place = F.row_number().over(Window.orderBy("_at"))  # a report has a few rows for each system
+    return placed.withColumn("place", place).drop("_at")
+
+
 QUERIES = {
+    "report_order": report_order,
     "subgroup_rates": subgroup_rates_query,
     "state_rate": state_rate,
     "indicator_rates": indicator_rates,
@@ -188,6 +197,7 @@ _BEST = f"""best as (select * from (
 _FLAGSHIP_SUMS = f"""{count_sql('numerator')} as n_met_growth, {count_sql('denominator')} as valid_tests,
     {count_sql('exited')} as n_met_exit, {count_sql('exit_tests')} as valid_tests_exit"""
 
+# The release table's races, the last present one winning.
 _RACES = [
     ("white", "White"), ("asian", "Asian"), ("pacific_islander", "Native Hawaiian or Pacific Islander"),
     ("american_indian", "American Indian or Alaska Native"), ("black", "Black or African American"),
@@ -223,8 +233,10 @@ def release_sql(subgroups=_RELEASE_SUBGROUPS) -> str:
 
 
 _INDICATOR = f"{students_sql()}, sums as ({_union('students', _GROWTH_SUMS, _SUBGROUPS)})"
-_SCHOOL_NAMES = """names as (select s_nationkey as system, s_suppkey as school, n_name as system_name,
-        s_name as school_name from supplier join nation on s_nationkey = n_nationkey where s_acctbal > 0)"""
+_SCHOOL_NAMES = """names as (select s_nationkey as system, s_suppkey as school,
+        case when s_acctbal > 0 then n_name end as system_name,
+        case when s_acctbal > 0 then s_name end as school_name
+        from supplier join nation on s_nationkey = n_nationkey)"""
 
 
 def _report_sql(level, names, columns) -> str:
@@ -265,6 +277,9 @@ ORACLES = {
     "state_report": _report_sql("state", _SYSTEM_NAMES, "system_name"),
     "district_report": _report_sql("district", _SYSTEM_NAMES, "system_name"),
     "school_report": _report_sql("school", _SCHOOL_NAMES, "school_name"),
+    "report_order": f"""with report as ({_report_sql("district", _SYSTEM_NAMES, "system_name")})
+        select *, cast(row_number() over (order by system nulls last, subgroup nulls last) as integer) as place
+        from report""",
     "release_students": f"with {_RELEASE} select * from release",
     "release_table": release_sql(),
     "release_table_disadvantaged": release_sql([*_RELEASE_SUBGROUPS, (DISADVANTAGED, "ed = 1")]),

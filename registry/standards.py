@@ -13,7 +13,7 @@ from tallymark.plans.growth import (
 )
 
 from .views import (
-    ASSESSMENT_SQL, STUDENT_SQL, YEAR_MAX_SQL, assessment, band_sql, quantile_sql, student, table,
+    ASSESSMENT_SQL, STUDENT_SQL, YEAR_MAX_SQL, assessment, band_sql, student, table,
 )
 
 COLUMNS = {"score": "pl_comp"}
@@ -48,6 +48,13 @@ def growth_standards_by_id(spark, sf_dir):
     return rounded(_standards(spark, sf_dir, same_grade=False), _QUANTILES)
 
 
+def growth_standards_by_grade_band(spark, sf_dir):
+    """Standards for wider score bands, by the band of the prior grade too."""
+    bands = ([1.0, 2.0, 3.0, 4.0, 6.0], ["1", "2", "3", "4-5"])
+    found = growth_standards(_scores(spark, sf_dir, "null"), 2001, 2000, bands=bands, grade_bands=True)
+    return rounded(found, _QUANTILES)
+
+
 def growth_standards_clean(spark, sf_dir):
     return rounded(_standards(spark, sf_dir, all_missing="null"), _QUANTILES)
 
@@ -115,6 +122,7 @@ QUERIES = {
     "growth_standards": growth_standards_query,
     "growth_standards_percentile": growth_standards_percentile,
     "growth_standards_by_id": growth_standards_by_id,
+    "growth_standards_by_grade_band": growth_standards_by_grade_band,
     "growth_standards_clean": growth_standards_clean,
     "price_quantiles": price_quantiles,
     "attach_standard": attach_standard_query,
@@ -138,14 +146,10 @@ def standards_sql(same_grade=True) -> str:
             from year_max group by {keys}),
         pairs as (select {band_sql('prior')} as score_band,
             case when isnan(now - prior) then null else now - prior end as growth from wide),
-        lists as (
-            select score_band, coalesce(list(growth order by growth) filter (where growth is not null), []) as g,
-                count(*) as n
-            from pairs where score_band is not null group by score_band),
         standards as (
-            select score_band, {quantile_sql('g', '0.5e0')} as median_score, {quantile_sql('g', '0.6e0')} as score_60,
-                {quantile_sql('g', '0.7e0')} as score_70, n
-            from lists)"""
+            select score_band, quantile_cont(growth, 0.5) as median_score, quantile_cont(growth, 0.6) as score_60,
+                quantile_cont(growth, 0.7) as score_70, count(*) as n
+            from pairs where score_band is not null group by score_band)"""
 
 
 _ROUNDED = """select score_band, round(median_score, 6) as median_score, round(score_60, 6) as score_60,
@@ -201,6 +205,20 @@ ORACLES = {
     "growth_standards_percentile": f"with {ASSESSMENT_SQL}, {YEAR_MAX_SQL}, {standards_sql()} {_ROUNDED}",
     "growth_standards_by_id": f"with {ASSESSMENT_SQL}, {YEAR_MAX_SQL}, {standards_sql(False)} {_ROUNDED}",
     "growth_standards_clean": f"with {ASSESSMENT_SQL}, {YEAR_MAX_CLEAN_SQL}, {standards_sql()} {_ROUNDED}",
+    "growth_standards_by_grade_band": f"""with {ASSESSMENT_SQL}, {YEAR_MAX_CLEAN_SQL},
+        pairs as (
+            select case when b.grade < 5 then 'elementary' when b.grade < 9 then 'middle' when b.grade > 8 then 'high' end
+                    as grade_band,
+                case when b.pl_comp >= 1 and b.pl_comp < 2 then '1' when b.pl_comp >= 2 and b.pl_comp < 3 then '2'
+                    when b.pl_comp >= 3 and b.pl_comp < 4 then '3' when b.pl_comp >= 4 and b.pl_comp < 6 then '4-5' end
+                    as score_band,
+                case when a.grade is not distinct from b.grade then a.pl_comp - b.pl_comp end as growth
+            from (select * from year_max where year = 2000) b left join (select * from year_max where year = 2001) a
+                on a.id is not distinct from b.id)
+        select grade_band, score_band, round(quantile_cont(growth, 0.5), 6) as median_score,
+            round(quantile_cont(growth, 0.6), 6) as score_60, round(quantile_cont(growth, 0.7), 6) as score_70,
+            count(*) as n
+        from pairs where score_band is not null group by grade_band, score_band""",
     "price_quantiles": """select l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 6) as q10,
             round(quantile_cont(l_extendedprice, 0.5), 6) as q50,
             round(quantile_cont(l_extendedprice, 0.99), 6) as q99, count(*) as n

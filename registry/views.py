@@ -1,7 +1,7 @@
 """The library's input shapes on the TPC-H-like test tables.
 
 ``assessment``  test records of several years, nulls injected
-``formatted``   current-year records with a prior score and flags
+``formatted``   records with a prior score and flags
 ``listed``      keys of the disadvantaged, repeated
 ``student``     demographics already classified, nulls injected
 
@@ -31,7 +31,6 @@ ASSESSMENT = {
     "school": "l_suppkey",
     **TIES,
 }
-CURRENT = "o_orderdate >= timestamp '2001-01-01 00:00:00'"
 FORMATTED = {
     "id": "o_custkey",
     "system": "s_nationkey",
@@ -66,7 +65,7 @@ def _columns(view: dict[str, str]) -> str:
 
 _RECORDS = "lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey"
 ASSESSMENT_SQL = f"assessment as (select {_columns(ASSESSMENT)} from {_RECORDS})"
-FORMATTED_SQL = f"formatted as (select {_columns(FORMATTED)} from {_RECORDS} where {CURRENT})"
+FORMATTED_SQL = f"formatted as (select {_columns(FORMATTED)} from {_RECORDS})"
 STUDENT_SQL = f"student as (select {_columns(STUDENT)} from customer)"
 LISTED_SQL = "listed as (select o_custkey as student_key from orders where o_orderstatus = 'F')"
 YEAR_MAX_SQL = (
@@ -83,13 +82,10 @@ def _project(df: DataFrame, view: dict[str, str]) -> DataFrame:
     return df.select(*[F.expr(e).alias(c) for c, e in view.items()])
 
 
-def _records(spark, sf_dir, where=None) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    if where is not None:
-        orders = orders.where(where)
+def _records(spark, sf_dir) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
-        .join(orders, F.expr("l_orderkey = o_orderkey"))
+        .join(table(spark, sf_dir, "orders"), F.expr("l_orderkey = o_orderkey"))
         .join(table(spark, sf_dir, "supplier"), F.expr("l_suppkey = s_suppkey"))
     )
 
@@ -99,7 +95,7 @@ def assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _project(_records(spark, sf_dir, CURRENT), FORMATTED)
+    return _project(_records(spark, sf_dir), FORMATTED)
 
 
 def student(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,16 +108,15 @@ def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# SQL text of the library's rules, for the oracles.
+# SQL text of the rules, for the oracles: values written out, not taken from the library.
 
 def band_sql(x: str) -> str:
-    from tallymark.functions.bands import SCORE_EDGES, SCORE_LABELS
-
-    whens = " ".join(
-        f"when {x} >= {lo}e0 and {x} < {hi}e0 then '{label}'"
-        for lo, hi, label in zip(SCORE_EDGES, SCORE_EDGES[1:], SCORE_LABELS)
+    return (
+        f"case when {x} >= 1e0 and {x} < 1.5e0 then '1.0-1.4' when {x} >= 1.5e0 and {x} < 2e0 then '1.5-1.9' "
+        f"when {x} >= 2e0 and {x} < 2.5e0 then '2.0-2.4' when {x} >= 2.5e0 and {x} < 3e0 then '2.5-2.9' "
+        f"when {x} >= 3e0 and {x} < 3.5e0 then '3.0-3.4' when {x} >= 3.5e0 and {x} < 4e0 then '3.5-3.9' "
+        f"when {x} >= 4e0 and {x} < 4.5e0 then '4.0-4.4' when {x} >= 4.5e0 and {x} < 5e0 then '4.5-4.9' end"
     )
-    return f"case {whens} end"
 
 
 def standard_sql(prior: str, valid: str) -> str:
@@ -146,13 +141,3 @@ def rate_sql(num: str, den: str) -> str:
 
 def count_sql(flag: str, weight: str = "1") -> str:
     return f"cast(coalesce(sum(case when {flag} then {weight} else 0 end), 0) as bigint)"
-
-
-def quantile_sql(values: str, p: str) -> str:
-    """Quantile of a sorted list, in the same order of operations as the library."""
-    place = f"(1e0 + {p} * (len({values}) - 1))"
-    low, high = (f"{values}[cast({f}({place}) as bigint)]" for f in ("floor", "ceil"))
-    return (
-        f"case when len({values}) = 0 then null when {low} = {high} then {low} "
-        f"else (1e0 - ({place} - floor({place}))) * {low} + ({place} - floor({place})) * {high} end"
-    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.bands import SCORE_LABELS, score_band
+from ..functions.bands import SCORE_EDGES, SCORE_LABELS, grade_band, score_band
 from ..functions.flags import at_least
 from ..functions.missing import name, nan_to_null
 from ..operators.joins import keyed_join
@@ -14,6 +14,7 @@ from ..operators.settle import settle
 
 # The quantiles of growth reported per band.
 STANDARD_PROBS = {"median_score": 0.5, "score_60": 0.6, "score_70": 0.7}
+SCORE_BANDS = (SCORE_EDGES, SCORE_LABELS)
 # Fixed value: two-year growth under the standard used before.
 PREVIOUS_TWO_YEAR_STANDARD = 1.4
 
@@ -46,9 +47,13 @@ def scores_by_year(
     return df.where(name(year).isin(years)).groupBy(name(id)).agg(*aggregates)
 
 
-def growth_pairs(scores: DataFrame, current: int, prior: int, same_grade: bool = True) -> DataFrame:
+def growth_pairs(
+    scores: DataFrame, current: int, prior: int, same_grade: bool = True, bands=SCORE_BANDS, grade_bands: bool = False
+) -> DataFrame:
     """Prior band and growth per student with a prior-year record.
 
+    ``bands`` are (edges, labels). ``grade_bands`` adds the band of the prior grade.
+
     With ``same_grade`` a student whose grade changed has no growth (but still
     counts), because the published standards pair the years by student and
     grade; without it the years are paired by student alone.
@@ -56,8 +61,9 @@ def growth_pairs(scores: DataFrame, current: int, prior: int, same_grade: bool =
     now, before = F.col(f"score_{current}"), F.col(f"score_{prior}")
     if same_grade:
         now = F.when(F.col(f"grade_{current}").eqNullSafe(F.col(f"grade_{prior}")), now)
+    by_grade = [grade_band(F.col(f"grade_{prior}")).alias("grade_band")] if grade_bands else []
     return scores.where(F.col(f"n_{prior}") > 0).select(
-        score_band(before).alias("score_band"), nan_to_null(now - before).alias("growth")
+        *by_grade, score_band(before, *bands).alias("score_band"), nan_to_null(now - before).alias("growth")
     )
 
 
@@ -68,39 +74,64 @@ def growth_standards(
     same_grade: bool = True,
     probs: dict[str, float] = STANDARD_PROBS,
     method: str = "slices",
+    bands=SCORE_BANDS,
+    grade_bands: bool = False,
 ) -> DataFrame:
-    """Quantiles of growth, and the number of students, per prior-score band.
+    """Quantiles of growth, and the number of students, per prior-score band
+    (and grade band, with ``grade_bands``).
 
     ``scores`` comes from ``scores_by_year``. ``method="slices"`` holds for any
     scores; ``"percentile"`` is one aggregation for scores on a grid.
     """
     quantiles = {"slices": exact_quantiles, "percentile": percentile_quantiles}[method]
-    pairs = growth_pairs(scores, current, prior, same_grade)
-    return quantiles(pairs.where(F.col("score_band").isNotNull()), ["score_band"], "growth", probs)
+    pairs = growth_pairs(scores, current, prior, same_grade, bands, grade_bands)
+    keys = ["grade_band", "score_band"] if grade_bands else ["score_band"]
+    return quantiles(pairs.where(F.col("score_band").isNotNull()), keys, "growth", probs)
 
 
-def with_standard(df: DataFrame, standards: DataFrame, score: str, out: str, quantile: str = "score_60") -> DataFrame:
-    """Attach the standard of the band that ``score`` is in."""
-    # One row per label: 8 rows with the published bands.
-    few = standards.where(F.col("score_band").isin(SCORE_LABELS)).select(
-        F.col("score_band").alias("_band"), name(quantile).alias(out)
+def with_standard(
+    df: DataFrame, standards: DataFrame, score: str, out: str, quantile: str = "score_60", bands=SCORE_BANDS,
+    grade: str | None = None,
+) -> DataFrame:
+    """Attach the standard of the band that ``score`` is in.
+
+    Standards by grade band too need ``grade``, the column of the grade. They
+    have a row per band, which Spark broadcasts as any table that small.
+    """
+    by_grade = "grade_band" in standards.columns
+    if by_grade and grade is None:
+        raise ValueError("these standards are by grade band: name the grade's column")
+    few = standards.where(F.col("score_band").isNotNull()).select(
+        *([F.col("grade_band").alias("_grade_band")] if by_grade else []),
+        F.col("score_band").alias("_band"), name(quantile).alias(out),
     )
-    return df.join(F.broadcast(few), score_band(name(score)) == F.col("_band"), "left").drop("_band")
+    same = score_band(name(score), *bands) == F.col("_band")
+    if by_grade:
+        same &= grade_band(name(grade)).eqNullSafe(F.col("_grade_band"))
+    return df.join(few, same, "left").drop("_band", "_grade_band")
 
 
 def attach_standard(
-    scores: DataFrame, standards: DataFrame, years: list[int], id: str = "id", quantile: str = "score_60"
+    scores: DataFrame, standards: DataFrame, years: list[int], id: str = "id", quantile: str = "score_60",
+    bands=SCORE_BANDS,
 ) -> DataFrame:
     """Per student-year: the highest score and the standard for growth from it.
 
     ``scores`` comes from ``scores_by_year`` of the same years.
     """
+    by_grade = "grade_band" in standards.columns
     yearly = F.array(*[
-        F.struct(F.lit(y).alias("year"), F.col(f"n_{y}").alias("n"), F.col(f"score_{y}").alias("score"))
+        F.struct(
+            F.lit(y).alias("year"), F.col(f"n_{y}").alias("n"), F.col(f"score_{y}").alias("score"),
+            (F.col(f"grade_{y}") if by_grade else F.lit(None)).alias("_grade"),
+        )
         for y in years
     ])
-    long = scores.select(name(id), F.explode(yearly).alias("y")).where("y.n > 0").select("y.year", name(id), "y.score")
-    return with_standard(long, standards, "score", "growth_standard", quantile)
+    long = scores.select(name(id), F.explode(yearly).alias("y")).where("y.n > 0").select(
+        "y.year", name(id), "y.score", "y._grade"
+    )
+    attached = with_standard(long, standards, "score", "growth_standard", quantile, bands, "_grade" if by_grade else None)
+    return attached.drop("_grade")
 
 
 def student_growth(
@@ -110,6 +141,7 @@ def student_growth(
     id: str = "id",
     quantile: str = "score_60",
     compare_decimals: int | None = None,
+    bands=SCORE_BANDS,
 ) -> DataFrame:
     """Scores of three years side by side, growth, and whether it met standard.
 
@@ -119,11 +151,15 @@ def student_growth(
     over one or two years, the denominator is a known one-year result.
     """
     years = {"current": current, "prior": current - 1, "two_back": current - 2}
+    by_grade = "grade_band" in standards.columns
     wide = scores.where(F.col(f"n_{current}") > 0).select(
-        name(id), *[F.col(f"score_{y}").alias(f"score_{when}") for when, y in years.items()]
+        name(id), *[F.col(f"score_{y}").alias(f"score_{when}") for when, y in years.items()],
+        *[F.col(f"grade_{y}").alias(f"_grade_{when}") for when, y in years.items() if by_grade],
     )
     for when in years:
-        wide = with_standard(wide, standards, f"score_{when}", f"standard_{when}", quantile)
+        grade = f"_grade_{when}" if by_grade else None
+        wide = with_standard(wide, standards, f"score_{when}", f"standard_{when}", quantile, bands, grade)
+    wide = wide.drop(*[f"_grade_{when}" for when in years])
     grown = wide.withColumns({
         "growth_1yr": nan_to_null(F.col("score_current") - F.col("score_prior")),
         "growth_2yr": nan_to_null(F.col("score_current") - F.col("score_two_back")),
@@ -149,18 +185,23 @@ def indicator_growth(
     same_grade: bool = True,
     all_missing: str = "inf",
     compare_decimals: int | None = None,
+    bands=SCORE_BANDS,
+    grade_bands: bool = False,
     **columns,
 ) -> DataFrame:
     """``student_growth`` from test records of three years, standards included.
 
+    Building the result runs jobs: the yearly scores and the standards are written.
     The records are read and shuffled once: the yearly scores, from which both
     the standards and the growth come, are written in between.
     """
     years = [current, current - 1, current - 2]
-    columns = {"grade": "grade" if same_grade else None, **columns}
+    columns = {"grade": "grade" if same_grade or grade_bands else None, **columns}
     scores = settle(scores_by_year(records, years, all_missing=all_missing, **columns))
-    standards = settle(growth_standards(scores, current, current - 1, same_grade))
-    return student_growth(scores, standards, current, columns.get("id", "id"), compare_decimals=compare_decimals)
+    found = growth_standards(scores, current, current - 1, same_grade, bands=bands, grade_bands=grade_bands)
+    return student_growth(
+        scores, settle(found), current, columns.get("id", "id"), compare_decimals=compare_decimals, bands=bands
+    )
 
 
 def student_table(
@@ -169,6 +210,7 @@ def student_table(
     demographics: DataFrame,
     id: str = "id",
     demographic_keys: list[str] | None = None,
+    null_keys: str = "match",
 ) -> DataFrame:
     """Attach school and demographics to each student's growth.
 
@@ -176,11 +218,15 @@ def student_table(
     counted twice. Instead of repeating rows, equal ones are one row with
     ``copies``, so that no student's records are multiplied out; weigh by
     ``copies`` to count. ``demographic_keys`` joins on more than the student.
+    ``null_keys="never"`` leaves students without id undescribed and unenrolled,
+    where the default joins them with every row that has none. Building the
+    result runs jobs: the enrolment is written and its keys are counted.
     """
     described = demographics.groupBy(*map(name, demographics.columns)).agg(F.count("*").alias("_described"))
     enrolled = settle(enrolment.groupBy(*map(name, enrolment.columns)).agg(F.count("*").alias("_enrolled")))
     # A missing student may be enrolled in any number of schools.
-    joined = keyed_join(keyed_join(growth, described, demographic_keys or [id]), enrolled, [id], hot="right")
+    people = keyed_join(growth, described, demographic_keys or [id], null_keys=null_keys)
+    joined = keyed_join(people, enrolled, [id], null_keys=null_keys, hot="right" if null_keys == "match" else None)
     one = F.lit(1).cast("bigint")
     copies = F.coalesce("_enrolled", one) * F.coalesce("_described", one)
     return joined.withColumn("copies", copies).drop("_enrolled", "_described")

@@ -79,7 +79,7 @@ def level_report(students: DataFrame, level: str, names: DataFrame, weight: str
     rates = growth_rates(students, {level: keys}, weight).drop("level")
     if level == "state":
         rates = rates.withColumn("system", F.lit(0))
-    named = keyed_join(rates, names, keys or ["system"], "left")
+    named = keyed_join(rates, names, keys or ["system"], "left", expect="one")
     named = put_first(named, columns_starting(named, "system", "school"))
     return nan_to_null_frame(named).orderBy(
         *[F.col(k).asc_nulls_last() for k in keys or ["system"]], F.col("subgroup").asc_nulls_last()
@@ -102,15 +102,17 @@ def assemble(
     """All levels in one table with names.
 
     ``rates`` are ``growth_rates`` at three levels, ``names`` has ``system``,
-    ``school``, ``system_name``, ``school_name``. Missing keys become 0, a
+    ``school``, ``system_name``, ``school_name``, a system and school at most
+    once (else the job fails). Missing keys become 0, a
     missing ``system_name`` takes the one before it in level, system, school,
     subgroup order (``leading`` before the first), and ``overrides`` replace
     school names.
     """
     keyed = rates.withColumns({k: missing_to_zero(name(k)) for k in ("system", "school")})
-    named = keyed_join(keyed, names, ["system", "school"], "left")
+    named = keyed_join(keyed, names, ["system", "school"], "left", expect="one")
     place = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
     # Missing keys became 0 and may share a place with a real 0: same key, same name.
     order = ["_level", "system", "school", "subgroup"]
-    carried = carry_forward(named.withColumn("_level", place), "system_name", order, leading=leading)
+    buckets = [F.col("_level"), F.col("system")]  # a report's rows of one system are few
+    carried = carry_forward(named.withColumn("_level", place), "system_name", order, buckets, leading)
     return apply_overrides(carried.drop("_level"), overrides, ["system", "school"], "school_name")
