@@ -59,8 +59,7 @@ def digest(shingles: np.ndarray) -> int:
 def _sets(batches, size):
     """(batch, row, set) of each text."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        for first, words, at in chunks(texts, lower=True):
+        for first, words, at in chunks(batch.column(batch.schema.get_field_index("text")), lower=True):
             for i in range(len(at) - 1):
                 yield batch, first + i, shingle_set(words[at[i] : at[i + 1]], size)
 

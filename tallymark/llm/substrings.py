@@ -47,8 +47,8 @@ def anchors(words: np.ndarray, size: int = SIZE) -> np.ndarray:
 def documents_in(batches, size):
     """(row batch, row, id, word hashes) of each text that has a window."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for first, words, at in chunks(texts, lower=False):
+        ids = batch.column(0).to_pylist()
+        for first, words, at in chunks(batch.column(1), lower=False):
             for i in range(len(at) - 1):
                 if at[i + 1] - at[i] >= size and ids[first + i] is not None:
                     yield ids[first + i], words[at[i] : at[i + 1]]
@@ -122,36 +122,45 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = repeated.groupBy("id").agg(F.collect_list("window").alias("windows"))
     pairs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
 
-    def may_change(batches):
+    def open_rows(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first, words, at in chunks(texts, lower=False):
-                flags = [
-                    bool(may_hold(field.value, anchors(words[at[i] : at[i + 1]], size)).any()) for i in range(len(at) - 1)
-                ]
-                part = batch.slice(first, len(flags))
-                yield pa.record_batch([*part.columns, pa.array(flags, pa.bool_())], names=["id", "text", "open"])
+            flags = []
+            for _, words, at in chunks(batch.column(1), lower=False):
+                flags += [_open(words[at[i] : at[i + 1]]) for i in range(len(at) - 1)]
+            yield batch.filter(pa.array(flags, pa.bool_()))
+
+    def closed_rows(batches):
+        for batch in batches:
+            for first, words, at in chunks(batch.column(1), lower=False):
+                rows = [i for i in range(len(at) - 1) if not _open(words[at[i] : at[i + 1]])]
+                made = [_cut(batch.column(1)[first + i].as_py(), None, None, size) for i in rows]
+                yield _result(batch.column(0).take(pa.array([first + i for i in rows], pa.int64())), made)
+
+    def _open(words):
+        return bool(may_hold(field.value, anchors(words, size)).any())
 
     def cut(batches):
         for batch in batches:
-            texts, removed = batch.column("text").to_pylist(), batch.column("windows").to_pylist()
+            texts, removed = batch.column("text"), batch.column("windows")
             for first, words, at in chunks(texts, lower=False):
                 rows = range(first, first + len(at) - 1)
-                made = [_cut(texts[r], words[at[i] : at[i + 1]], removed[r], size) for i, r in enumerate(rows)]
-                part = batch.column("id").slice(first, len(made))
-                n, gone, kept = zip(*made)
-                yield pa.record_batch(
-                    [part, pa.array(n, pa.int64()), pa.array(gone, _INTERVALS), pa.array(kept, pa.string())],
-                    names=["id", "n_words", "removed", "kept"],
-                )
+                made = [_cut(texts[r].as_py(), words[at[i] : at[i + 1]], removed[r].as_py(), size) for i, r in enumerate(rows)]
+                yield _result(batch.column("id").slice(first, len(made)), made)
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    flagged = pairs.mapInArrow(may_change, f"id {kind}, text string, open boolean")
-    # Texts that no shared anchor marks have nothing to remove: they are not shuffled.
-    still = flagged.where("not open").select("id", "text", F.lit(None).cast("array<long>").alias("windows"))
-    joined = flagged.where("open").select("id", "text").join(lists, "id", "left")
     out = f"id {kind}, n_words long, removed array<struct<start:long,end:long>>, kept string"
-    return still.unionByName(joined).mapInArrow(cut, out).withColumnRenamed("id", doc_id)
+    # Texts that no shared anchor marks have nothing to remove: they are not shuffled.
+    closed = pairs.mapInArrow(closed_rows, out)
+    joined = pairs.mapInArrow(open_rows, f"id {kind}, text string").join(lists, "id", "left").mapInArrow(cut, out)
+    return closed.unionByName(joined).withColumnRenamed("id", doc_id)
+
+
+def _result(ids: pa.Array, made: list[tuple]) -> pa.RecordBatch:
+    n, gone, kept = zip(*made) if made else ((), (), ())
+    return pa.record_batch(
+        [ids, pa.array(n, pa.int64()), pa.array(gone, _INTERVALS), pa.array(kept, pa.string())],
+        names=["id", "n_words", "removed", "kept"],
+    )
 
 
 _INTERVALS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -46,15 +46,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def chunks(texts: list[str | None], lower: bool, size: int = 1 << 20):
-    """Runs of texts of about ``size`` bytes, or one text if it is longer.
+def chunks(texts, lower: bool, size: int = 1 << 18):
+    """Runs of texts (a list or an Arrow array) of about ``size`` bytes, or one text if it is longer.
 
     Yields (first, word hashes, offsets): the words of text ``first + i`` are
     ``hashes[offsets[i]:offsets[i + 1]]``, a missing text has none. Equal words
     have equal hashes in every task and session.
     """
     first, held, parts = 0, 0, []
-    for i, text in enumerate(texts):
+    for i, text in enumerate(one_by_one(texts)):
         part = (text or "").encode()
         if parts and held + len(part) > size:
             yield first, *_hashes(parts, lower)
@@ -65,6 +65,11 @@ def chunks(texts: list[str | None], lower: bool, size: int = 1 << 20):
         yield first, *_hashes(parts, lower)
 
 
+def one_by_one(texts):
+    """The texts of a list or an Arrow array, of which few are Python's at a time."""
+    return texts if isinstance(texts, list) else (t.as_py() for t in texts)
+
+
 def _hashes(parts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
     joined = b"\n".join(parts) + b"\n"
     raw = np.frombuffer(joined.lower() if lower else joined, np.uint8)
