@@ -1,0 +1,93 @@
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pytest
+from awkward import LONG, empty, frame
+
+from tallymark.llm import classifier
+from tallymark.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def net():
+    good = [b"plain words of a text %d" % i for i in range(40)]
+    bad = [b"plain%%%%%% words### of*** a text %d" % i for i in range(40)]
+    return classifier.fit(good + bad, [1] * 40 + [0] * 40)
+
+
+def test_held_out_accuracy(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    rows = QUERIES["op4_quality_classifier"](spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+    judged = [(r.score, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    good, bad = [s for s, y in judged if y], [s for s, y in judged if not y]
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+    assert np.mean([g >= 0.5 for g in good]) > 0.98
+
+
+def test_learning_leaves_held_out_rows_and_bad_labels_out(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame(
+        [(i, i % 2) for i in range(60)] + [(3, 0), (None, 1), (5, None)], "doc_id long, quality int"
+    )
+    texts, y = classifier.training_rows(docs, labels, "quality")
+    ids = [int(t.split()[1]) for t in texts]
+    assert set(ids) == {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert all(v == (0 if i == 3 else i % 2) for i, v in zip(ids, y))
+    assert len(classifier.training_rows(docs, labels, "quality", rows=7)[0]) == 7
+
+
+def test_chunks_cover_every_byte():
+    for n in (0, 1, 511, 512, 513, 960, 961, 5000):
+        text = bytes(i % 251 for i in range(n))
+        chunks = classifier.chunks_of(text)
+        seen = np.full(n, 999)
+        for k, chunk in enumerate(chunks):
+            part = chunk[chunk != classifier.PAD]
+            seen[k * classifier.STEP : k * classifier.STEP + len(part)] = part
+        assert seen.tolist() == list(text)
+        assert (chunks[-1] != classifier.PAD).any() or n == 0
+
+
+def test_gradients_are_those_of_the_loss(net):
+    texts, wanted = [b"some words%%% here", b"x" * 700 + b"###", b""], np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = classifier.score(net, [t.decode() for t in texts])
+        return -np.mean(wanted * np.log(p) + (1 - wanted) * np.log(1 - p))
+
+    gradients = classifier._gradients(net, texts, wanted)
+    for p, g in zip(net.parameters(), gradients):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept = p[at]
+        p[at] = kept + 1e-3
+        up = loss()
+        p[at] = kept - 1e-3
+        down = loss()
+        p[at] = kept
+        assert g[at] == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-4)
+
+
+def test_scores_use_the_whole_text(net):
+    clean = "plain words of a text " * 400
+    a, b = classifier.score(net, [clean, clean + "plain%%% words### of***" * 3])
+    assert a > b
+    assert classifier.score(net, [LONG] * 3 + ["", None]).shape == (5,)
+
+
+def test_awkward_rows(spark, net):
+    docs = frame(spark)
+    rows = classifier.scored(docs, net).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert {r.score for r in rows if r.doc_id == 2} == {r.score for r in rows if r.doc_id == 1}
+    assert rows[0].label == "kept as it is"
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in classifier.quality(docs.drop("n"), none).collect()} == {0.5}
+    assert classifier.quality(empty(spark), none).collect() == []
