@@ -5,10 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, decontaminate, jaccard_join, quality_rules, secret_scan, substrings, token_counts, token_files, warc
+from . import bpe, classifier, decontaminate, jaccard_join, oracles, quality_rules, secret_scan, substrings, token_counts, token_files, warc
 
 QUERIES = {}
-ORACLES: dict[str, str] = {}
+#: The other queries hold merges, trained weights or entropies, which SQL does not express.
+ORACLES = {
+    "op1_ngram_jaccard_join": oracles.NEAR_DUPLICATES,
+    "op2_warc": oracles.WARC,
+    "op5_benchmark_decontamination": oracles.LEAKS,
+    "op6_substring_dedup": oracles.SUBSTRINGS,
+    "op10_quality_rules": oracles.RULES,
+}
 
 
 def query(f):
@@ -33,25 +40,6 @@ def op2_warc(spark, sf_dir):
     )
 
 
-ORACLES["op2_warc"] = """
-with rows as (
-    select page_id, coalesce(html, '') as html, min(page_id) over (partition by coalesce(html, '')) as first from pages
-), bits as (
-    select page_id, strlen(html) as payload_bytes, html, first,
-           regexp_replace(sha1(html), '(.)', '\\1', 'g') as hex
-    from rows
-)
-select page_id, payload_bytes,
-       (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
-            (('0x' || substr(hex, 1 + (i * 5) // 4, 1))::int * 16
-             + coalesce(('0x' || nullif(substr(hex, 2 + (i * 5) // 4, 1), ''))::int, 0))
-            >> (3 - (i * 5) % 4)) % 32, 1), '' order by i) from range(32) r(i)) as payload_digest,
-       case when page_id = first then 'response' else 'revisit' end as record_type,
-       case when page_id <> first then first end as refers_to
-from bits
-"""
-
-
 @query
 def op3_token_counts(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

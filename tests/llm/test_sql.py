@@ -1,0 +1,23 @@
+"""Queries of the corpus operators against their SQL, values compared exactly."""
+
+from __future__ import annotations
+
+import os
+
+import oracle
+import pytest
+
+from tallymark.llm.queries import ORACLES, QUERIES
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("query", list(ORACLES))
+def test_same_rows(spark, query):
+    con = oracle.connect(SF_DIR)
+    assert oracle.spark_rows(QUERIES[query](spark, SF_DIR)) == oracle.duck_rows(con, ORACLES[query])
