@@ -39,9 +39,11 @@ def carry_forward(
     with the order, coarse to fine, such as its first columns; no task then
     sees more than the rows of one finest bucket or the children of another
     (``df`` is read twice). Where one value of them may hold many rows, leave ``path`` out: the rows
-    are sorted into ``buckets`` ranges of even size (default: the number of
-    shuffle partitions) and written with their range, so that a rerun task
-    finds the same ranges.
+    are sorted into ``buckets`` ranges of even size and written with their range,
+    so that a rerun task finds the same ranges; they are then filled range by
+    range, a task each. A range should fit a task's sort: give (rows / some
+    million) ``buckets``; the default is the number of shuffle partitions, which
+    is set by that rule anyway. This form runs jobs: the rows are written.
     """
     known = name(column)
     if path is None:
@@ -87,12 +89,11 @@ def carry_forward(
     if leading is not None:
         filled = F.coalesce(filled, F.lit(leading).cast(df.schema[column].dataType))
     ahead = start.withColumn("_row", F.lit(False))
-    result = (
-        rows.withColumns({"_value": known, "_row": F.lit(True)})
-        .unionByName(ahead, allowMissingColumns=True)
-        .withColumn("_filled", filled)
-        .where("_row")
-    )
+    filling = rows.withColumns({"_value": known, "_row": F.lit(True)}).unionByName(ahead, allowMissingColumns=True)
+    if path is None:
+        # By range, not by hash: a hash deals several ranges to one task and none to others.
+        filling = filling.repartitionByRange(n, F.col(steps[0]))
+    result = filling.withColumn("_filled", filled).where("_row")
     target = out or column
     kept = [F.col("_filled").alias(c) if c == target else name(c) for c in df.columns]
     if target not in df.columns:
