@@ -17,7 +17,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _state(edges)
-    while True:
+    while before[0]:
         edges = settle(_small_star(_large_star(edges)))
         now = _state(edges)
         if now == before:

@@ -14,11 +14,13 @@ by chance:
    threshold needs, and those that are in one component already.
 4. Pairs that are left are checked with larger bitmaps, then with the sets.
 
-Step 3 runs twice. First each row is compared with a few of its key only, which
-joins most copies at a cost that grows with the rows. Then the keys that hold
-several components still are traversed whole. Keys with many rows are dealt to
-cells of bounded size: the rows of the key's largest component are spread, the
-others go along with each part. Nothing is sampled or cut off.
+Step 3 runs twice. First each row is compared with ``NEIGHBOURS`` rows of its key
+only, and of the pairs found, one for each class is checked, then ``PARTNERS``, then
+the rest, each time without those that the checks before have joined. That joins
+most copies at a cost that grows with the rows. Then the keys that hold several
+components still are traversed whole. Keys with many rows are dealt to cells of
+bounded size: the rows of the key's largest component are spread, the others go
+along with each part. Nothing is sampled or cut off.
 
 Defined results: a text without words has an empty set, links with nothing and
 is its own component. Rows without id link like others, but do not name a
@@ -30,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.settle import settle
 from .components import components
@@ -42,6 +44,8 @@ SKETCH_BITS = 18
 SIGNATURE = 512  # bits of a token bitmap in a tree
 WIDE = 8  # bits per shingle of the larger bitmaps
 LEAF, FAN = 16, 8  # rows of a leaf, children of a node
+NEIGHBOURS = 3  # rows of its cell with which a row is compared first: the cell's first and those before it
+PARTNERS = 4
 CELL_ROWS = 1024
 SEEN_CLASSES = 200_000  # classes of which a task remembers that it has handed them on
 
@@ -166,8 +170,9 @@ def _key_rows(keys, names):
     return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)], names=["key", "class"])
 
 
-def tree_rows(pairs: DataFrame, sketch, shared: DataFrame, size: int, percent: int) -> DataFrame:
-    """(key, parts, part, class, n, signature): a row per class and key that others may have too."""
+def class_keys(pairs: DataFrame, sketch, shared: DataFrame, size: int, percent: int) -> DataFrame:
+    """(class, n, signature, keys): classes with a key that others may have too; copies of a class
+    that tasks met apart are rows of their own."""
     field = pairs.sparkSession.sparkContext.broadcast(bit_field(shared, "key"))
 
     def run(batches):
@@ -184,11 +189,13 @@ def tree_rows(pairs: DataFrame, sketch, shared: DataFrame, size: int, percent: i
         if rows:
             yield _made(rows, _CLASS)
 
-    made = pairs.mapInArrow(run, "class long, n long, signature binary, keys array<long>")
-    rows = made.select("class", "n", "signature", F.explode("keys").alias("key"))
-    crowded = settle(shared.where(F.col("rows") > CELL_ROWS))
+    return settle(pairs.mapInArrow(run, "class long, n long, signature binary, keys array<long>"))
+
+
+def with_parts(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``rows`` (key, class) with the number of parts of their key and their part."""
     parts = F.coalesce(F.ceil(F.col("rows") / CELL_ROWS), F.lit(1))
-    return settle(
+    return (
         rows.join(crowded, "key", "left").withColumn("parts", parts.cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("class", "key"), F.col("parts")).cast("int")).drop("rows")
     )
@@ -224,23 +231,22 @@ class Rows:
         return keep
 
 
-def near_pairs(rows: Rows, percent: int):
-    """Pairs of rows of a cell at most a leaf apart, or with one of the cell's first rows; and the
-    keys whose cells have more than that."""
-    size = len(rows.cell)
-    starts = np.flatnonzero(np.concatenate([[True], rows.cell[1:] != rows.cell[:-1]]))
-    begin = starts[np.cumsum(np.concatenate([[True], rows.cell[1:] != rows.cell[:-1]])) - 1]
-    place = np.arange(size)
+def near_pairs(rows: Rows):
+    """Pairs of each row with the first row of its cell and those just before it; and which rows are
+    of keys that have more pairs."""
+    new = np.concatenate([[True], rows.cell[1:] != rows.cell[:-1]])
+    starts = np.flatnonzero(new)
+    number = np.cumsum(new) - 1
+    begin, place = starts[number], np.arange(len(rows.cell))
     found = []
-    for step in range(1, LEAF):
-        j = place[step:][begin[step:] == begin[:-step]]
+    for step in range(1, NEIGHBOURS):
+        j = place[place - begin >= step]
         found.append((j - step, j))
-    for head in range(LEAF):
-        j = place[place - begin >= head + LEAF]
-        found.append((begin[j] + head, j))
-    large = rows.crowded | (np.append(starts[1:], size)[np.searchsorted(starts, begin)] - begin > LEAF)
+    j = place[place - begin >= NEIGHBOURS]
+    found.append((begin[j], j))
+    sizes = np.diff(np.append(starts, len(rows.cell)))
     i, j = (np.concatenate(x) for x in zip(*found))
-    return i, j, np.unique(rows.key[large])
+    return i, j, rows.crowded | (sizes[number] > NEIGHBOURS + 1)
 
 
 class Tree:
@@ -320,7 +326,7 @@ def _whole(table: pa.Table) -> Rows:
 
 
 def _candidates(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """(a, b, key): pairs of classes, or (with a and b missing) a key that was not traversed whole."""
+    """(a, b, key): pairs of classes; or with b missing, a class and a key that was not traversed whole."""
 
     def run(batches):
         for some in _cells(batches):
@@ -329,19 +335,19 @@ def _candidates(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
                 edges = np.append(np.flatnonzero(np.concatenate([[True], some.cell[1:] != some.cell[:-1]])), len(some.cell))
                 chunks_ = (c for b, e in zip(edges[:-1], edges[1:]) for c in Tree(some, b, e).pairs(percent))
             else:
-                i, j, left = near_pairs(some, percent)
+                i, j, left = near_pairs(some)
+                left = np.flatnonzero(left)
                 chunks_ = ((i[at : at + 65536], j[at : at + 65536]) for at in range(0, len(i), 65536))
             for i, j in chunks_:
                 keep = some.similar(i, j, percent)
                 a, b = some.name[i[keep]], some.name[j[keep]]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            none = pa.nulls
             yield pa.record_batch(
                 [
-                    pa.concat_arrays([pa.array(pairs[0]), none(len(left), pa.int64())]),
-                    pa.concat_arrays([pa.array(pairs[1]), none(len(left), pa.int64())]),
-                    pa.concat_arrays([none(pairs.shape[1], pa.int64()), pa.array(left)]),
+                    pa.array(np.concatenate([pairs[0], some.name[left]])),
+                    pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(left), pa.int64())]),
+                    pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(some.key[left])]),
                 ],
                 names=["a", "b", "key"],
             )
@@ -351,8 +357,8 @@ def _candidates(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
     return columns.mapInArrow(run, "a long, b long, key long")
 
 
-def crowded_cells(rows: DataFrame) -> DataFrame:
-    """``rows`` (with label) dealt to cells so that any two rows of a key that have different
+def crowded_cells(rows: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``rows`` (key, class, label) dealt to cells so that any two rows of a key that have different
     labels meet in one. Keys with one label only are left out."""
     counts = rows.groupBy("key", "label").agg(F.count("*").alias("n_label"))
     keys = settle(
@@ -361,7 +367,8 @@ def crowded_cells(rows: DataFrame) -> DataFrame:
             (F.sum("n_label") - F.max("n_label")).alias("others"),
         ).where("others > 0")
     )
-    joined = rows.join(keys, "key").withColumn("groups", F.ceil(F.col("others") / CELL_ROWS).cast("int"))
+    joined = with_parts(rows.join(keys, "key"), crowded)
+    joined = joined.withColumn("groups", F.ceil(F.col("others") / CELL_ROWS).cast("int"))
     group = F.pmod(F.xxhash64("class", F.lit(1)), F.col("groups")).cast("int")
     # cells: number part * groups + group; behind them, groups * groups for pairs of groups of others
     mains = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda g: F.col("part") * F.col("groups") + g)
@@ -377,17 +384,26 @@ def crowded_cells(rows: DataFrame) -> DataFrame:
     return joined.withColumn("group", group).withColumn("cell", F.explode(cells))
 
 
-def class_sets(pairs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(class, n, wide, shingles) of at least the ``wanted`` classes, each once."""
-    field = pairs.sparkSession.sparkContext.broadcast(bit_field(wanted, "class"))
+def class_sets(pairs: DataFrame, documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(class, n, wide, shingles) of at least the ``wanted`` classes.
+
+    Each is made from the text of its first document, which a bit field marks,
+    so the sets need no shuffle to be made once; a few more rows do no harm.
+    """
+    first = documents.join(wanted.distinct(), "class", "left_semi").groupBy("class").agg(F.min(F.coalesce("doc", "class")).alias("doc"))
+    first = settle(first)
+    context = pairs.sparkSession.sparkContext
+    classes, docs = context.broadcast(bit_field(first, "class")), context.broadcast(bit_field(first, "doc"))
 
     def run(batches):
         seen, rows, held = _Seen(), [], 0
-        for _, _, found in _sets(batches, size):
+        for batch, i, found in _sets(batches, size):
             if not len(found):
                 continue
             name = digest(found)
-            if may_hold(field.value, np.array([name], np.int64).view(np.uint64))[0] and seen.first_time(name):
+            doc = batch.column(0)[i].as_py()
+            marked = _marked(classes.value, name) and _marked(docs.value, name if doc is None else doc)
+            if marked and seen.first_time(name):
                 bits = max(SIGNATURE, 1 << int(WIDE * len(found) - 1).bit_length())
                 rows.append((name, len(found), bitmap(found, bits).tobytes(), found.tobytes()))
                 held += len(found)
@@ -397,8 +413,11 @@ def class_sets(pairs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         if rows:
             yield _made(rows, _SET)
 
-    made = pairs.mapInArrow(run, "class long, n long, wide binary, shingles binary")
-    return settle(made.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "wide", "shingles")]))
+    return settle(pairs.mapInArrow(run, "class long, n long, wide binary, shingles binary"))
+
+
+def _marked(field: np.ndarray, value: int) -> bool:
+    return bool(may_hold(field, np.array([value], np.int64).view(np.uint64))[0])
 
 
 _SET = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("wide", pa.binary()), ("shingles", pa.binary())])
@@ -418,26 +437,42 @@ def set_overlap(n: int, a: bytes, m: int, b: bytes) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are as similar as asked."""
-    for column, overlap in (("wide", wide_overlap), ("shingles", set_overlap)):
-        pairs = settle(_checked(pairs, sets, column, overlap, percent))
-    return pairs
+def checked(pairs: DataFrame, sets: DataFrame, column: str, overlap, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets can be as similar as asked, by ``overlap`` of their ``column``s.
 
+    Only the sets of classes in ``pairs`` are shuffled: a bit field of fixed size tells them.
+    """
+    pairs = settle(pairs.select("a", "b"))
+    if pairs.isEmpty():
+        return pairs
+    named = pairs.select(F.col("a").alias("class")).union(pairs.select("b"))
+    field = sets.sparkSession.sparkContext.broadcast(bit_field(named, "class"))
 
-def _checked(pairs, sets, column, overlap, percent):
-    left = sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("of_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("of_b"))
+    def needed(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(may_hold(field.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    some = sets.select("class", "n", column).mapInArrow(needed, f"class long, n long, `{column}` binary")
+    left = some.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("of_a"))
+    right = some.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("of_b"))
 
     def run(batches):
         for batch in batches:
-            a, b, n, x, m, y = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "of_a", "n_b", "of_b"))
-            keep = [overlap(*v) >= _needed(v[0], v[2], percent) for v in zip(n, x, m, y)]
-            yield pa.record_batch(
-                [pa.array([v for v, k in zip(c, keep) if k], pa.int64()) for c in (a, b)], names=["a", "b"]
-            )
+            keep = []
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                n, x, m, y = (part.column(c).to_pylist() for c in ("n_a", "of_a", "n_b", "of_b"))
+                keep += [overlap(*v) >= _needed(v[0], v[2], percent) for v in zip(n, x, m, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return settle(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct())
+
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose classes ``links`` have not joined."""
+    labels = settle(components(links))
+    both = _labelled(_labelled(pairs, labels, "a", "label_a"), labels, "b", "label_b")
+    return settle(both.where("label_a <> label_b").select("a", "b"))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, name: str, label: str) -> DataFrame:
@@ -445,36 +480,47 @@ def _labelled(rows: DataFrame, labels: DataFrame, name: str, label: str) -> Data
     return rows.join(known, name, "left").withColumn(label, F.coalesce(label, name))
 
 
-def class_links(pairs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
+def class_links(
+    pairs: DataFrame, documents: DataFrame, sketch: np.ndarray, size: int, percent: int
+) -> DataFrame:
     """Links (a, b) between classes: all that their components need."""
     sketch = pairs.sparkSession.sparkContext.broadcast(sketch)
     shared = shared_keys(pairs, sketch, size, percent)
-    rows = tree_rows(pairs, sketch, shared, size, percent)
+    crowded = settle(shared.where(F.col("rows") > CELL_ROWS))
+    classes = class_keys(pairs, sketch, shared, size, percent)
 
+    rows = with_parts(classes.select("class", "n", "signature", F.explode("keys").alias("key")), crowded)
     alone = rows.withColumn("label", F.col("class")).withColumn("cell", F.col("part"))
     found = settle(_candidates(alone, percent, whole=False))
-    near = settle(found.where("key is null").select("a", "b").distinct())
-    keys = found.where("key is not null").select("key").distinct()
-    left = settle(rows.join(keys, "key", "left_semi"))
+    near = settle(found.where("b is not null").select("a", "b").distinct())
+    left = settle(found.where("b is null").select("key", F.col("a").alias("class")).distinct())
     wanted = near.select(F.col("a").alias("class")).union(near.select("b")).union(left.select("class"))
-    sets = class_sets(pairs, wanted, size)
+    sets = class_sets(pairs, documents, wanted, size)
+
+    def exact(some):
+        return checked(some, sets, "shingles", set_overlap, percent)
 
-    # one partner of each class first: that joins most copies, and spares most other checks
-    first = verified(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent)
-    labels = settle(components(first))
-    still = _candidates(crowded_cells(_labelled(left, labels, "class", "label")), percent, whole=True).select("a", "b")
-    rest = near.union(still).distinct()
-    rest = _labelled(_labelled(rest, labels, "a", "label_a"), labels, "b", "label_b").where("label_a <> label_b")
-    return first.union(verified(rest, sets, percent))
+    near = checked(near, sets, "wide", wide_overlap, percent)
+    links = exact(near.groupBy("b").agg(F.min("a").alias("a")))
+    rest = _apart(near, links)
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a"))
+    links = settle(links.union(exact(rest.withColumn("place", place).where(F.col("place") <= PARTNERS))))
+    links = settle(links.union(exact(_apart(near, links))))
+
+    labels = settle(components(links))
+    open_rows = crowded_cells(_labelled(left, labels, "class", "label"), crowded)
+    signed = classes.select("class", "n", "signature").dropDuplicates(["class"])
+    still = _candidates(open_rows.join(signed, "class"), percent, whole=True).select("a", "b").distinct()
+    return links.union(exact(checked(still, sets, "wide", wide_overlap, percent)))
 
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT
 ) -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, and component_id, the smallest id it reaches by links."""
-    pairs = docs.select(F.col(text).alias("text"))
+    pairs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     documents, sketch = document_sets(docs, doc_id, text, size)
-    labels = settle(components(class_links(pairs, sketch, size, percent)))
+    labels = settle(components(class_links(pairs, documents, sketch, size, percent)))
 
     classes = documents.where("class is not null").groupBy("class").agg(F.min("doc").alias("least"))
     labelled = settle(_labelled(classes, labels, "class", "label"))
