@@ -15,9 +15,9 @@ by chance:
 4. Pairs that are left are checked with larger bitmaps, then with the sets.
 
 Step 3 runs twice. First each row is compared with ``NEIGHBOURS`` rows of its key
-only, and of the pairs found, one for each class is checked, then ``PARTNERS``, then
-the rest, each time without those that the checks before have joined. That joins
-most copies at a cost that grows with the rows. Then the keys that hold several
+only, and of the pairs found, one for each class is checked, then the rest without
+those that these have joined. That joins most copies at a cost that grows with
+the rows. Then the keys that hold several
 components still are traversed whole. Keys with many rows are dealt to cells of
 bounded size: the rows of the key's largest component are spread, the others go
 along with each part. Nothing is sampled or cut off.
@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.settle import settle
 from .components import components
@@ -41,11 +41,10 @@ from .text import chunks, mix, sequences
 
 SIZE, PERCENT = 5, 80
 SKETCH_BITS = 18
-SIGNATURE = 512  # bits of a token bitmap in a tree
+SIGNATURE = 256  # bits of a token bitmap in a tree
 WIDE = 8  # bits per shingle of the larger bitmaps
 LEAF, FAN = 16, 8  # rows of a leaf, children of a node
 NEIGHBOURS = 3  # rows of its cell with which a row is compared first: the cell's first and those before it
-PARTNERS = 4
 CELL_ROWS = 1024
 SEEN_CLASSES = 200_000  # classes of which a task remembers that it has handed them on
 
@@ -326,7 +325,7 @@ def _whole(table: pa.Table) -> Rows:
 
 
 def _candidates(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """(a, b, key): pairs of classes; or with b missing, a class and a key that was not traversed whole."""
+    """(a, b, key): pairs of classes; or, with these missing, a key that was not traversed whole."""
 
     def run(batches):
         for some in _cells(batches):
@@ -336,7 +335,7 @@ def _candidates(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
                 chunks_ = (c for b, e in zip(edges[:-1], edges[1:]) for c in Tree(some, b, e).pairs(percent))
             else:
                 i, j, left = near_pairs(some)
-                left = np.flatnonzero(left)
+                left = np.unique(some.key[left])
                 chunks_ = ((i[at : at + 65536], j[at : at + 65536]) for at in range(0, len(i), 65536))
             for i, j in chunks_:
                 keep = some.similar(i, j, percent)
@@ -345,9 +344,8 @@ def _candidates(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
             pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.record_batch(
                 [
-                    pa.array(np.concatenate([pairs[0], some.name[left]])),
-                    pa.concat_arrays([pa.array(pairs[1]), pa.nulls(len(left), pa.int64())]),
-                    pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(some.key[left])]),
+                    *[pa.concat_arrays([pa.array(p), pa.nulls(len(left), pa.int64())]) for p in pairs],
+                    pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(left)]),
                 ],
                 names=["a", "b", "key"],
             )
@@ -493,25 +491,26 @@ def class_links(
     alone = rows.withColumn("label", F.col("class")).withColumn("cell", F.col("part"))
     found = settle(_candidates(alone, percent, whole=False))
     near = settle(found.where("b is not null").select("a", "b").distinct())
-    left = settle(found.where("b is null").select("key", F.col("a").alias("class")).distinct())
+    open_keys = found.where("key is not null").select("key").distinct()
+    left = settle(classes.select("class", F.explode("keys").alias("key")).join(open_keys, "key", "left_semi").distinct())
     wanted = near.select(F.col("a").alias("class")).union(near.select("b")).union(left.select("class"))
     sets = class_sets(pairs, documents, wanted, size)
 
     def exact(some):
         return checked(some, sets, "shingles", set_overlap, percent)
 
-    near = checked(near, sets, "wide", wide_overlap, percent)
+    def similar(some):
+        return exact(checked(some, sets, "wide", wide_overlap, percent))
+
+    # one partner of each class first: that joins most copies, and spares most other checks
     links = exact(near.groupBy("b").agg(F.min("a").alias("a")))
-    rest = _apart(near, links)
-    place = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a"))
-    links = settle(links.union(exact(rest.withColumn("place", place).where(F.col("place") <= PARTNERS))))
-    links = settle(links.union(exact(_apart(near, links))))
+    links = settle(links.union(similar(_apart(near, links))))
 
     labels = settle(components(links))
     open_rows = crowded_cells(_labelled(left, labels, "class", "label"), crowded)
     signed = classes.select("class", "n", "signature").dropDuplicates(["class"])
     still = _candidates(open_rows.join(signed, "class"), percent, whole=True).select("a", "b").distinct()
-    return links.union(exact(checked(still, sets, "wide", wide_overlap, percent)))
+    return links.union(similar(still))
 
 
 def near_duplicates(
