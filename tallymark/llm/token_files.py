@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +28,58 @@ from pyspark.sql.window import Window
 
 from ..operators.settle import new_path, settle
 from . import wavelet
-from .bpe import Vocabulary
+from .bpe import FAR, LONGEST_KEPT, Vocabulary
 from .files import opened, publish
+from .text import one_by_one
 
+KEPT_WORDS = 1_200_000  # words a worker keeps
 FILE_TOKENS = 1 << 22  # a file ends with the document that reaches so many
 MISSING = -(2**63)  # stands for a missing id in a file
 _PER_GROUP = 1000
 
 
+class _Words(dict):
+    """Ids of words as bytes; what is not kept yet is encoded when it is asked for."""
+
+    def __init__(self, vocabulary: LibraryVocabulary):
+        super().__init__(vocabulary.words)
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.vocabulary.ids_of(word)
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+                self.update(self.vocabulary.words)
+            self[word] = ids
+        return ids
+
+
 class LibraryVocabulary(Vocabulary):
-    """The library encodes the words; what it gives for each is kept."""
+    """The library's model encodes the pieces of each new word; what it gives is kept."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.model = self.rules.model
+        self.letter_of = {b: c for c, b in self.byte_of.items()}
+        self.kept = _Words(self)
+
+    def encode(self, texts):
+        for text in one_by_one(texts):
+            yield b"".join(map(self.kept.__getitem__, self.parts(text)))
+
+    def ids_of(self, word: str) -> bytes:
+        near = word.isascii() or not FAR.search(word)
+        if near and word.isalpha():  # one piece
+            return self._of_piece(word.encode())
+        if near and word[-1] in ".,;:!?" and word[:-1].isalpha():  # two
+            return self.kept[word[:-1]] + self.kept[word[-1]]
+        return b"".join(map(self._of_piece, self.pieces(word)))
 
-    def learn(self, fresh: list[str]) -> None:
-        for at in range(0, len(fresh), 50_000):
-            words = fresh[at : at + 50_000]
-            found = self.rules.encode_batch_fast(words, add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, "<i4").tobytes()) for w, e in zip(words, found))
+    def _of_piece(self, piece: bytes) -> bytes:
+        letters = piece.decode("latin-1").translate(self.letter_of)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return pack(f"<{len(ids)}i", *ids)
 
 
 @lru_cache(2)
@@ -84,7 +121,7 @@ def _file_loads(batches, path, end_id):
 
     for batch in batches:
         some = batch.column(0).to_pylist()
-        for i, raw in zip(some, _library(path).encode(batch.column(1).to_pylist())):
+        for i, raw in zip(some, _library(path).encode(batch.column(1))):
             ids.append(i)
             parts.append(raw)
             held += len(raw) // 4 + 1
