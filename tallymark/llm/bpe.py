@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
+from .text import one_by_one
+
 # The pattern of the vocabulary's pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 # White space for str.split() but not for the vocabulary.
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 # Beyond Latin letters, Unicode tables of different releases differ: there the vocabulary's own are used.
-_FAR = regex.compile("[^\x00-\u024f]")
-KEPT_WORDS = 700_000  # words a worker keeps
-FRESH_WORDS = 250_000  # new words encoded together
+FAR = regex.compile("[^\x00-\u024f]")
+KEPT_WORDS = 450_000  # words a worker keeps
+FRESH_WORDS = 150_000  # new words encoded together
 LONGEST_KEPT = 64
 BATCH_BYTES = 4_000_000  # ids handed on at once, or one text's
 
@@ -154,26 +156,27 @@ class Vocabulary:
         cuts = (4 * np.concatenate([starts, [len(ids)]])[first]).tolist()
         self.words.update((w, raw[cuts[k] : cuts[k + 1]]) for k, w in enumerate(fresh))
 
-    def encode(self, texts: list[str | None]):
-        """Ids of each text as bytes, four for each; texts are taken in runs that share one index."""
+    def encode(self, texts):
+        """Ids of each text of a list or Arrow array, as bytes, four for each id; texts are taken
+        in runs that share one index."""
         known, fresh, start = self.words, set(), 0
-        for i, text in enumerate(texts):
+        for i, text in enumerate(one_by_one(texts)):
             fresh.update(w for w in set(self.parts(text)) if w not in known)
             if len(fresh) >= FRESH_WORDS or i == len(texts) - 1:
                 run = texts[start : i + 1]
                 if len(known) + len(fresh) > KEPT_WORDS:
                     known.clear()
                     known.update(self._special_ids)
-                    fresh = {w for t in run for w in set(self.parts(t)) if w not in known}
+                    fresh = {w for t in one_by_one(run) for w in set(self.parts(t)) if w not in known}
                 self.learn(list(fresh))
-                for t in run:
+                for t in one_by_one(run):
                     yield b"".join(map(known.__getitem__, self.parts(t)))
                 for w in [w for w in fresh if len(w) > LONGEST_KEPT]:
                     del known[w]
                 fresh, start = set(), i + 1
 
     def pieces(self, word: str) -> list[bytes]:
-        if _FAR.search(word):
+        if FAR.search(word):
             found = self.rules.pre_tokenizer.pre_tokenize_str(word)
             return [bytes(map(self.byte_of.__getitem__, p)) for p, _ in found]
         return [p.encode() for p in PIECES.findall(word)]
@@ -182,7 +185,7 @@ class Vocabulary:
         """The words of a text as the vocabulary's normalizer leaves them: NFC, lower case letter by letter."""
         if text.isascii():
             text = text.lower()
-        elif _FAR.search(text):
+        elif FAR.search(text):
             text = self.rules.normalizer.normalize_str(text)
         else:
             text = unicodedata.normalize("NFC", text).lower()
@@ -238,7 +241,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     """``docs`` with the token ids of each text."""
 
     def make(batch):
-        texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+        texts = batch.column(batch.schema.get_field_index(text))
         start, held, found = 0, 0, []
         for i, raw in enumerate(vocabulary(path).encode(texts)):
             found.append(raw)

@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .text import one_by_one
+
 CHUNK, STEP = 512, 448  # bytes in a chunk, and from one chunk to the next
 WIDTH, FILTERS, DEPTH = 6, 16, 8  # bytes under a filter, filters, numbers for a byte
 PAD = 256  # stands for what lies behind the end of a text
@@ -77,10 +79,11 @@ def probability(net: Network, mean: np.ndarray, top: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
 
 
-def score(net: Network, texts: list[str | None]) -> np.ndarray:
+def score(net: Network, texts) -> np.ndarray:
+    """The score of each text of a list or Arrow array."""
     out = np.empty(len(texts))
     start, held, parts = 0, 0, []
-    for i, text in enumerate(texts):
+    for i, text in enumerate(one_by_one(texts)):
         parts.append(chunks_of((text or "").encode()))
         held += len(parts[-1])
         if held >= 8 * _AT_ONCE or i == len(texts) - 1:
@@ -168,7 +171,7 @@ def scored(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     def run(batches):
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in rest]
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            texts = batch.column(batch.schema.get_field_index(text))
             yield pa.record_batch([*columns, pa.array(score(net, texts))], names=[*(f.name for f in rest), "score"])
 
     return docs.mapInArrow(run, schema)
