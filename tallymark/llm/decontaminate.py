@@ -9,11 +9,17 @@ block and value, probed with the values that few flips lead to, finds all pairs
 within the radius. The weighted Jaccard similarity of the shingles, computed
 exactly, then decides.
 
-A window without a shingle of the benchmark has similarity 0 to every item, so
-windows are made only where a document has one, placed as an item would lie
-around it: this loses nothing and leaves few windows. The shingles of the
-benchmark are broadcast in blocks of at most ``BROADCAST_ROWS`` rows; a larger
-benchmark takes more passes over the documents. Equal windows are compared once.
+Windows are made of an item's size and begin at a shingle that some item of that
+size has, moved left only to fit the end of the document. Sliding a window right
+past shingles that its item lacks never lowers its similarity, so these hold the
+best window, in whatever order the parts of the item stand. Windows placed as an
+item would lie around a shared shingle are made too, so that the first of equally
+similar windows is the one that covers the passage. A window is similar only if
+most of its shingles are shared: windows with fewer places of shared shingles than
+``LEAST`` needs are dropped before their text is made, which loses nothing. The
+shingles of the benchmark are broadcast in blocks of at most ``BROADCAST_ROWS``
+rows; a larger benchmark takes more passes over the documents. Equal windows are
+compared once.
 
 All of it is DataFrame expressions. Texts are read whole.
 
@@ -21,7 +27,7 @@ Defined results: missing or empty texts and items have no words and match
 nothing. An item with fewer than five words has its whole sequence as its only
 shingle. A document shorter than an item is one window. Rows with equal ids
 count as one document, the union of their matches; a missing id is a document
-id of its own. Of equal similarities the first window is reported.
+id of its own. Of equal similarities the first of these windows is reported.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.settle import settle
 from .text import bound
@@ -113,9 +119,10 @@ def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return rows.select("item", "words", F.size("words").alias("size"), shingles(F.col("words")).alias("shingles"))
 
 
-def windows(docs: DataFrame, items: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, start, size, content): item-sized windows around each shingle that an item has too."""
-    texts = docs.select(F.col(doc_id).alias("doc"), words_of(F.col(text)).alias("words"))
+def shared_places(docs: DataFrame, items: DataFrame, doc_id: str, text: str) -> DataFrame | None:
+    """(doc, digest, words, length, size, at, offset): where documents have a shingle of an item of
+    ``size`` words, and where the item has it; None without items."""
+    texts = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("digest"), words_of(F.col(text)).alias("list"))
     sized = items.select("size", "words", F.least(F.col("size"), F.lit(SHINGLE)).alias("length"))
     found = []
     for (length,) in sized.select("length").distinct().collect():  # at most SHINGLE rows
@@ -125,16 +132,58 @@ def windows(docs: DataFrame, items: DataFrame, doc_id: str, text: str) -> DataFr
         blocks = -(-places.count() // BROADCAST_ROWS)
         for block in range(blocks):
             some = places.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == block)
-            spread = texts.select("doc", "words", F.posexplode(shingle_hashes(F.col("words"), length)).alias("at", "hash"))
-            start = F.greatest(F.least(F.col("at") - F.col("offset"), F.size("words") - F.col("size")), F.lit(0))
-            hits = spread.join(F.broadcast(some), "hash").select("doc", start.alias("start"), "size", "words")
-            content = F.array_join(F.slice("words", F.col("start") + 1, F.col("size")), " ")
-            found.append(hits.select("doc", "start", "size", content.alias("content")))
-    if not found:
-        return texts.where("false").select(
-            "doc", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("content")
+            spread = texts.select(
+                "doc", "digest", F.size("list").alias("words"), F.posexplode(shingle_hashes(F.col("list"), length)).alias("at", "hash")
+            )
+            found.append(spread.join(F.broadcast(some), "hash").select(
+                "doc", "digest", "words", F.lit(length).alias("length"), "size", "at", "offset"
+            ))
+    return reduce(DataFrame.union, found) if found else None
+
+
+def window_starts(places: DataFrame) -> DataFrame:
+    """(doc, digest, size, start): windows with as many places of shared shingles as ``LEAST`` needs.
+
+    One running count over a document's places, read before a window and at its end.
+    """
+    text = ["doc", "digest", "words", "length", "size"]
+    shingles_of = F.least("size", "words") - F.col("length") + 1
+
+    def clamped(start):
+        return F.greatest(F.least(start, F.col("words") - F.col("size")), F.lit(0))
+
+    def event(place, kind, start):
+        return F.struct(place.alias("place"), F.lit(kind).alias("kind"), start.cast("int").alias("start"))
+
+    events = [event(F.col("at"), 0, F.lit(None))]
+    for start in (clamped(F.col("at")), clamped(F.col("at") - F.col("offset"))):
+        events += [event(start, -1, start), event(start + shingles_of - 1, 1, start)]
+    dealt = places.repartition("doc", "digest", "size")
+    told = dealt.select(*text, F.explode(F.array(*events)).alias("e")).select(*text, "e.*").distinct()
+    in_order = Window.partitionBy("doc", "digest", "size").orderBy("place", "kind")
+    before = F.sum((F.col("kind") == 0).cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    ends = told.withColumn("shared", before).where("kind <> 0")
+    counted = ends.groupBy(*text, "start").agg(F.sum(F.col("kind") * F.col("shared")).alias("shared"))
+    both = shingles_of + F.col("size") - F.col("length") + 1
+    # shared / (both - shared) >= LEAST; a bit less, for rounding
+    return counted.where((1 + LEAST) * F.col("shared") >= LEAST * both - 1e-6).select("doc", "digest", "size", "start")
+
+
+def windows(docs: DataFrame, items: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc, start, size, content): the item-sized windows that may be similar to an item."""
+    places = shared_places(docs, items, doc_id, text)
+    if places is None:
+        return docs.where("false").select(
+            F.col(doc_id).alias("doc"), F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("content")
         )
-    return reduce(DataFrame.union, found).distinct()
+    starts = settle(window_starts(places))
+    texts = docs.select(F.col(doc_id).alias("of"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    # texts of one id with one digest share their starts, if they differ at all
+    own = starts.groupBy("doc", "digest").agg(F.collect_list(F.struct("size", "start")).alias("starts"))
+    held = texts.join(own, ["digest"]).where(F.col("doc").eqNullSafe(F.col("of")))
+    each = held.select("doc", words_of(F.col("text")).alias("words"), F.explode("starts").alias("at"))
+    content = F.array_join(F.slice("words", F.col("at.start") + 1, F.col("at.size")), " ")
+    return each.select("doc", "at.start", "at.size", content.alias("content")).distinct()
 
 
 def similar(contents: DataFrame, items: DataFrame) -> DataFrame:

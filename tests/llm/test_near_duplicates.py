@@ -228,6 +228,25 @@ def test_edits_ends_and_short_items(spark):
     assert decontaminate.leaks(empty(spark), benchmark).collect() == []
 
 
+def test_parts_in_another_order_inside_a_longer_document(spark):
+    w = [f"part{i}" for i in range(50)]
+    before, after = [f"x{i}" for i in range(60)], [f"y{i}" for i in range(60)]
+    texts = [
+        (1, before + w[25:] + w[:25] + after), (2, before + w[25:] + w[:25]), (3, w[25:] + w[:25] + after),
+        (4, before + w[30:] + w[:30] + after), (5, before + w[:25] + after + w[25:]), (6, before + w[3:] + after),
+        (7, before + w[:-4] + after), (8, before + w + after + w), (8, before + w[25:] + w[:25]), (None, w[25:] + w[:25] + after),
+    ]
+    texts = [(d, " ".join(t)) for d, t in texts]
+    benchmark = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    docs = frame(spark, [(*t, None, None) for t in texts])
+    rows = decontaminate.leaks(docs, benchmark).collect()
+    expected = best_windows(texts, [(1, " ".join(w))])
+    assert {(r.doc_id, r.item_id): r.similarity for r in rows} == pytest.approx(expected)
+    assert {1, 2, 3, 4, 6, 7, 8, None} == {d for d, _ in expected}
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, benchmark).collect()} == {5}
+    assert {r.doc_id: r.first_word for r in rows}[1] == 60
+
+
 def test_more_shingles_than_one_broadcast_takes(spark, monkeypatch):
     docs, benchmark = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     expected = decontaminate.leaks(docs, benchmark)
