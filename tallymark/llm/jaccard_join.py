@@ -32,7 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.settle import settle
 from .components import components
@@ -46,6 +46,7 @@ WIDE = 8  # bits per shingle of the larger bitmaps
 LEAF, FAN = 16, 8  # rows of a leaf, children of a node
 NEIGHBOURS = 3  # rows of its cell with which a row is compared first: the cell's first and those before it
 CELL_ROWS = 1024
+ROW = "__row"  # column of row keys while one row of each component is chosen
 SEEN_CLASSES = 200_000  # classes of which a task remembers that it has handed them on
 
 
@@ -530,14 +531,21 @@ def near_duplicates(
     return joined.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def row_number(key: Column) -> Column:
+    """A row's key from Spark's row id, and the id from the key: the low bits change with the
+    partition, so that rows of many partitions spread over a bit field."""
+    partition = F.shiftright(key, 33)
+    return key.bitwiseXOR(F.pmod(partition * 0x9E3779B1, F.lit(1 << 26)))
+
+
 def keep_one(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT
 ) -> DataFrame:
-    """One document of each component of ``docs``: the one with the smallest id, its first row if
-    it has several. Rows without id stay."""
-    found = near_duplicates(docs, doc_id, text, size, percent)
-    kept = found.where(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__kept")).distinct()
-    joined = docs.join(kept, F.col(doc_id) == F.col("__kept"), "left").where(
-        F.col("__kept").isNotNull() | F.col(doc_id).isNull()
-    ).drop("__kept")
-    return joined
+    """One row of each component of ``docs``: the one with the smallest id, its first row if it has
+    several; the first row if none has an id. Rows without words stay."""
+    settled = settle(docs.withColumn(ROW, row_number(F.monotonically_increasing_id())))
+    found = near_duplicates(settled, ROW, text, size, percent)
+    ids = settled.select(ROW, F.col(doc_id).alias("__id"))
+    order = F.struct(F.col("__id").isNull(), "__id", row_number(F.col(ROW)))
+    kept = found.select(ROW, "component_id").join(ids, ROW).groupBy("component_id").agg(F.min_by(ROW, order).alias(ROW))
+    return settled.join(kept.select(ROW), ROW, "left_semi").drop(ROW)

@@ -147,6 +147,34 @@ def test_one_of_each_group_stays(spark):
     assert jaccard_join.keep_one(empty(spark)).collect() == []
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows that stay, counted: ids that occur several times, and rows without id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [
+        (1, a), (1, a), (7, a), (2, b), (2, a), (2, b), (3, c + " more"), (None, c), (None, c), (None, d), (None, d), (None, d + " end"),
+        (4, ""), (4, ""), (None, None), (None, None), (5, b), (6, "alone"), (6, "other"),
+    ]
+    docs = frame(spark, [(*r, "en", "s") for r in rows])
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = Counter((r.doc_id, r.text) for r in kept.collect())
+    ends = [x for x in left if x[0] is None and x[1] and x[1].startswith(d)]
+    assert len(ends) == 1 and left.pop(ends[0]) == 1
+    assert left == Counter(
+        [(1, a), (2, b), (3, c + " more"), (4, ""), (4, ""), (None, None), (None, None), (6, "alone"), (6, "other")]
+    )
+    # a table loaded twice is the table
+    twice = docs.where("text <> ''").unionAll(docs.where("text <> ''"))
+    assert jaccard_join.keep_one(twice).count() == 6
+
+
+def test_row_keys_are_one_to_one(spark):
+    ids = [(p << 33) + i for p in (0, 1, 2, 77, 2**20) for i in (0, 1, 5, 2**26, 2**33 - 1)]
+    rows = spark.createDataFrame([(i,) for i in ids], "i long").withColumn("key", jaccard_join.row_number(F.col("i")))
+    got = rows.withColumn("back", jaccard_join.row_number(F.col("key"))).collect()
+    assert len({r.key for r in got}) == len(ids) and all(r.back == r.i for r in got)
+
+
 def test_components(spark):
     rnd = random.Random(4)
     links = [(i, i + 1) for i in range(0, 300)] + [(1000 + rnd.randrange(200), 1000 + rnd.randrange(200)) for _ in range(120)]
