@@ -29,14 +29,18 @@ KINDS = ("assign", "access", "hex")
 
 WINDOW = 20
 #: Classes of candidate runs: name -> (pattern of a whole run, bits of entropy that some window must reach).
+#: Runs joined by signs come before their alphanumeric parts, which count where the whole does not.
 CLASSES = {
     "hexrun": (r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{20,}(?![0-9A-Za-z])", 3.0),
-    "alnum": (r"(?<![0-9A-Za-z+/_=-])(?=[0-9A-Za-z]*[0-9])(?=[0-9A-Za-z]*[A-Za-z])[0-9A-Za-z]{20,}(?![0-9A-Za-z+/_=-])", 3.6),
     "base64": (
-        r"(?<![0-9A-Za-z+/_=-])(?=[0-9A-Za-z]*[+/_=-])(?=[^\s0-9]*[0-9])(?=[^\sA-Z]*[A-Z])(?=[^\sa-z]*[a-z])"
+        r"(?<![0-9A-Za-z+/_=-])(?=[0-9A-Za-z]*[+/_=-])(?=[A-Za-z+/_=-]*[0-9])"
+        # both cases; or one, if letters and digits alternate in some part, as they do not in paths, slugs and dates
+        r"(?:(?=[0-9a-z+/_=-]*[A-Z])(?=[0-9A-Z+/_=-]*[a-z])"
+        r"|(?=[0-9A-Za-z+/_=-]*(?:[A-Za-z][0-9]+[A-Za-z]|[0-9][A-Za-z]+[0-9])))"
         r"[0-9A-Za-z+/_=-]{20,}(?![0-9A-Za-z+/_=-])",
         3.9,
     ),
+    "alnum": (r"(?<![0-9A-Za-z])(?=[0-9A-Za-z]*[0-9])(?=[0-9A-Za-z]*[A-Za-z])[0-9A-Za-z]{20,}(?![0-9A-Za-z])", 3.6),
 }
 #: Runs that look random but are not secret: paths and words joined by a sign, counters, placeholders.
 ALLOWED = (
