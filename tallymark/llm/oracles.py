@@ -150,3 +150,68 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not coalesce({_outside()}, false) as kept
 from measured left join limits on lang is not distinct from l and source is not distinct from s
 """
+
+
+SEARCH = rf"""
+with terms as (
+    select doc_id, rid, unnest(t) as term, len(t) as n from (
+        select doc_id, row_number() over () as rid,
+            regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+        from documents where text is not null)
+), counted as (select doc_id, rid, term, n, count(*) as tf from terms group by doc_id, rid, term, n),
+totals as (select count(*) as docs, cast(sum(n) as bigint) as length from (select distinct rid, n from terms)),
+weighted as (
+    select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w
+    from counted, totals group by term, docs
+), items as (
+    select distinct item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark
+), scored as (
+    select item_id, doc_id, rid,
+        cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) as bigint) as score
+    from items join counted using (term) join weighted using (term), totals group by item_id, doc_id, rid
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from (
+    select *, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank
+    from scored where score > 0)
+where rank <= 10
+"""
+
+
+def _assigned(k: int) -> str:
+    return f"""a{k} as materialized (
+        select rid, c, d from (
+            select rid, c, d, row_number() over (partition by rid order by d, c) as place from (
+                select rid, c, cast(list_sum(list_transform(list_zip(p.v, q.v),
+                    lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint) as d
+                from kept p, c{k} q))
+        where place = 1)"""
+
+
+def _moved(k: int) -> str:
+    return f"""c{k} as materialized (
+        select c, coalesce(mean, v) as v from c{k - 1} left join (
+            select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as mean from (
+                select c, i, sum(x) as s, count(*) as n from (
+                    select c, unnest(v) as x, unnest(range(64)) as i from a{k - 1} join kept using (rid))
+                group by c, i)
+            group by c) using (c))"""
+
+
+_ROUNDS = ", ".join(f"{_assigned(k)}, {_moved(k + 1)}" for k in range(10))
+
+CENTROIDS = f"""
+with kept as materialized (
+    select row_number() over () as rid, vec_id,
+        list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+), c0 as materialized (
+    select c, v from (select row_number() over (order by sha256('3:' || vec_id) nulls last, v) - 1 as c, v from kept)
+    where c < 8
+), {_ROUNDS}, {_assigned(10)}
+select vec_id, cast(c as integer) as cluster, d as distance,
+    cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia,
+    sha256(array_to_string(centre, ',')) as centroid_sha256
+from a10 join kept k using (rid) join (select c, v as centre from c10) using (c)
+"""

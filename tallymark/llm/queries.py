@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, classifier, decontaminate, jaccard_join, oracles, quality_rules, secret_scan, substrings, token_counts, token_files, warc
+from . import (
+    bpe, centroids, classifier, decontaminate, jaccard_join, lexical_search, oracles, quality_rules, secret_scan,
+    simhash_pivots, substrings, token_counts, token_files, warc,
+)
 
 QUERIES = {}
 #: The other queries hold merges, trained weights or entropies, which SQL does not express.
@@ -15,6 +18,8 @@ ORACLES = {
     "op5_benchmark_decontamination": oracles.LEAKS,
     "op6_substring_dedup": oracles.SUBSTRINGS,
     "op10_quality_rules": oracles.RULES,
+    "op11_ranked_lexical_search": oracles.SEARCH,
+    "op13_centroid_clustering": oracles.CENTROIDS,
 }
 
 
@@ -89,3 +94,19 @@ def op10_quality_rules(spark, sf_dir):
     return quality_rules.judged(docs.drop("text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op11_ranked_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_simhash_near_dedup(spark, sf_dir):
+    return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_centroid_clustering(spark, sf_dir):
+    assigned, last = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.report(assigned, last)

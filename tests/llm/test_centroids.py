@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallymark.llm import centroids as ce
+
+
+def brute(rows, clusters, rounds, dimensions):
+    kept = [
+        (i, [math.floor(1024 * x) for x in v]) for i, v in rows
+        if v is not None and len(v) == dimensions and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest() if r[0] is not None else "", r[1]))
+    centers = [v for _, v in order[:clusters]]
+
+    def assign():
+        out = []
+        for _, v in kept:
+            d = [sum((a - b) ** 2 for a, b in zip(v, c)) for c in centers]
+            out.append((d.index(min(d)), min(d)))
+        return out
+
+    for _ in range(rounds):
+        at = assign()
+        for c in range(len(centers)):
+            mine = [v for (_, v), (k, _) in zip(kept, at) if k == c]
+            if mine:
+                centers[c] = [sum(x) // len(mine) for x in zip(*mine)]
+    at = assign()
+    inertia = [sum(d for k, d in at if k == c) for c in range(len(centers))]
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centers]
+    return sorted(((i, k, d, inertia[k], sum(inertia), digest[k]) for (i, _), (k, d) in zip(kept, at)), key=repr)
+
+
+def found(df, **options):
+    rows = ce.report(*ce.cluster(df, **options)).collect()
+    return sorted(
+        ((r.vec_id, r.cluster, r.distance, r.cluster_inertia, r.inertia, r.centroid_sha256) for r in rows), key=repr
+    )
+
+
+def made(spark, rows, kind="float"):
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+    return df.selectExpr("*", "1 as cluster", "2 as id", "'x' as distance", "4 as v", "5 as places")
+
+
+def vectors(seed, n, dimensions):
+    rnd = random.Random(seed)
+    return [(rnd.randrange(n), [float(np.float32(rnd.gauss(k % 3, 0.4))) for _ in range(dimensions)]) for k in range(n)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_against_plain_rounds(spark, seed, monkeypatch):
+    rows = vectors(seed, 150, 5)
+    rows += [rows[0]] * 60 + [(None, rows[1][1]), (None, rows[2][1]), (rows[3][0], rows[4][1])]
+    monkeypatch.setattr(ce, "BLOCK", 16)
+    options = dict(dimensions=5, clusters=8, rounds=4)
+    assert found(made(spark, rows), **options) == brute(rows, 8, 4, 5)
+
+
+def test_vectors_left_out(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [
+        (1, None), (2, []), (3, [1.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, -inf]),
+        (8, [1.0, 2.0, 3.0]), (9, [-0.0005, 0.0005]), (10, [-1.0, 1.0]), (None, [0.25, 0.25]),
+    ]
+    assert found(made(spark, rows, "double"), dimensions=2, clusters=8, rounds=3) == brute(rows, 8, 3, 2)
+
+
+def test_no_vectors(spark):
+    assert found(made(spark, [])) == []
+    assert found(made(spark, [(1, None), (2, [0.5])])) == []
+
+
+def test_equal_distances_take_the_smaller_number(spark):
+    rows = [(i, [float(i % 2), 0.0]) for i in range(12)] + [(50, [0.5, 0.0])]
+    assert found(made(spark, rows), dimensions=2, clusters=4, rounds=2) == brute(rows, 4, 2, 2)
+
+
+def test_too_large_components_fail(spark):
+    with pytest.raises(Exception, match="is beyond"):
+        found(made(spark, [(1, [1e6, 0.0])], "double"), dimensions=2)
+
+
+def test_tables_hold_a_blocks_values(spark):
+    rows = [(i, [float(i % 3), 7.0]) for i in range(100)]
+    stored = ce.blocks(ce.whole_vectors(made(spark, rows).coalesce(1), "vec_id", "embedding", 2))
+    (block,) = stored.select("values", "starts", F.length("places").alias("n")).collect()
+    assert block["values"] == [0, 1024, 2048, 7168] and block["starts"] == [0, 3, 4] and block["n"] == 2 * 2 * 100
