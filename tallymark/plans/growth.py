@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.bands import SCORE_EDGES, SCORE_LABELS, grade_band, score_band
 from ..functions.flags import at_least
@@ -95,20 +95,22 @@ def with_standard(
 ) -> DataFrame:
     """Attach the standard of the band that ``score`` is in.
 
-    Standards by grade band too need ``grade``, the column of the grade. They
-    have a row per band, which Spark broadcasts as any table that small.
+    Standards by grade band too need ``grade``, the column of the grade. The
+    standards, one per band, are made once into a map from band to standard, a
+    single value that every task looks up in: no row is joined or moved. The
+    job fails if a band occurs twice.
     """
     by_grade = "grade_band" in standards.columns
     if by_grade and grade is None:
         raise ValueError("these standards are by grade band: name the grade's column")
-    few = standards.where(F.col("score_band").isNotNull()).select(
-        *([F.col("grade_band").alias("_grade_band")] if by_grade else []),
-        F.col("score_band").alias("_band"), name(quantile).alias(out),
-    )
-    same = score_band(name(score), *bands) == F.col("_band")
-    if by_grade:
-        same &= grade_band(name(grade)).eqNullSafe(F.col("_grade_band"))
-    return df.join(few, same, "left").drop("_band", "_grade_band")
+
+    def key_of(band: Column, grade: Column) -> Column:
+        return F.struct(grade.alias("grade"), band.alias("band")) if by_grade else band
+
+    entry = F.struct(key_of(F.col("score_band"), F.col("grade_band")), name(quantile))
+    listed = standards.where(F.col("score_band").isNotNull()).agg(F.map_from_entries(F.collect_list(entry)))
+    here = key_of(score_band(name(score), *bands), grade_band(name(grade)) if by_grade else F.lit(None))
+    return df.withColumn(out, F.try_element_at(listed.scalar(), here))
 
 
 def attach_standard(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallymark.operators.settle import settle
 from tallymark.plans import inputs
 from tallymark.plans.check import check_report
-from tallymark.plans.growth import indicator_growth, scores_by_year, student_growth, student_table
+from tallymark.plans.growth import attach_standard, indicator_growth, scores_by_year, student_growth, student_table
 from tallymark.plans.release import release_duplicates, release_students, release_table
 from tallymark.plans.reports import assemble, growth_rates, level_report, state_points
 from tallymark.sources import schemas
@@ -123,9 +123,12 @@ def test_release_and_check(spark, tmp_path):
     assert release_duplicates(formatted, listed, ["line"]).count() == 400
 
 
-def test_standards_are_broadcast(spark):
+def test_standards_move_no_student(spark):
+    """Yearly scores are shuffled by student; the standards are looked up, whatever Spark knows of their size."""
     records = spark.range(100).selectExpr("id % 40 as id", "cast(1999 + id % 3 as int) as year", "id / 20 as score")
     standards = spark.createDataFrame([("2.0-2.4", 0.5)], "score_band string, score_60 double")
-    text = plan(student_growth(scores_by_year(records, [2001, 2000, 1999]), standards, 2001))
-    assert text.count("BroadcastHashJoin") == 3
-    assert text.count("Exchange hashpartitioning") == 1
+    scores = scores_by_year(records, [2001, 2000, 1999])
+    for found in (student_growth(scores, standards, 2001), attach_standard(scores, standards, [2001, 2000])):
+        text = plan(found)
+        assert "Join" not in text
+        assert text.count("Exchange hashpartitioning") == text.count("Exchange hashpartitioning(id") == 1

@@ -96,6 +96,25 @@ def test_wide_scores_equal_self_joins(spark):
     assert rows(attached) == rows(long.where(F.col("year").isin(years)), "year", "id", "score", "growth_standard")
 
 
+def test_standards_by_band_are_unique_and_may_be_none(spark):
+    df = spark.createDataFrame([(1, 2.2), (2, 9.9), (3, None)], "id int, score double")
+    none = spark.createDataFrame([], "score_band string, score_60 double")
+    assert rows(with_standard(df, none, "score", "s"), "id", "s") == [(1, None), (2, None), (3, None)]
+    known = spark.createDataFrame([("2.0-2.4", 0.5), (None, 0.7), ("2.5-2.9", None)], none.schema)
+    assert rows(with_standard(df, known, "score", "s"), "id", "s") == [(1, 0.5), (2, None), (3, None)]
+    with pytest.raises(Exception, match="(?i)duplicate"):
+        with_standard(df, known.union(known), "score", "s").collect()
+
+
+def test_standards_by_grade_band(spark):
+    df = spark.createDataFrame([(1, 2.2, 3), (2, 2.2, 7), (3, 2.2, None), (4, None, 3)], "id int, score double, grade int")
+    known = spark.createDataFrame(
+        [("elementary", "2.0-2.4", 0.5), (None, "2.0-2.4", 0.9)], "grade_band string, score_band string, score_60 double"
+    )
+    got = with_standard(df, known, "score", "s", grade="grade")
+    assert rows(got, "id", "s") == [(1, 0.5), (2, None), (3, 0.9), (4, None)]
+
+
 def test_student_rules(spark):
     inf = math.inf
     wide = spark.createDataFrame([
