@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tallymark.functions.bands import fixed_standard
 from tallymark.functions.flags import met_exit, met_growth, valid_exit, valid_growth
 from tallymark.operators.joins import keyed_join
+from tallymark.operators.ranges import row_places
 from tallymark.operators.records import best_record
 from tallymark.operators.settle import settle
 from tallymark.operators.subgroups import (
@@ -135,9 +136,8 @@ def release_table_disadvantaged(spark, sf_dir):
 
 def report_order(spark, sf_dir):
     """Rows of the district report with their place in it."""
-    placed = district_report(spark, sf_dir).withColumn("_at", F.monotonically_increasing_id())
-    place = F.row_number().over(Window.orderBy("_at"))  # a report has a few rows for each system
-    return placed.withColumn("place", place).drop("_at")
+    placed = row_places(settle(district_report(spark, sf_dir)), ["system", "subgroup"])
+    return placed.withColumn("place", F.col("place").cast("int"))
 
 
 QUERIES = {

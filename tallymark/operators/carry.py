@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.missing import name
-from .settle import settle
+from .ranges import before_ranges, with_ranges
 
 
 def int_steps(column: Column, step_bits: int = 10, bits: int = 63) -> list[Column]:
@@ -34,27 +34,48 @@ def carry_forward(
     the first known value get ``leading``. The result goes to ``out`` (default:
     ``column``).
 
-    The order is cut into buckets, each filled alone; the value a bucket starts
-    with is found among the buckets. ``path`` cuts by expressions that rise
-    with the order, coarse to fine, such as its first columns; no task then
-    sees more than the rows of one finest bucket or the children of another
-    (``df`` is read twice). Where one value of them may hold many rows, leave ``path`` out: the rows
-    are sorted into ``buckets`` ranges of even size and written with their range,
-    so that a rerun task finds the same ranges; they are then filled range by
-    range, a task each. A range should fit a task's sort: give (rows / some
-    million) ``buckets``; the default is the number of shuffle partitions, which
-    is set by that rule anyway. This form runs jobs: the rows are written.
+    The order is cut into ranges, each filled alone; the value a range starts
+    with is found among the ranges. Borders come from a sample, so that ranges are of
+    even size whatever the order's columns hold; the rows are shuffled once. A
+    range should fit a task's sort: give (rows / some million) ``buckets``; the
+    default is the number of shuffle partitions, which is set by that rule anyway.
+    This form runs the jobs of ``with_ranges`` and reads ``df`` for each.
+
+    ``path`` needs no sample: it cuts by expressions that rise with the order,
+    coarse to fine, such as its first columns; no task then sees more than the
+    rows of one finest bucket or the children of another (``df`` is read twice).
     """
-    known = name(column)
     if path is None:
-        spark = df.sparkSession
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        ranged = df.repartitionByRange(n, *[name(c).asc_nulls_last() for c in order])
-        steps = ["_step0"]
-        rows = settle(ranged.withColumn(steps[0], F.spark_partition_id()))
+        result = _by_ranges(df, column, order, buckets)
     else:
-        steps = [f"_step{i}" for i in range(len(path))]
-        rows = df.withColumns({s: p for s, p in zip(steps, path)})
+        result = _by_path(df, column, order, path)
+    filled = F.col("_filled")
+    if leading is not None:
+        filled = F.coalesce(filled, F.lit(leading).cast(df.schema[column].dataType))
+    target = out or column
+    kept = [filled.alias(c) if c == target else name(c) for c in df.columns]
+    if target not in df.columns:
+        kept.append(filled.alias(target))
+    return result.select(*kept)
+
+
+def _by_ranges(df: DataFrame, column: str, order: list[str], ranges: int | None) -> DataFrame:
+    rows = with_ranges(df, order, ranges)
+    last = _last_known(rows, ["_range", "_task"], name(column), [name(c) for c in order])
+    before = before_ranges(last, F.last("_value", ignorenulls=True))
+    so_far = (
+        Window.partitionBy("_task").orderBy(*[name(c).asc_nulls_last() for c in order])
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    inside = rows.withColumn("_inside", F.last(name(column), ignorenulls=True).over(so_far))
+    # a row per range
+    return inside.join(F.broadcast(before), "_task").withColumn("_filled", F.coalesce("_inside", "_before"))
+
+
+def _by_path(df: DataFrame, column: str, order: list[str], path: list[Column]) -> DataFrame:
+    known = name(column)
+    steps = [f"_step{i}" for i in range(len(path))]
+    rows = df.withColumns({s: p for s, p in zip(steps, path)})
 
     # Last known value per bucket, from the finest buckets up.
     last = {len(steps): _last_known(rows, steps, known, [name(c) for c in order])}
@@ -86,19 +107,9 @@ def carry_forward(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     filled = F.last("_value", ignorenulls=True).over(so_far)
-    if leading is not None:
-        filled = F.coalesce(filled, F.lit(leading).cast(df.schema[column].dataType))
     ahead = start.withColumn("_row", F.lit(False))
     filling = rows.withColumns({"_value": known, "_row": F.lit(True)}).unionByName(ahead, allowMissingColumns=True)
-    if path is None:
-        # By range, not by hash: a hash deals several ranges to one task and none to others.
-        filling = filling.repartitionByRange(n, F.col(steps[0]))
-    result = filling.withColumn("_filled", filled).where("_row")
-    target = out or column
-    kept = [F.col("_filled").alias(c) if c == target else name(c) for c in df.columns]
-    if target not in df.columns:
-        kept.append(F.col("_filled").alias(target))
-    return result.select(*kept)
+    return filling.withColumn("_filled", filled).where("_row")
 
 
 def _last_known(df: DataFrame, keys: list[str], value: Column, order: list[Column]) -> DataFrame:

@@ -1,9 +1,11 @@
 """Exact quantiles by linear interpolation, for groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task's memory. Here
-equal values are counted first. While a group still has more values than one
-task should rank, it is cut into slices, and only those holding a wanted rank
-are kept.
+equal values are counted first, which combines before the shuffle and gives each
+group a summary of values and counts. Where no group has more values than one
+task should rank, and there are few groups, the summaries give the quantiles in
+one query, and nothing is written. Else a group with more values is cut into
+slices, and only those holding a wanted rank are kept.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from ..functions.missing import name, nan_to_null
 from .settle import settle
 
 TASK_VALUES = 1_000_000  # distinct values that one task may rank
+FEW_GROUPS = 10_000  # groups whose quantiles may come to the driver
 SLICES = 64  # a power of two
 
 
@@ -32,11 +35,43 @@ def exact_quantiles(
     Quantile p of m values lies at place 1 + p * (m - 1), between the two nearest
     values. Null and NaN values count in ``n`` only. A group may hold any share
     of the rows, and there may be any number of groups. Building the result runs
-    jobs: equal values are counted and written, then the largest group is asked for.
+    jobs: the summaries are ranked, and where they show a group of more than
+    ``task_values`` values or more than ``FEW_GROUPS`` groups, the counts are
+    written and cut into slices.
     """
     keys = list(map(name, groups))
     x = nan_to_null(name(value).cast("double"))
-    counts = settle(df.groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n")))
+    counts = df.groupBy(*keys, x.alias("_x")).agg(F.count("*").alias("_n"))
+    found = _from_summaries(counts, groups, probs, task_values)
+    return _by_slices(settle(counts), groups, probs, task_values) if found is None else found
+
+
+def _from_summaries(counts: DataFrame, groups: list[str], probs: dict[str, float], task_values: int) -> DataFrame | None:
+    """The quantiles, or nothing if a group has too many values or there are too many groups.
+
+    A task takes at most ``task_values`` + 1 values of a group: the first ones tell that there are more.
+    """
+    keys = list(map(name, groups))
+    in_order = Window.partitionBy(*keys).orderBy(F.col("_x").asc_nulls_last())
+    first = counts.withColumn("_at", F.row_number().over(in_order)).where(F.col("_at") <= task_values + 1)
+    whole = Window.partitionBy(*keys)
+    values = F.when(F.col("_x").isNotNull(), F.col("_n"))
+    ranked = first.withColumns({
+        "_end": F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
+        "_m": F.sum(values).over(whole),
+    })
+    found = ranked.groupBy(*keys).agg(
+        F.max("_m").alias("_m"), F.sum("_n").alias("n"), F.count("_x").alias("_values"), *_at_ranks(probs)
+    )
+    quantiles = found.select(*keys, *_between(probs), "n", (F.col("_values") > task_values).alias("_more"))
+    rows = quantiles.limit(FEW_GROUPS + 1).collect()
+    if len(rows) > FEW_GROUPS or any(r["_more"] for r in rows):
+        return None
+    return counts.sparkSession.createDataFrame(rows, quantiles.schema).drop("_more")
+
+
+def _by_slices(counts: DataFrame, groups: list[str], probs: dict[str, float], task_values: int) -> DataFrame:
+    keys = list(map(name, groups))
     values = F.when(F.col("_x").isNotNull(), F.col("_n"))
     totals = counts.groupBy(*keys).agg(
         F.sum(values).alias("_m"), F.sum("_n").alias("n"), F.count("_x").alias("_values")
@@ -53,19 +88,25 @@ def exact_quantiles(
 
     running = Window.partitionBy(*keys, "_slice").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     ends = known.withColumn("_end", F.col("_before") + F.sum("_n").over(running))
+    found = ends.groupBy(*keys).agg(F.max("_m").alias("_m"), *_at_ranks(probs))
+    quantiles = found.select(*keys, *_between(probs))
+    return _with_groups(totals.drop("_m", "_values"), quantiles, groups, "left").select(*keys, *map(name, probs), "n")
+
+
+def _at_ranks(probs: dict[str, float]) -> list:
+    """For each rank that a quantile lies between: the value there, from each value's last rank ``_end``."""
     ranks = [rank for p in probs.values() for rank in _ranks(p)]
-    found = ends.groupBy(*keys).agg(
-        F.max("_m").alias("_m"),
-        *[F.min(F.when(F.col("_end") > rank, F.col("_x"))).alias(f"_at{i}") for i, rank in enumerate(ranks)],
-    )
+    return [F.min(F.when(F.col("_end") > rank, F.col("_x"))).alias(f"_at{i}") for i, rank in enumerate(ranks)]
+
 
-    def between(i, p):
+def _between(probs: dict[str, float]) -> list:
+    """The quantiles, from the values at their two ranks."""
+    out = []
+    for i, (label, p) in enumerate(probs.items()):
         low, high = F.col(f"_at{2 * i}"), F.col(f"_at{2 * i + 1}")
         part = _place(p) - F.floor(_place(p))
-        return F.when(low == high, low).otherwise((1 - part) * low + part * high)
-
-    quantiles = found.select(*keys, *[between(i, p).alias(out) for i, (out, p) in enumerate(probs.items())])
-    return _with_groups(totals.drop("_m", "_values"), quantiles, groups, "left").select(*keys, *map(name, probs), "n")
+        out.append(F.when(low == high, low).otherwise((1 - part) * low + part * high).alias(label))
+    return out
 
 
 def _place(p: float):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..functions.missing import name
+from ..operators.ranges import row_places
 
 
 def write_csv(
@@ -16,6 +17,7 @@ def write_csv(
     one_file: bool = False,
     order_by: list[str] = (),
     sep: str = ",",
+    place: str | None = None,
 ) -> None:
     """Write with a header, missing values as ``na``.
 
@@ -23,7 +25,10 @@ def write_csv(
     as ``NaN`` (a rate over no tests) rather than ``na``. Text keeps its blanks;
     quotes in it are doubled. ``one_file`` is for reports that one task can
     write; without it the output is a folder of part files, in ``order_by`` order.
+    ``place`` names a column to add last: each row's place, from 1, in that order.
     """
+    if place is not None:
+        df = row_places(df, list(order_by), place)
     for column, condition in (undefined or {}).items():
         if not isinstance(df.schema[column].dataType, (DoubleType, FloatType)):
             raise TypeError(f"{column} is not a floating-point column")

@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+import random
+from collections import Counter
+
+import pytest
+from helpers import plan, rows
+from pyspark.sql import functions as F
+
+from tallymark.operators import ranges
+from tallymark.operators.carry import carry_forward
+from tallymark.operators.ranges import row_places, with_ranges
+
+
+@pytest.fixture(autouse=True)
+def small_ranges(monkeypatch):
+    monkeypatch.setattr(ranges, "LEAST_ROWS", 20)
+
+
+def table(spark, n=3000, seed=1):
+    rng = random.Random(seed)
+    data = [(rng.choice([0, 0, 0, 0, 1, 2, None]), rng.choice("abc"), i) for i in range(n)]
+    rng.shuffle(data)
+    return data, spark.createDataFrame(data, "a int, b string, c int").repartition(5)
+
+
+def test_ranges_rise_are_even_and_have_a_task_each(spark):
+    data, df = table(spark)
+    found = with_ranges(df, ["a", "b", "c"], 12).collect()
+    ordered = sorted(found, key=lambda r: (r["a"] is None, r["a"] or 0, r["b"], r["c"]))
+    assert [r["_range"] for r in ordered] == sorted(r["_range"] for r in ordered)
+    sizes = Counter(r["_range"] for r in found)
+    assert 10 <= len(sizes) <= 13 and max(sizes.values()) < 2 * sorted(sizes.values())[len(sizes) // 2]
+    of_range = {r["_range"]: r["_task"] for r in found}
+    assert len(set(of_range.values())) == len(of_range)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spark.createDataFrame([(t,) for t in of_range.values()], "t long").select(F.pmod(F.hash("t"), F.lit(tasks)).alias("p"))
+    per_task = Counter(r["p"] for r in dealt.collect())
+    assert max(per_task.values()) - min(per_task.values()) <= 1 and len(per_task) == tasks
+
+
+@pytest.mark.parametrize("n", [0, 1, 30, 2000])
+def test_places(spark, n):
+    data, df = table(spark, n, 2)
+    got = row_places(df, ["a", "b", "c"], ranges=9)
+    expected = sorted(data, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+    assert sorted((r["place"], r["a"], r["b"], r["c"]) for r in got.collect()) == [
+        (i, *r) for i, r in enumerate(expected, 1)
+    ]
+
+
+def test_places_of_equal_rows_are_unique(spark):
+    df = spark.createDataFrame([(1, "x")] * 500 + [(None, "y")] * 300 + [(0, "z")] * 100, "k int, v string")
+    got = sorted((r["place"], r["v"]) for r in row_places(df, ["k"], ranges=8).collect())
+    assert got == [(i, "z" if i <= 100 else "x" if i <= 600 else "y") for i in range(1, 901)]
+
+
+@pytest.mark.parametrize("buckets", [None, 1, 3, 50])
+def test_carried_over_ranges(spark, buckets):
+    rng = random.Random(5)
+    data = [(rng.choice([None, 0, 0, 1]), i, rng.choice([None] * 40 + [i / 2])) for i in range(1500)]
+    df = spark.createDataFrame(data, "a int, c int, v double").repartition(4)
+    last, expected = -1.0, []
+    for a, c, v in sorted(data, key=lambda r: (r[0] is None, r[0] or 0, r[1])):
+        last = last if v is None else v
+        expected.append((c, last))
+    got = carry_forward(df, "v", ["a", "c"], leading=-1.0, buckets=buckets)
+    assert rows(got, "c", "v") == sorted(expected)
+
+
+def test_rows_are_shuffled_once_and_written_nowhere(spark, tmp_path):
+    _, df = table(spark)
+    df.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    text = plan(carry_forward(stored.withColumn("v", F.lit("x")), "v", ["a", "b", "c"], buckets=6))
+    assert text.count("Exchange hashpartitioning(_task") == 1 and "rangepartitioning" not in text
+    assert "tallymark-" not in text
