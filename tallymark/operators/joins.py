@@ -7,7 +7,7 @@ is broadcast by hint has a bound stated next to it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..functions.missing import name, present
 from .settle import settle
@@ -26,6 +26,7 @@ def keyed_join(
     hot: str | None = None,
     salts: DataFrame | None = None,
     rows_per_task: int = ROWS_PER_TASK,
+    counts: JoinCounts | None = None,
 ) -> DataFrame:
     """Equi-join keeping one key column per pair.
 
@@ -37,8 +38,11 @@ def keyed_join(
     on by default, does for the left side of left joins and both of inner ones),
     nothing is counted. Else that side's keys are counted first (or ``salts``
     given, from ``hot_keys``), and the rows of those found are spread over
-    several tasks.
+    several tasks. ``counts`` tells of a left join, once a job has made all its rows,
+    how many came in, found a partner and are more than came in.
     """
+    if counts is not None and how != "left":
+        raise ValueError("counts are of left joins")
     if how not in ("left", "inner", "full"):
         raise ValueError("how is 'left', 'inner' or 'full'")
     if null_keys not in ("match", "never"):
@@ -62,6 +66,9 @@ def keyed_join(
         *[name(k).alias(f"_rk{i}") for i, k in enumerate(right_keys)],
         *[name(c).alias(f"_r_{c}") for c in right_rest],
     )
+    if counts is not None:
+        l = l.observe(counts.before, F.count(F.lit(1)).alias("n_left"))
+        r = r.withColumn("_there", F.lit(True))
     lk = [f"_lk{i}" for i in range(len(pairs))]
     rk = [f"_rk{i}" for i in range(len(pairs))]
     matched = _same_key(lk, rk, null_keys)
@@ -74,6 +81,9 @@ def keyed_join(
         joined = l.join(r, matched, how)
     else:
         joined = _salted_join(l, r, lk, rk, matched, how, null_keys, hot, salts)
+    if counts is not None:
+        matches = F.count_if(F.col("_there").isNotNull())
+        joined = joined.observe(counts.after, F.count(F.lit(1)).alias("n_joined"), matches.alias("n_matched"))
 
     keys = [
         (F.coalesce(F.col(a), F.col(b)) if how == "full" else F.col(a)).alias(k)
@@ -87,6 +97,19 @@ def keyed_join(
     )
 
 
+class JoinCounts:
+    """What a left join did to the number of rows, counted in the job that runs it."""
+
+    def __init__(self):
+        self.before, self.after = Observation(), Observation()
+
+    def get(self) -> dict[str, int]:
+        """n_left rows came in; n_joined came out, n_matched of them with a partner; n_more are beyond those that
+        came in, because their key occurs more than once on the right. Waits for the job."""
+        found = {**self.before.get, **self.after.get}
+        return {**found, "n_more": found["n_joined"] - found["n_left"]}
+
+
 def _same_key(a: list[str], b: list[str], null_keys: str) -> Column:
     condition = F.lit(True)
     for x, y in zip(a, b):
@@ -123,7 +146,7 @@ def _salted_join(l, r, lk, rk, matched, how, null_keys, hot, salts):
     spread = F.pmod(F.xxhash64(*map(name, big.columns), F.spark_partition_id()), F.col("_bn"))
     big = with_salts(big, big_keys, "_b", "match").withColumn(
         "_bsalt", F.when(F.col("_bn").isNull(), F.lit(0).cast("bigint")).otherwise(spread)
-    ).withColumns({"_there": F.lit(True), "_salted": F.col("_bn").isNotNull()}).drop("_bn")
+    ).withColumns({"_big": F.lit(True), "_salted": F.col("_bn").isNotNull()}).drop("_bn")
     small = with_salts(small, small_keys, "_s", null_keys)
     keeps_small = how == "full" or (how == "left" and hot == "right")
     if keeps_small:
@@ -143,7 +166,7 @@ def _salted_join(l, r, lk, rk, matched, how, null_keys, hot, salts):
     if keeps_small:
         # A partner repeated per salt has a match in some salt, so where it has
         # none it is a repeat and not a row of its own.
-        joined = joined.where(F.col("_there").isNotNull() | F.col("_sn").isNull())
+        joined = joined.where(F.col("_big").isNotNull() | F.col("_sn").isNull())
     return joined
 
 

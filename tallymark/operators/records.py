@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import (
+    BooleanType, ByteType, DateType, DecimalType, DoubleType, FloatType, IntegerType, LongType, ShortType, TimestampType,
+)
 
 from ..functions.missing import name, nan_to_null
 from .joins import keyed_join
@@ -54,10 +58,61 @@ def duplicate_audit(
     tie_break: list[str],
     suffixes: tuple[str, str] = ("_x", "_y"),
     salts: DataFrame | None = None,
+    per_key: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Every record beside the record chosen for its key."""
-    chosen = best_record(df, [key], order, tie_break)
-    return keyed_join(df, chosen, [key], "inner", suffixes=suffixes, hot="left", salts=salts)
+    """Every record beside the record chosen for its key.
+
+    The chosen record is carried along by one aggregation per key, combined
+    before the shuffle, with the number of records. A key's only record is
+    itself the chosen one and passes no join; only records of keys with several
+    are joined with theirs. ``per_key`` may add columns to a table of one row per key; they
+    come last, once. Where ``order`` has columns that are not numbers,
+    truth values, dates or times, the chosen records are found by ``best_record``.
+    """
+    if any(_falling(df, c) is None for c in order):
+        chosen = best_record(df, [key], order, tie_break)
+        chosen = per_key(chosen) if per_key else chosen
+        return keyed_join(df, chosen, [key], "inner", suffixes=suffixes, hot="left", salts=salts)
+    rest = [c for c in df.columns if c != key]
+    place = F.struct(*[
+        part.alias(f"p{i}")
+        for i, part in enumerate(
+            part for value in [*[_falling(df, c) for c in order], *[_sortable(df, c) for c in tie_break]]
+            # missing ones last
+            for part in (value.isNull(), value)
+        )
+    ])
+    record = F.struct(*[name(c).alias(f"r{i}") for i, c in enumerate(rest)])
+    best = df.groupBy(name(key)).agg(F.min_by(record, place).alias("_best"), F.count("*").alias("_records"))
+
+    found = per_key(best) if per_key else best
+    added = [name(c) for c in found.columns if c not in best.columns]
+
+    def beside(own: str) -> list[Column]:
+        sides = zip(suffixes, (own, "_best"))
+        return [F.col(f"{side}.r{i}").alias(c + suffix) for suffix, side in sides for i, c in enumerate(rest)]
+
+    single = found.where("_records = 1").select(name(key), *beside("_best"), *added)
+    # a key with a large share of the records is on the left, where Spark splits it
+    several = keyed_join(df.select(name(key), record.alias("_own")), found.where("_records > 1"), [key], "inner", salts=salts)
+    return single.unionByName(several.select(name(key), *beside("_own"), *added))
+
+
+def _falling(df: DataFrame, column: str) -> Column | None:
+    """A value that falls as the column rises, or nothing where there is none of its type."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, (DoubleType, FloatType, DecimalType)):
+        # + 0.0 makes -0.0 and 0.0 one value
+        return -(_sortable(df, column) + F.lit(0).cast(kind))
+    if isinstance(kind, (ByteType, ShortType, IntegerType, LongType)):
+        return F.bitwise_not(name(column).cast("long"))
+    if isinstance(kind, BooleanType):
+        return ~name(column)
+    if isinstance(kind, DateType):
+        return -F.unix_date(name(column))
+    if isinstance(kind, TimestampType):
+        return -F.unix_micros(name(column))
+    return None
 
 
 def student_year_max(

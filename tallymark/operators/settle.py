@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_tables: dict[str, str] = {}  # the catalog's name of bucketed ones, by path
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, by: list[str] = ()) -> DataFrame:
     """``df`` as a Parquet table in the cluster's checkpoint folder.
 
     Later plans read it instead of repeating the work, take only the columns
     they need, know its size when choosing a join, and survive lost executors.
-    Tables stay until ``clear_settled``, to be called once all results that
-    come from them are written.
+    Tables stay until ``clear_settled``, or the end of ``settled_here``, to be called
+    once all results that come from them are written.
+
+    ``by`` stores the rows in as many buckets as there are shuffle partitions,
+    by the hash that a shuffle by these columns uses, so that joins and
+    aggregations by them read the rows where they are. Rows that are together by
+    ``by`` already, as after an aggregation, are not shuffled for it. The
+    session's catalog keeps the buckets' description.
     """
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark)
+    if not by:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = "tallymark_" + path.rsplit("-", 1)[-1]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, *by).option("path", path).saveAsTable(table)
+    _tables[path] = table
+    return spark.table(table)
+
+
+@contextmanager
+def settled_here(spark: SparkSession):
+    """Drops at its end what was settled inside, also where it ends by an error."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        drop_paths(spark, [p for p in _written if p not in before])
 
 
 def new_path(spark: SparkSession) -> str:
@@ -39,6 +64,8 @@ def drop_paths(spark: SparkSession, paths: list[str]) -> int:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path
     configuration = spark._jsc.hadoopConfiguration()
     for path in paths:
+        if path in _tables:
+            spark.sql(f"drop table if exists {_tables.pop(path)}")
         jvm_path(path).getFileSystem(configuration).delete(jvm_path(path), True)
     _written[:] = [p for p in _written if p not in paths]
     return len(paths)

@@ -195,14 +195,15 @@ def indicator_growth(
 
     Building the result runs jobs: the yearly scores and the standards are written.
     The records are read and shuffled once: the yearly scores, from which both
-    the standards and the growth come, are written in between.
+    the standards and the growth come, are written in between, in buckets by
+    student, so that what is joined to the growth by student finds it in place.
     """
     years = [current, current - 1, current - 2]
     columns = {"grade": "grade" if same_grade or grade_bands else None, **columns}
-    scores = settle(scores_by_year(records, years, all_missing=all_missing, **columns))
+    scores = settle(scores_by_year(records, years, all_missing=all_missing, **columns), by=[columns.get("id", "id")])
     found = growth_standards(scores, current, current - 1, same_grade, bands=bands, grade_bands=grade_bands)
     return student_growth(
-        scores, settle(found), current, columns.get("id", "id"), compare_decimals=compare_decimals, bands=bands
+        scores, found, current, columns.get("id", "id"), compare_decimals=compare_decimals, bands=bands
     )
 
 
@@ -221,14 +222,28 @@ def student_table(
     ``copies``, so that no student's records are multiplied out; weigh by
     ``copies`` to count. ``demographic_keys`` joins on more than the student.
     ``null_keys="never"`` leaves students without id undescribed and unenrolled,
-    where the default joins them with every row that has none. Building the
-    result runs jobs: the enrolment is written and its keys are counted.
+    where the default joins them with every row that has none.
+
+    Each table is shuffled by student once, the growth not at all where it is stored
+    by student (``indicator_growth``). Rows without id never take part in that: if
+    the growth has any (a job asks), their distinct descriptions and enrolments,
+    summed before they are shuffled, are joined apart.
     """
-    described = demographics.groupBy(*map(name, demographics.columns)).agg(F.count("*").alias("_described"))
-    enrolled = settle(enrolment.groupBy(*map(name, enrolment.columns)).agg(F.count("*").alias("_enrolled")))
-    # A missing student may be enrolled in any number of schools.
-    people = keyed_join(growth, described, demographic_keys or [id], null_keys=null_keys)
-    joined = keyed_join(people, enrolled, [id], null_keys=null_keys, hot="right" if null_keys == "match" else None)
+    keys = demographic_keys or [id]
+    there = name(id).isNotNull()
+    described = _counted(demographics.where(there).repartition(name(id)), "_described")
+    enrolled = _counted(enrolment.where(there).repartition(name(id)), "_enrolled")
+    people = keyed_join(growth, described, keys, null_keys="never" if keys == [id] else null_keys)
+    joined = keyed_join(people, enrolled, [id], null_keys="never")
+    if null_keys == "match" and not growth.where(~there).isEmpty():
+        lone = keyed_join(growth.where(~there), _counted(demographics.where(~there), "_described"), keys)
+        lone = keyed_join(lone, _counted(enrolment.where(~there), "_enrolled"), [id])
+        joined = joined.where(there).unionByName(lone)
     one = F.lit(1).cast("bigint")
     copies = F.coalesce("_enrolled", one) * F.coalesce("_described", one)
     return joined.withColumn("copies", copies).drop("_enrolled", "_described")
+
+
+def _counted(df: DataFrame, out: str) -> DataFrame:
+    """Distinct rows with their number."""
+    return df.groupBy(*map(name, df.columns)).agg(F.count("*").alias(out))

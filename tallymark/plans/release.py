@@ -9,8 +9,8 @@ from ..functions.flags import (
     NO_RACE, RELEASE_COMBINED_RACES, RELEASE_RACE_FLAGS, classify, met_exit, met_growth, valid_exit, valid_growth,
 )
 from ..functions.missing import columns_starting, map_columns, name, present
-from ..operators.joins import flag_lookup, keyed_join
-from ..operators.records import best_record
+from ..operators.joins import flag_lookup
+from ..operators.records import best_record, duplicate_audit
 from ..operators.subgroups import ALL, COMBINED, DISABILITY, DISADVANTAGED, LEARNERS, subgroup_rates
 
 FLAGS = [flag for flag, _ in RELEASE_RACE_FLAGS] + ["primary_disability"]
@@ -91,12 +91,10 @@ def release_duplicates(
 ) -> DataFrame:
     """Every formatted record beside the one chosen for its student.
 
-    The lookup depends on the student only: it is done once per student, for the
-    chosen record, and serves both. The join with all records comes last, so
-    Spark can split the records of a student that has very many.
+    The lookup depends on the student only: it is done once per student and serves both.
     """
-    records = release_records(formatted, tie_break)
-    chosen = best_record(records, ["id"], ["composite", "literacy"], tie_break)
-    looked_up = flag_lookup(chosen, listed, "id", listed_key, "ed", hot=None)
-    audit = keyed_join(records, looked_up, ["id"], "inner", hot="left")
+    audit = duplicate_audit(
+        release_records(formatted, tie_break), "id", ["composite", "literacy"], tie_break,
+        per_key=lambda chosen: flag_lookup(chosen, listed, "id", listed_key, "ed", hot=None),
+    )
     return audit.withColumns({"ed_x": F.col("ed"), "ed_y": F.col("ed")}).drop("ed")

@@ -4,13 +4,14 @@ import math
 import random
 
 import pytest
-from helpers import r_quantile, rows
+from helpers import plan, r_quantile, rows, sort_rows
 from pyspark.sql import functions as F
 
 from tallymark.functions.bands import SCORE_LABELS
 from tallymark.operators.joins import keyed_join
 from tallymark.operators.records import student_year_max
 from tallymark.operators.reshape import spread
+from tallymark.operators.settle import settled_here
 from tallymark.plans.growth import (
     attach_standard, growth_pairs, growth_standards, indicator_growth, scores_by_year, student_growth, student_table,
     with_standard,
@@ -187,3 +188,32 @@ def test_demographics_may_join_on_more(spark):
     people = spark.createDataFrame([(1, 2017, "w"), (1, 2016, "b")], "id int, year int, race string")
     got = student_table(growth, enrolment, people, demographic_keys=["id", "year"])
     assert rows(got, "race", "copies") == [("w", 1)]
+
+
+def test_students_are_joined_where_they_are(spark):
+    """One shuffle for the demographics, one for the enrolment, none for the growth."""
+    enrolment = spark.range(300).selectExpr("id % 90 as id", "id % 7 as system")
+    people = spark.range(90).selectExpr("id", "if(id % 2 = 0, 'w', 'b') as race")
+    before = len(spark.catalog.listTables())
+    with settled_here(spark):
+        table = student_table(indicator_growth(records(spark).where("id is not null"), 2001), enrolment, people)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            text = plan(table)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert text.count("Exchange hashpartitioning(") == text.count("Exchange hashpartitioning(id") == 2
+        assert "SinglePartition" not in text.split("Subquery")[0]
+        assert "Bucketed: true" in text
+        assert table.count() > 0
+    assert len(spark.catalog.listTables()) == before
+
+
+@pytest.mark.parametrize("null_keys", ["match", "never"])
+def test_students_without_id_are_kept_apart(spark, null_keys):
+    growth = spark.createDataFrame([(1, True), (None, True)], "id int, numerator boolean")
+    enrolment = spark.createDataFrame([(1, 10)] + [(None, i % 3) for i in range(90)], "id int, system int")
+    people = spark.createDataFrame([(1, "w")] + [(None, "ab"[i % 2]) for i in range(40)], "id int, race string")
+    got = student_table(growth, enrolment, people, null_keys=null_keys)
+    lone = [(None, True, r, s, 20 * 30) for r in "ab" for s in range(3)] if null_keys == "match" else [(None, True, None, None, 1)]
+    assert rows(got, "id", "numerator", "race", "system", "copies") == sort_rows([(1, True, "w", 10, 1), *lone])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from helpers import optimized, plan, rows, sort_rows
-from tallymark.operators.reconcile import reconcile
+from tallymark.operators.reconcile import differing_ranges, reconcile
 from tallymark.plans.check import check_report
 from tallymark.plans.release import release_duplicates, release_students, release_table
 from tallymark.plans.reports import assemble, growth_rates, level_report, stack_levels
@@ -183,3 +183,28 @@ def test_mismatch_is_an_inner_join(ours, theirs):
     assert "FullOuter" not in optimized(check_report(ours, theirs))
     with pytest.raises(ValueError):
         reconcile(ours, theirs, ["system"], ("a", "b"), [], only="some")
+
+
+def test_ranges_of_equal_keys_are_left_out(spark):
+    data = [(i, i % 3, i / 2) for i in range(300)] + [(None, 1, 5.0), (900, None, None)]
+    theirs = [(i, j, v + (1 if i in (17, 250) else 0) if v is not None else v) for i, j, v in data]
+    theirs = [r for r in theirs if r[0] != 40] + [(901, 1, 1.0), (900, None, None)]
+    ours = spark.createDataFrame(data, "a int, b int, m double")
+    other = spark.createDataFrame(theirs, "a2 long, b int, n double")
+    on = [("a", "a2"), "b"]
+    plain = reconcile(ours, other, on, ("m", "n"), [])
+    fast = reconcile(ours, other, on, ("m", "n"), [], ranges=64)
+    assert rows(fast) == rows(plain) and fast.count() == 2
+    x, y = differing_ranges(ours, other, on, ("m", "n"), 64)
+    assert 0 < x.count() < 60 and 0 < y.count() < 60
+    same = differing_ranges(ours, ours, ["a", "b"], ("m", "m"), 64)
+    assert [s.count() for s in same] == [0, 0] and "Join" not in optimized(same[0])
+
+
+def test_keys_with_several_measures_are_compared(spark):
+    """The same rows on both sides differ where a key has two measures: each meets the other."""
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 5.0), (2, 5.0), (3, None), (3, 4.0)], "k int, m double")
+    other = df.withColumnRenamed("m", "n")
+    assert rows(reconcile(df, other, ["k"], ("m", "n"), [], ranges=8)) == rows(reconcile(df, other, ["k"], ("m", "n"), []))
+    with pytest.raises(Exception, match="more than one row"):
+        reconcile(df, other, ["k"], ("m", "n"), [], expect="one", ranges=8).collect()

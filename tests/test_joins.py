@@ -168,3 +168,21 @@ def test_published_overrides_are_unique():
 
     assert len(SCHOOL_NAMES) == 15
     assert len({row[:2] for row in SCHOOL_NAMES}) == 15
+
+
+@pytest.mark.parametrize("null_keys, expected", [
+    ("match", {"n_left": 5, "n_joined": 8, "n_matched": 6, "n_more": 3}),
+    ("never", {"n_left": 5, "n_joined": 7, "n_matched": 4, "n_more": 2}),
+])
+def test_counts_of_a_left_join(spark, null_keys, expected):
+    from tallymark.operators.joins import JoinCounts
+
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (4, "e")], "k int, x string")
+    right = spark.createDataFrame([(1, 1.0), (1, 2.0), (None, 3.0), (None, 4.0), (7, 5.0)], "k int, y double")
+    counts = JoinCounts()
+    df = keyed_join(left, right, ["k"], null_keys=null_keys, counts=counts)
+    assert df.columns == ["k", "x", "y"]
+    assert len(df.collect()) == expected["n_joined"]
+    assert counts.get() == expected
+    with pytest.raises(ValueError):
+        keyed_join(left, right, ["k"], "inner", counts=counts)

@@ -4,7 +4,8 @@ import math
 import random
 
 import pytest
-from helpers import plan, rows, sort_rows
+from helpers import optimized, plan, rows, sort_rows
+from pyspark.sql import functions as F
 
 from tallymark.operators.records import best_record, duplicate_audit, student_year_max, tied_best
 from tallymark.operators.reshape import spread, stack_by_name
@@ -100,3 +101,26 @@ def test_null_and_nan_tie(spark):
 
     df = spark.createDataFrame([(1, float("nan")), (1, None), (2, 3.0), (2, None)], "k int, x double")
     assert [tuple(r) for r in tied_best(df, ["k"], ["x"]).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("kind", ["double", "float", "int", "bigint", "decimal(9,2)", "boolean", "date", "timestamp", "string"])
+def test_audit_by_any_type(spark, kind):
+    texts = {
+        "boolean": ["true", "false"], "date": ["2020-01-02", "1969-12-31"], "timestamp": ["2020-01-02 03:04:05", "1900-01-01"],
+        "string": ["b", "a"],
+    }.get(kind, ["3", "-2", "0", "-7"])
+    df = spark.range(80).selectExpr("id % 9 as id", "id as k").withColumn(
+        "v", F.get(F.array(*map(F.lit, texts), F.lit(None)), F.pmod(F.col("k") * 7, F.lit(len(texts) + 1)).cast("int")).cast(kind)
+    ).union(spark.range(1).selectExpr("77L", "500L", f"cast(null as {kind})"))
+    chosen = best_record(df, ["id"], ["v"], ["k"]).select("id", F.col("v").alias("v_y"), F.col("k").alias("k_y"))
+    got = duplicate_audit(df, "id", ["v"], ["k"])
+    assert rows(got, "id", "k_x", "v_x", "k_y", "v_y") == rows(df.join(chosen, "id"), "id", "k", "v", "k_y", "v_y")
+
+
+def test_single_records_pass_no_join(spark):
+    df = spark.createDataFrame([(i, float(i), 0.0, i) for i in range(50)], SCHEMA)
+    got = duplicate_audit(df, "id", ["comp"], ["k"], per_key=lambda best: best.withColumn("flag", F.col("id") > 3))
+    assert got.columns[-1] == "flag"
+    assert rows(got, "k_x", "k_y", "flag") == [(i, i, i > 3) for i in range(50)]
+    several = optimized(got).split("Join")[1]
+    assert "_records" in several

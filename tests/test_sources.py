@@ -172,3 +172,43 @@ def test_settled_tables_can_be_cleared(spark, tmp_path, monkeypatch):
     assert clear_settled(spark) == 2
     assert list(tmp_path.glob("tallymark-*")) == []
     assert clear_settled(spark) == 0
+
+
+@pytest.mark.parametrize("read, sep", [(read_csv, ","), (read_tsv, "\t")])
+def test_lost_numbers_are_counted_by_the_job_that_reads(spark, tmp_path, read, sep):
+    from pyspark.sql import Observation
+    from pyspark.sql.types import DoubleType, IntegerType, StringType
+
+    lines = [["Key", "A.b", "Score", "Text"], ["1", "2.5", "7", "x"], ["k", "NA", "seven", "y"], ["", "--", "8", "NA"]]
+    (tmp_path / "f").write_text("\n".join(sep.join(line) for line in lines) + "\n")
+    layout = schemas.Input([
+        ("Key", IntegerType, "key"), ("A.b", DoubleType, "ab"), ("Score", IntegerType, "score"), ("Text", StringType, "text"),
+    ])
+    losses = Observation()
+    df = read(spark, tmp_path / "f", layout, multi_line=False, losses=losses)
+    assert rows(df) == rows(read(spark, tmp_path / "f", layout))
+    assert losses.get == {"rows": 3, "key": 1, "ab": 1, "score": 1}
+
+
+def test_text_without_line_breaks_is_split(spark, tmp_path):
+    from pyspark.sql.types import IntegerType
+
+    (tmp_path / "f.csv").write_text("n\n" + "\n".join(map(str, range(20_000))) + "\n")
+    layout = schemas.Input([("n", IntegerType, "n")])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        split = read_csv(spark, tmp_path / "f.csv", layout, multi_line=False)
+        assert split.rdd.getNumPartitions() > 4
+        assert split.agg({"n": "sum"}).first()[0] == sum(range(20_000))
+        assert read_csv(spark, tmp_path / "f.csv", layout).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_places_are_written(spark, tmp_path):
+    from pyspark.sql.types import IntegerType, StringType
+
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (None, "d"), (2, "b")], "n int, t string")
+    write_csv(df, str(tmp_path / "out"), order_by=["n"], place="at")
+    layout = schemas.Input([("n", IntegerType, "n"), ("t", StringType, "t"), ("at", IntegerType, "at")])
+    assert rows(read_csv(spark, str(tmp_path / "out"), layout), "at", "t") == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
