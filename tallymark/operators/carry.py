@@ -35,11 +35,11 @@ def carry_forward(
     ``column``).
 
     The order is cut into ranges, each filled alone; the value a range starts
-    with is found among the ranges. Borders come from a sample, so that ranges are of
-    even size whatever the order's columns hold; the rows are shuffled once. A
+    with is found among the ranges. Ranges are of even size whatever the order's
+    columns hold; the rows are shuffled once, and written in that place. A
     range should fit a task's sort: give (rows / some million) ``buckets``; the
     default is the number of shuffle partitions, which is set by that rule anyway.
-    This form runs the jobs of ``with_ranges`` and reads ``df`` for each.
+    This form runs the jobs of ``with_ranges``.
 
     ``path`` needs no sample: it cuts by expressions that rise with the order,
     coarse to fine, such as its first columns; no task then sees more than the

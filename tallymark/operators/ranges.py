@@ -1,9 +1,8 @@
 """Ranges of rows in a total order, each range the work of one task.
 
-Borders are found once, from a sample of the order's columns, and are constants
-of the plan: a row's range is an expression of the row. So a first pass can sum
-up each range without moving rows, and a second one shuffles the rows by range,
-once, with the sums of all ranges before already known.
+Rows are shuffled by range once and stored in one bucket per range. A first pass
+sums up each range, and a second one works inside the ranges, with the sums of
+all ranges before already known: both read the buckets, and no row moves again.
 """
 
 from __future__ import annotations
@@ -11,79 +10,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.missing import name
-
-SAMPLED = 100  # sampled keys per range: ranges differ in size by a tenth or so
-LEAST_ROWS = 1_000  # rows that are worth a range
-
-
-def _place(order: list[str]) -> Column:
-    """The order's columns as one comparable value; missing ones last."""
-    # A struct compares null first, so each part is led by its null flag.
-    return F.struct(*[
-        part for i, c in enumerate(order) for part in (name(c).isNull().alias(f"n{i}"), name(c).alias(f"c{i}"))
-    ])
+from .settle import settle
 
 
 def with_ranges(df: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
     """``df`` with ``_range``, which rises with ``order``, and ``_task``, one value for each range.
 
-    Shuffled by ``_task``, as a window over it is, ranges are dealt evenly: every task gets as
-    many as any other. There are ``ranges`` of about even size (default: the number of
-    shuffle partitions), fewer for few rows. Rows that are equal in ``order`` share a range.
-    Runs jobs: the rows are counted, and a sample of the order's columns is taken
-    by their hash, ``SAMPLED`` distinct keys for each range.
+    There are ``ranges`` of about even size (default: the number of shuffle
+    partitions), fewer for few rows; missing values come last. Rows that are equal in ``order``
+    share a range. Runs jobs: Spark samples the order's columns for the borders, and the rows are
+    written in buckets by ``_task``, so that a window over it needs no shuffle.
     """
     spark = df.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = df.count()
-    ranges = max(1, min(ranges or tasks, total // LEAST_ROWS))
-    every = max(1, total // (SAMPLED * ranges))
-    keys = df.select(*[name(c).alias(f"c{i}") for i, c in enumerate(order)])
-    columns = keys.columns
-    if ranges > 1:
-        sampled = keys.where(F.pmod(F.xxhash64(*columns, F.lit(1)), F.lit(every)) == 0)
-        counted = sampled.groupBy(*columns).count().orderBy(*[F.col(c).asc_nulls_last() for c in columns]).collect()
-        cuts = _cuts(counted, ranges)
-    else:
-        cuts = []
-    listed = spark.createDataFrame(cuts, keys.schema).select(_place(columns).alias("key"))
-    borders = listed.agg(F.sort_array(F.collect_list("key"))).scalar()
-    found = df.withColumn("_borders", borders).withColumn("_range", _n_below(F.col("_borders"), _place(order), len(cuts)))
-    task = F.get(F.lit(_task_keys(spark, len(cuts) + 1, tasks)), F.col("_range"))
-    return found.drop("_borders").withColumn("_task", task)
-
-
-def _cuts(counted: list, ranges: int) -> list[tuple]:
-    """Keys, fewer than ``ranges``, that cut the sorted and counted sample into parts of about even size."""
-    each = sum(r["count"] for r in counted) / ranges
-    cuts, part = [], 0
-    for r in counted[:-1]:
-        part += r["count"]
-        if part >= each:
-            cuts.append(tuple(r)[:-1])
-            part = 0
-    return cuts
-
-
-def _n_below(borders: Column, key: Column, n: int) -> Column:
-    """How many of ``n`` sorted borders are below ``key``, by halving."""
-    steps = [1 << i for i in range(n.bit_length() - 1, -1, -1)]
-    if not steps:
-        return F.lit(0)
-    return F.aggregate(
-        F.array(*map(F.lit, steps)), F.lit(0),
-        lambda at, step: F.when(F.get(borders, at + step - 1) < key, at + step).otherwise(at),
-    )
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[name(c).asc_nulls_last() for c in order])
+    task = F.get(F.lit(_task_keys(spark, n)), F.col("_range"))
+    return settle(ranged.withColumn("_range", F.spark_partition_id()).withColumn("_task", task), by=["_task"], buckets=n)
 
 
-def _task_keys(spark: SparkSession, ranges: int, tasks: int) -> list[int]:
-    """Numbers that Spark's hash deals to task 0, 1, ..., 0, 1, ... of ``tasks``, one for each range."""
-    turns = -(-ranges // tasks)
-    numbers = spark.range(tasks * (8 * turns + 40)).select("id", F.pmod(F.hash("id"), F.lit(tasks)).alias("task"))
-    turn = F.row_number().over(Window.partitionBy("task").orderBy("id"))
-    found = {(r["task"], r["turn"]): r["id"] for r in numbers.withColumn("turn", turn).where(F.col("turn") <= turns).collect()}
-    # a task for which there is none takes a number of another's: the ranges stay apart, if not the tasks
-    return [found.get((r % tasks, r // tasks + 1), -1 - r) for r in range(ranges)]
+def _task_keys(spark: SparkSession, tasks: int) -> list[int]:
+    """Numbers that Spark's hash deals to task 0, 1, ... of ``tasks``."""
+    numbers = spark.range(40 * tasks).select("id", F.pmod(F.hash("id"), F.lit(tasks)).alias("task"))
+    found = {r["task"]: r["id"] for r in numbers.groupBy("task").agg(F.min("id").alias("id")).collect()}
+    # a task for which there is none shares with another: the ranges stay apart, if not the tasks
+    return [found.get(task, -1 - task) for task in range(tasks)]
 
 
 def before_ranges(sums: DataFrame, value: Column) -> DataFrame:
@@ -98,7 +48,7 @@ def before_ranges(sums: DataFrame, value: Column) -> DataFrame:
 def row_places(df: DataFrame, order: list[str], out: str = "place", ranges: int | None = None) -> DataFrame:
     """Each row's place, from 1, in ``order``, ascending with missing values last.
 
-    Ranges are counted, and rows numbered inside their range: one shuffle, no task sorts all rows. Rows
+    Ranges are counted, and rows numbered inside their range: one shuffle, and no task sorts all rows. Rows
     that are equal in ``order`` have places in any order. Runs the jobs of ``with_ranges``.
     """
     rows = with_ranges(df, order, ranges)

@@ -11,7 +11,7 @@ _written: list[str] = []
 _tables: dict[str, str] = {}  # the catalog's name of bucketed ones, by path
 
 
-def settle(df: DataFrame, by: list[str] = ()) -> DataFrame:
+def settle(df: DataFrame, by: list[str] = (), buckets: int | None = None) -> DataFrame:
     """``df`` as a Parquet table in the cluster's checkpoint folder.
 
     Later plans read it instead of repeating the work, take only the columns
@@ -19,7 +19,7 @@ def settle(df: DataFrame, by: list[str] = ()) -> DataFrame:
     Tables stay until ``clear_settled``, or the end of ``settled_here``, to be called
     once all results that come from them are written.
 
-    ``by`` stores the rows in as many buckets as there are shuffle partitions,
+    ``by`` stores the rows in ``buckets`` (default: as many as there are shuffle partitions)
     by the hash that a shuffle by these columns uses, so that joins and
     aggregations by them read the rows where they are. Rows that are together by
     ``by`` already, as after an aggregation, are not shuffled for it. The
@@ -31,7 +31,7 @@ def settle(df: DataFrame, by: list[str] = ()) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     table = "tallymark_" + path.rsplit("-", 1)[-1]
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").bucketBy(buckets, *by).option("path", path).saveAsTable(table)
     _tables[path] = table
     return spark.table(table)

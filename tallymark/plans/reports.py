@@ -10,6 +10,7 @@ from ..functions.missing import columns_starting, missing_to_zero, name, nan_to_
 from ..operators.carry import carry_forward
 from ..operators.joins import apply_overrides, keyed_join
 from ..operators.reshape import stack_by_name
+from ..operators.settle import settle
 from ..operators.subgroups import (
     ALL, COMBINED, DISABILITY, DISADVANTAGED, LEARNERS, subgroup_rates, total_rates,
 )
@@ -106,10 +107,12 @@ def assemble(
     once (else the job fails). Missing keys become 0, a
     missing ``system_name`` takes the one before it in level, system, school,
     subgroup order (``leading`` before the first), and ``overrides`` replace
-    school names.
+    school names. Building the result runs a job: the rates with their names, one
+    row per level, key and subgroup, are written, so that filling in the names
+    reads them twice without making them twice.
     """
     keyed = rates.withColumns({k: missing_to_zero(name(k)) for k in ("system", "school")})
-    named = keyed_join(keyed, names, ["system", "school"], "left", expect="one")
+    named = settle(keyed_join(keyed, names, ["system", "school"], "left", expect="one"))
     place = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
     # Missing keys became 0 and may share a place with a real 0: same key, same name.
     order = ["_level", "system", "school", "subgroup"]
