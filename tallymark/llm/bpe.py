@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -39,8 +40,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 # Beyond Latin letters, Unicode tables of different releases differ: there the vocabulary's own are used.
 FAR = regex.compile("[^\x00-\u024f]")
-KEPT_WORDS = 450_000  # words a worker keeps
-FRESH_WORDS = 150_000  # new words encoded together
+KEPT_WORDS = 450_000  # words a worker keeps from run to run
+FRESH_WORDS = 300_000  # new words encoded together
 LONGEST_KEPT = 64
 BATCH_BYTES = 4_000_000  # ids handed on at once, or one text's
 
@@ -52,12 +53,42 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+class Words(dict):
+    """Numbers of words, given to new ones as they are asked for, and the ids of each number."""
+
+    def __init__(self, fixed: dict[str, bytes]):
+        super().__init__({word: i for i, word in enumerate(fixed)})
+        self.fixed, self.ids, self.fresh = len(fixed), list(fixed.values()), []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self.ids) + len(self.fresh)
+        self.fresh.append(word)
+        return number
+
+    def forget(self, run: list[array], most: int) -> None:
+        """Drop long new words; if there are more than ``most``, keep those that ``run`` has twice or more."""
+        for word in self.fresh:
+            if len(word) > LONGEST_KEPT:
+                self.ids[self.pop(word)] = b""
+        self.fresh = []
+        if len(self) <= most:
+            return
+        times = np.bincount(np.concatenate([np.frombuffer(r, np.uint32) for r in run]), minlength=len(self.ids))
+        times[: self.fixed] = 2
+        kept = [(word, self.ids[n]) for word, n in self.items() if times[n] > 1]
+        self.clear()
+        self.update((word, i) for i, (word, _) in enumerate(kept))
+        self.ids = [ids for _, ids in kept]
+
+
 class Vocabulary:
+    kept_words = KEPT_WORDS
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         ids = model["model"]["vocab"]
-        end = model["model"]["end_of_word_suffix"]
+        self.end = end = model["model"]["end_of_word_suffix"]
         letters = byte_letters()
         self.rules = Tokenizer.from_file(path)
         self.byte_of = {c: b for b, c in enumerate(letters)}
@@ -71,11 +102,10 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         # kept under keys that no word can have, as they hold a space
         self._marked = {t: f" {t}" for t in self.special}
-        self._special_ids = {f" {t}": int(i).to_bytes(4, "little") for t, i in self.special.items()}
         self.special_split = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
         known = {**{i: t for t, i in ids.items()}, **{i: t for t, i in self.special.items()}}
         self.tokens = [known.get(i, "") for i in range(max(known) + 1)]
-        self.words: dict[str, bytes] = dict(self._special_ids)
+        self.words = Words({f" {t}": int(i).to_bytes(4, "little") for t, i in self.special.items()})
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where the pair is not merged."""
@@ -91,7 +121,7 @@ class Vocabulary:
         n = len(raw)
         symbol = self.inner[raw]
         symbol[ends - 1] = self.last[raw[ends - 1]]
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends - sizes] = -1
         alive = np.ones(n, bool)
@@ -141,39 +171,36 @@ class Vocabulary:
         kept = np.flatnonzero(alive)
         return symbol[kept], np.searchsorted(kept, ends - sizes)
 
-    def learn(self, fresh: list[str]) -> None:
-        """Encode words and keep their ids."""
+    def learn(self, fresh: list[str]) -> list[bytes]:
+        """The ids of each word."""
         pieces, owner = [], []
         for k, word in enumerate(fresh):
             found = self.pieces(word)
             pieces += found
             owner += [k] * len(found)
         if not pieces:
-            return
+            return [b""] * len(fresh)
         ids, starts = self.merged(pieces)
         raw = ids.astype("<i4").tobytes()
         first = np.searchsorted(np.array(owner), np.arange(len(fresh) + 1))
         cuts = (4 * np.concatenate([starts, [len(ids)]])[first]).tolist()
-        self.words.update((w, raw[cuts[k] : cuts[k + 1]]) for k, w in enumerate(fresh))
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, texts):
-        """Ids of each text of a list or Arrow array, as bytes, four for each id; texts are taken
-        in runs that share one index."""
-        known, fresh, start = self.words, set(), 0
+        """Ids of each text of a list or Arrow array, as bytes, four for each id.
+
+        A text becomes numbers of its words, one look per word. Texts are taken in runs; the words
+        that are new in a run are encoded together.
+        """
+        words, run = self.words, []
         for i, text in enumerate(one_by_one(texts)):
-            fresh.update(w for w in set(self.parts(text)) if w not in known)
-            if len(fresh) >= FRESH_WORDS or i == len(texts) - 1:
-                run = texts[start : i + 1]
-                if len(known) + len(fresh) > KEPT_WORDS:
-                    known.clear()
-                    known.update(self._special_ids)
-                    fresh = {w for t in one_by_one(run) for w in set(self.parts(t)) if w not in known}
-                self.learn(list(fresh))
-                for t in one_by_one(run):
-                    yield b"".join(map(known.__getitem__, self.parts(t)))
-                for w in [w for w in fresh if len(w) > LONGEST_KEPT]:
-                    del known[w]
-                fresh, start = set(), i + 1
+            run.append(array("I", map(words.__getitem__, self.parts(text))))
+            if len(words.fresh) >= FRESH_WORDS or i == len(texts) - 1:
+                words.ids += self.learn(words.fresh)
+                for numbers in run:
+                    yield b"".join(map(words.ids.__getitem__, numbers))
+                words.forget(run, self.kept_words)
+                run = []
 
     def pieces(self, word: str) -> list[bytes]:
         if FAR.search(word):
