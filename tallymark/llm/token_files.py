@@ -9,7 +9,8 @@ The vocabulary splits at white space, so each distinct word is encoded once by
 the tokenizers library and kept by the worker, a bounded number of them.
 
 Defined results: a missing or empty text has the end id only. Rows without id
-come first; rows with equal ids are ordered by their text and written each.
+come first; rows with equal ids are ordered by the first ``LEAD`` characters of
+their text, then by a hash of it, and written each.
 An empty table makes no file and an empty result.
 """
 
@@ -18,7 +19,6 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -28,29 +28,37 @@ from pyspark.sql.window import Window
 
 from ..operators.settle import new_path, settle
 from . import wavelet
-from .bpe import FAR, LONGEST_KEPT, Vocabulary
+from .bpe import LONGEST_KEPT, PIECES, Vocabulary
 from .files import opened, publish
 from .text import one_by_one
 
-KEPT_WORDS = 1_200_000  # words a worker keeps
+KEPT_WORDS = 600_000  # words a worker keeps, and as many from before
+LEAD = 64
 FILE_TOKENS = 1 << 22  # a file ends with the document that reaches so many
 MISSING = -(2**63)  # stands for a missing id in a file
 _PER_GROUP = 1000
 
 
-class _Words(dict):
-    """Ids of words as bytes; what is not kept yet is encoded when it is asked for."""
+class _Kept(dict):
+    """Ids of words as bytes; a word that is not kept is encoded when it is asked for.
+
+    When there are many, it starts anew and takes words from those before when
+    they are asked for again: frequent words stay, those that came once go.
+    """
 
     def __init__(self, vocabulary: LibraryVocabulary):
-        super().__init__(vocabulary.words)
-        self.vocabulary = vocabulary
+        super().__init__(vocabulary.special_ids)
+        self.vocabulary, self.before = vocabulary, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.vocabulary.ids_of(word)
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.vocabulary.ids_of(word)
         if len(word) <= LONGEST_KEPT:
             if len(self) >= KEPT_WORDS:
+                self.before = dict(self)
                 self.clear()
-                self.update(self.vocabulary.words)
+                self.update(self.vocabulary.special_ids)
             self[word] = ids
         return ids
 
@@ -62,24 +70,28 @@ class LibraryVocabulary(Vocabulary):
         super().__init__(path)
         self.model = self.rules.model
         self.letter_of = {b: c for c, b in self.byte_of.items()}
-        self.kept = _Words(self)
+        self.as_bytes = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
+        self.special_ids = {word: self.words.ids[i] for word, i in self.words.items()}
+        self.kept = _Kept(self)
 
     def encode(self, texts):
         for text in one_by_one(texts):
             yield b"".join(map(self.kept.__getitem__, self.parts(text)))
 
     def ids_of(self, word: str) -> bytes:
-        near = word.isascii() or not FAR.search(word)
-        if near and word.isalpha():  # one piece
-            return self._of_piece(word.encode())
-        if near and word[-1] in ".,;:!?" and word[:-1].isalpha():  # two
-            return self.kept[word[:-1]] + self.kept[word[-1]]
+        if word.isascii() and word.isprintable():  # letters that stand for themselves
+            if word.isalpha():  # one piece
+                return self._of_letters(word)
+            if word[:-1].isalpha() and word[-1] in ".,;:!?":  # two
+                return self.kept[word[:-1]] + self.kept[word[-1]]
+            return b"".join(map(self._of_letters, PIECES.findall(word)))
         return b"".join(map(self._of_piece, self.pieces(word)))
 
+    def _of_letters(self, letters: str) -> bytes:
+        return b"".join([self.as_bytes[t.id] for t in self.model.tokenize(letters)])
+
     def _of_piece(self, piece: bytes) -> bytes:
-        letters = piece.decode("latin-1").translate(self.letter_of)
-        ids = [t.id for t in self.model.tokenize(letters)]
-        return pack(f"<{len(ids)}i", *ids)
+        return self._of_letters(piece.decode("latin-1").translate(self.letter_of))
 
 
 @lru_cache(2)
@@ -92,7 +104,12 @@ def write_files(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
     """Write ``docs`` and return the manifest: file, first (task, number in it), n_documents, n_tokens."""
     folder = new_path(docs.sparkSession)
     pairs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    ordered = pairs.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # rows of one id, or without, may be many: they go on by their text, and equal ones by Spark's row id
+    keys = {
+        "lead": F.substring("text", 1, LEAD), "hash": F.xxhash64("text"), "row": F.monotonically_increasing_id(),
+    }
+    dealt = pairs.withColumns(keys).repartitionByRange("id", *keys)
+    ordered = dealt.sortWithinPartitions("id", "lead", "hash", "text").select("id", "text")
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0

@@ -124,6 +124,29 @@ def test_many_files_on_awkward_rows(spark, library, monkeypatch):
     assert token_files.read_files(token_files.write_files(empty(spark), PATH, end_id=2)).collect() == []
 
 
+def test_rows_of_one_id_are_dealt_to_several_tasks(spark, library):
+    rows = [(7, f"text {i % 500} of one id") for i in range(2000)] + [(None, "the same")] * 1000 + [(8, "after"), (1, "before")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows go to one task
+    try:
+        manifest = token_files.write_files(docs, PATH, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.task for r in manifest.collect()}) > 2
+    got = sorted((tuple(r) for r in token_files.read_files(manifest).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 1000 + [1] + [7] * 2000 + [8]
+    assert [r[1] for r in got] == np.cumsum([0, *[r[2] for r in got[:-1]]]).tolist()
+    plain = expected_files(library, rows)
+    assert sorted((r[0] or 0, *r[2:]) for r in got) == sorted((r[0] or 0, *r[2:]) for r in plain)
+
+
+def test_control_characters_and_forgotten_words(library, monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 4)
+    texts = ["a\x00b \x7f \x1b[0m it's don't x, y! 12ab3 ...", "a b c d e f g a b c", "the the THE tHe", "a\x00b c"]
+    found = list(token_files.LibraryVocabulary(PATH).encode(texts))
+    assert [np.frombuffer(f, "<i4").tolist() for f in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_a_file_ends_with_a_document(library, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_TOKENS", 5)
     import pyarrow as pa
