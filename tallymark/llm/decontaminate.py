@@ -190,7 +190,9 @@ def similar(contents: DataFrame, items: DataFrame) -> DataFrame:
     """(size, content, item, similarity) of windows and items of their size that are similar."""
     flips = RADIUS // BLOCKS
     near = flips // 3  # of the flips, windows try these and items the others: the index has fewer rows
-    left = contents.withColumn("shingles", shingles(F.split("content", " ")))
+    # the rows are small but cost much: a fixed number of tasks, which Spark does not merge
+    tasks = int(contents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = contents.repartition(tasks, "content").withColumn("shingles", shingles(F.split("content", " ")))
     left = settle(left.withColumn("print", simhash(F.col("shingles"))).drop("shingles"))
     right = items.select("item", "size", F.col("shingles").alias("wanted"), simhash(F.col("shingles")).alias("own"))
     probes = left.select("size", "content", "print", F.explode(index_keys(F.col("print"), near)).alias("key"))
@@ -203,7 +205,7 @@ def similar(contents: DataFrame, items: DataFrame) -> DataFrame:
     wanted = right.select("item", F.col("size").alias("item_size"), "wanted")
     same = (F.col("size") == F.col("item_size")) & pairs["item"].eqNullSafe(wanted["item"])
     similarity = weighted_jaccard(shingles(F.split("content", " ")), F.col("wanted"))
-    checked = settle(pairs.join(wanted, same).select("size", "content", pairs["item"], similarity.alias("similarity")))
+    checked = settle(pairs.repartition(tasks, "content", "item").join(wanted, same).select("size", "content", pairs["item"], similarity.alias("similarity")))
     return checked.where(F.col("similarity") >= LEAST).distinct()
 
 

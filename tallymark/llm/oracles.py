@@ -41,7 +41,7 @@ select page_id, payload_bytes,
 from digests
 """
 
-# Every item-sized window that lies around a shared shingle, compared exactly.
+# Every item-sized window that begins at a shared shingle or lies around it as the item would, compared exactly.
 LEAKS = r"""
 with docs as (
     select doc_id, row_number() over () as rid,
@@ -59,9 +59,9 @@ with docs as (
         lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) as shingle
     from items
 ), starts as (
-    select distinct d.doc_id, d.rid, p.item_id, p.size, d.w,
-        greatest(least(r.pos - p.place, len(d.w) - p.size), 0) as start
-    from runs r join parts p using (shingle) join docs d on d.rid = r.rid
+    select distinct doc_id, rid, item_id, size, w, greatest(least(first, len(w) - size), 0) as start
+    from (select d.doc_id, d.rid, p.item_id, p.size, d.w, unnest([r.pos - p.place, r.pos - 1]) as first
+        from runs r join parts p using (shingle) join docs d on d.rid = r.rid)
 ), numbered as (select *, row_number() over () as n from starts),
 own as (
     select n, shingle, count(*) as k from (

@@ -82,7 +82,8 @@ def sentences(text: Column) -> Column:
 
 
 def _lengths(text: Column, between: str) -> Column:
-    return F.transform(F.split(text, between), lambda part: F.octet_length(part))
+    # a text that ends where a part ends has an empty one behind it, which is no section
+    return F.filter(F.transform(F.split(text, between), lambda part: F.octet_length(part)), lambda n: n > 0)
 
 
 def count_sections(

@@ -56,6 +56,32 @@ def test_chunks_cover_every_byte():
         assert (chunks[-1] != classifier.PAD).any() or n == 0
 
 
+def plain_score(net, text):
+    """The forward pass byte by byte, without arrays of windows."""
+    raw = list((text or "").encode())
+    values, start = [], 0
+    while True:
+        chunk = [raw[i] if i < len(raw) else classifier.PAD for i in range(start, start + classifier.CHUNK)]
+        best = [-np.inf] * classifier.FILTERS
+        for at in range(classifier.CHUNK - classifier.WIDTH + 1):
+            under = [x for byte in chunk[at : at + classifier.WIDTH] for x in net.bytes_[byte]]
+            for f in range(classifier.FILTERS):
+                best[f] = max(best[f], sum(float(x) * float(w) for x, w in zip(under, net.filters[:, f])))
+        values.append([max(0.0, b + float(s)) for b, s in zip(best, net.shift)])
+        if start + classifier.CHUNK >= len(raw):
+            break
+        start += classifier.STEP
+    mean = [sum(v[f] for v in values) / len(values) for f in range(classifier.FILTERS)]
+    top = [max(v[f] for v in values) for f in range(classifier.FILTERS)]
+    total = sum(float(w) * x for w, x in zip(net.weights, mean + top)) + float(net.bias[0])
+    return 1 / (1 + np.exp(-total))
+
+
+def test_forward_pass_against_plain_loops(net):
+    texts = ["plain words", None, "words%%% ### of*** a text " * 9, "é" * 300 + " ### plain"]
+    assert classifier.score(net, texts) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-5)
+
+
 def test_gradients_are_those_of_the_loss(net):
     texts, wanted = [b"some words%%% here", b"x" * 700 + b"###", b""], np.array([1.0, 0.0, 1.0])
 

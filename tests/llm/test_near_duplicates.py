@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import oracle
 import pytest
 import regex
 from awkward import empty, frame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallymark.llm import decontaminate, jaccard_join
 from tallymark.llm.components import components
-from tallymark.llm.queries import QUERIES
+from tallymark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -309,3 +310,21 @@ def test_simhash(spark):
         if sum(1 if hashes[x] >> bit & 1 else -1 for x in "abca") > 0:
             expected |= 1 << bit
     assert got == [expected - (expected >> 63 << 64), hashes["a"], 0]
+
+
+def test_parts_in_another_order_against_sql(spark, tmp_path):
+    """An item A + B is found where it stands as B + A, by the operator and by its SQL."""
+    a, b = [f"first{i}" for i in range(25)], [f"second{i}" for i in range(25)]
+    noise = [f"other{i}" for i in range(60)]
+    texts = [noise[:30] + b + a + noise[30:], noise + a + b, a + noise + b, b + a, noise]
+    tables = {
+        "documents": spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"),
+        "benchmark": spark.createDataFrame([(9, " ".join(a + b))], "item_id long, text string"),
+    }
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(str(tmp_path / "made" / name))
+        (part,) = (tmp_path / "made" / name).glob("*.parquet")
+        part.rename(tmp_path / f"{name}.parquet")
+    got = QUERIES["op5_benchmark_decontamination"](spark, str(tmp_path))
+    assert {r.doc_id for r in got.collect()} == {0, 1, 3}
+    assert oracle.spark_rows(got) == oracle.duck_rows(oracle.connect(str(tmp_path)), ORACLES["op5_benchmark_decontamination"])

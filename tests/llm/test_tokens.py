@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import io
 import random
+import re
 import zlib
 
 import numpy as np
@@ -185,6 +186,19 @@ def test_token_counts(spark, rule, sections):
         assert [n for _, n in found[d.doc_id]] == brute_sections(d.text, lengths, rule)
 
 
+def test_sections_against_an_own_split(spark):
+    """Every byte is in one section, in order, and no section is empty, whatever the text ends with."""
+    texts = ["One. Two.\n", "One.\n\nTwo! ", "a? b", "", "\n", "no end", ". . .", "x.\ty", "é. ü.\n\n", "a.b. c\nd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    patterns = {token_counts.sentences: r"[.!?][\x20\x09-\x0D]", token_counts.lines: r"\n"}
+    for sections, end in patterns.items():
+        rows = token_counts.count_sections(docs, RANKS, public_tokenizers.PATTERN, sections=sections).collect()
+        for i, text in enumerate(texts):
+            cuts = [0, *(m.end() for m in re.finditer(end, text)), len(text)]
+            expected = [len(text[a:b].encode()) for a, b in zip(cuts, cuts[1:]) if a < b]
+            assert [r.n_bytes for r in sorted(rows, key=lambda r: r.section) if r.doc_id == i] == expected
+
+
 def test_fields_and_awkward_rows(spark):
     docs = frame(spark)
     whole = F.concat_ws(" ", "lang", "source", "text")
