@@ -8,6 +8,7 @@ from tallymark.plans.growth import indicator_growth, student_table
 from tallymark.plans.inputs import demographics, enrolment, history_with_current, yearly_records
 from tallymark.sources.schemas import DISABILITY_COLUMNS, DISADVANTAGE_COLUMNS, LEARNER_COLUMNS, RACE_COLUMNS
 
+from .records import _race_sql
 from .standards import _DOUBLES, ORACLES as STANDARDS, rounded
 from .views import ASSESSMENT_SQL, TIE_BREAK, assessment, student, table
 
@@ -94,20 +95,6 @@ def _any(columns) -> str:
     return "(" + " or ".join(f"{c} = 'Y'" for c in columns) + ")"
 
 
-_LABELS = [
-    ("white = 'Y'", "White"), ("asian = 'Y'", "Asian"), ("nativehawaiian = 'Y'", "Hawaiian or Pacific Islander"),
-    ("americanindian = 'Y'", "Native American or Alaska Native"), ("black = 'Y'", "Black or African American"),
-    ("ethnicity = 'H'", "Hispanic or Latino"),
-]
-
-
-def _race_sql() -> str:
-    sql = "null"
-    for test, label in _LABELS:
-        sql = f"case when ({test}) is null then null when {test} then '{label}' else {sql} end"
-    return sql
-
-
 ORACLES = {
     "yearly_records": f"""with {ASSESSMENT_SQL}
         select id, year, cast(grade as integer) as grade, count(*) as n, max(pl_comp) as score

@@ -26,6 +26,7 @@ class Input:
         return {header: short for header, _, short in self.columns}
 
 
+# Fixed values from here to the end: the headers of the files.
 # Assessment results, current year.
 RESULTS = Input([
     ("State Student ID", LongType, "id"),
