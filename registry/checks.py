@@ -33,6 +33,12 @@ def reconcile_mismatch(spark, sf_dir):
     return check_report(ours, _theirs(ours))
 
 
+def reconcile_ranges(spark, sf_dir):
+    """The same comparison, joined only where ranges of keys differ."""
+    ours = settle(release_table_query(spark, sf_dir))
+    return check_report(ours, settle(_theirs(ours)), ranges=1024)
+
+
 def reconcile_all(spark, sf_dir):
     ours = settle(release_table_query(spark, sf_dir))
     return check_report(ours, _theirs(ours), only="all", exclude=None)
@@ -44,6 +50,7 @@ def duplicate_audit(spark, sf_dir):
 
 QUERIES = {
     "reconcile_mismatch": reconcile_mismatch,
+    "reconcile_ranges": reconcile_ranges,
     "reconcile_all": reconcile_all,
     "duplicate_audit": duplicate_audit,
 }
@@ -86,3 +93,4 @@ ORACLES = {
         select x.id, {', '.join(f'x.{c} as {c}_x' for c in _AUDITED)}, {', '.join(f'y.{c} as {c}_y' for c in _AUDITED)}
         from records x join chosen y on x.id = y.id""",
 }
+ORACLES["reconcile_ranges"] = ORACLES["reconcile_mismatch"]

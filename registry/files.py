@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType
 
 from tallymark.functions.missing import clean_code, nan_to_null_frame
-from tallymark.operators.settle import new_path
+from tallymark.operators.settle import new_path, settle
 from tallymark.sources.files import number_losses, read_csv, read_parquet, read_tsv
 from tallymark.sources.schemas import LISTED, Input
 from tallymark.sources.sinks import run_stamp, write_csv
@@ -68,6 +68,17 @@ def lost_numbers(spark, sf_dir):
     return number_losses(spark, path, CUSTOMERS)
 
 
+def losses_while_reading(spark, sf_dir):
+    """The same losses, counted by the job that reads the rows: no second scan."""
+    path = new_path(spark)
+    write_csv(table(spark, sf_dir, "customer").select(*[F.expr(e).alias(c) for c, e in _WRITTEN.items()]), path)
+    losses = Observation()
+    settle(read_csv(spark, path, CUSTOMERS, multi_line=False, losses=losses))
+    found = losses.get
+    rows = [(header, found[short]) for header, _, short in CUSTOMERS.columns if short in found]
+    return spark.createDataFrame(rows, "`column` string, n_lost long").withColumn("n_rows", F.lit(found["rows"]).cast("long"))
+
+
 def base_folder(spark, sf_dir):
     """A Parquet table read by its name under a folder."""
     nations = Input([("n_nationkey", LongType, "system"), ("n_name", StringType, "system_name")])
@@ -95,6 +106,7 @@ QUERIES = {
     "tsv_round_trip": tsv_round_trip,
     "odd_text_round_trip": odd_text_round_trip,
     "lost_numbers": lost_numbers,
+    "losses_while_reading": losses_while_reading,
     "base_folder": base_folder,
     "nan_as_missing": nan_as_missing,
     "stamped_orders": stamped_orders,
@@ -113,6 +125,9 @@ ORACLES = {
         union all select 'Balance (Overall)', count(case when c_custkey % 13 <> 0 then 1 end), 0 from customer
         union all select 'Grade', count(case when c_custkey % 10 = 0 or c_custkey % 9 <> 0 then 1 end),
             count(case when c_custkey % 10 = 0 then 1 end) from customer""",
+    "losses_while_reading": """select 'Customer ID' as "column", cast(0 as bigint) as n_lost, count(*) as n_rows from customer
+        union all select 'Balance (Overall)', 0, count(*) from customer
+        union all select 'Grade', count(case when c_custkey % 10 = 0 then 1 end), count(*) from customer""",
     "base_folder": "select n_nationkey as system, n_name as system_name from nation",
     "nan_as_missing": """select l_returnflag, count(*) as n, count(case when l_linenumber <> 7 then l_quantity end) as n_known,
             max(case when l_linenumber <> 7 then l_quantity end) as most from lineitem group by l_returnflag""",

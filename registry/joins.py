@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallymark.functions.missing import columns_starting, put_first
-from tallymark.operators.joins import apply_overrides, fan_out, flag_lookup, keyed_join
+from tallymark.operators.joins import JoinCounts, apply_overrides, fan_out, flag_lookup, keyed_join
 from tallymark.operators.records import student_year_max
+from tallymark.operators.settle import settle
 from tallymark.plans.reports import SCHOOL_NAMES
 
 from .views import (
@@ -54,6 +55,15 @@ def one_to_many(spark, sf_dir):
     return keyed_join(best, enrolled, ["id"], hot="right")
 
 
+def join_counts(spark, sf_dir):
+    """What joining the listed keys' records does to the number of customers, counted by the join itself."""
+    counts = JoinCounts()
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
+    settle(keyed_join(people, listed(spark, sf_dir), [("id", "STUDENT_KEY")], counts=counts))
+    found = counts.get()
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{c} long" for c in found))
+
+
 def system_schools(spark, sf_dir):
     """Each district's count beside every school of the crosswalk."""
     districts = assessment(spark, sf_dir).groupBy("system").agg(F.count("*").alias("n"))
@@ -103,6 +113,7 @@ def default_overrides(spark, sf_dir):
 
 
 QUERIES = {
+    "join_counts": join_counts,
     "default_overrides": default_overrides,
     "flag_lookup": flag_lookup_query,
     "name_lookup": name_lookup,
@@ -151,3 +162,8 @@ ORACLES = {
         select s_suppkey, r.system, r.school, case when p.k is null then s_name else published end as school_name
         from rows r left join published p on r.system = p.system and r.school = p.school""",
 }
+ORACLES["join_counts"] = f"""with {LISTED_SQL}, joined as (
+        select c_custkey, student_key from customer left join listed on c_custkey = student_key)
+    select (select count(*) from customer) as n_left, count(*) as n_joined, count(student_key) as n_matched,
+        count(*) - (select count(*) from customer) as n_more
+    from joined"""

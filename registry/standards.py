@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.missing import name
 from tallymark.operators.carry import carry_forward, int_steps
 from tallymark.operators.quantiles import exact_quantiles
+from tallymark.operators.ranges import row_places
 from tallymark.operators.settle import settle
 from tallymark.plans.growth import (
     attach_standard, growth_standards, indicator_growth, scores_by_year, student_table,
@@ -118,6 +119,12 @@ def carry_forward_records(spark, sf_dir):
     return carry_forward(records, "pl_comp", ["school", "id", "k1", "k2", "k3", "k4"], out="carried")
 
 
+def record_places(spark, sf_dir):
+    """Each record's place in school, student and record order."""
+    records = assessment(spark, sf_dir).select("school", "id", "k1", "k2", "k3", "k4")
+    return row_places(records, records.columns)
+
+
 QUERIES = {
     "growth_standards": growth_standards_query,
     "growth_standards_percentile": growth_standards_percentile,
@@ -131,6 +138,7 @@ QUERIES = {
     "student_table": student_table_query,
     "carry_forward": carry_forward_query,
     "carry_forward_records": carry_forward_records,
+    "record_places": record_places,
 }
 
 YEAR_MAX_CLEAN_SQL = (
@@ -240,3 +248,5 @@ ORACLES = {
             order by school, id, k1, k2, k3, k4 rows between unbounded preceding and current row) as carried
         from assessment""",
 }
+ORACLES["record_places"] = f"""with {ASSESSMENT_SQL}
+    select school, id, k1, k2, k3, k4, row_number() over (order by school, id, k1, k2, k3, k4) as place from assessment"""

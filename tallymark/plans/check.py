@@ -14,8 +14,13 @@ THEIR_LABELS = {LEARNERS: "English Language Learners"}
 COMPLEMENT = "Non-"
 
 
-def check_report(ours: DataFrame, theirs: DataFrame, only: str = "mismatch", exclude: str | None = DISABILITY) -> DataFrame:
-    """Schools and subgroups whose number of valid growth tests differs."""
+def check_report(
+    ours: DataFrame, theirs: DataFrame, only: str = "mismatch", exclude: str | None = DISABILITY, ranges: int | None = None
+) -> DataFrame:
+    """Schools and subgroups whose number of valid growth tests differs.
+
+    ``ranges`` compares large reports by so many ranges of keys first (``reconcile``).
+    """
     return reconcile(
         comparable_ours(ours, SHARED, THEIR_LABELS),
         comparable_theirs(theirs, COMPLEMENT, ["system", "schoolnumber"]),
@@ -24,4 +29,5 @@ def check_report(ours: DataFrame, theirs: DataFrame, only: str = "mismatch", exc
         keep=["valid_tests", "valid_tests_exit"],
         only=only,
         exclude=None if exclude is None else F.col("subgroup") == exclude,
+        ranges=ranges,
     )
