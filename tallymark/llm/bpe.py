@@ -40,8 +40,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _NOT_SPACE = regex.compile("[\x1c-\x1f]")
 # Beyond Latin letters, Unicode tables of different releases differ: there the vocabulary's own are used.
 FAR = regex.compile("[^\x00-\u024f]")
-KEPT_WORDS = 450_000  # words a worker keeps from run to run
-FRESH_WORDS = 300_000  # new words encoded together
+KEPT_WORDS = 250_000  # words a worker keeps from run to run
+FRESH_WORDS = 150_000  # new words encoded together
 LONGEST_KEPT = 64
 BATCH_BYTES = 4_000_000  # ids handed on at once, or one text's
 
