@@ -59,6 +59,7 @@ class Words(dict):
     def __init__(self, fixed: dict[str, bytes]):
         super().__init__({word: i for i, word in enumerate(fixed)})
         self.fixed, self.ids, self.fresh = len(fixed), list(fixed.values()), []
+        self.times = np.zeros(0, np.int64)  # how often each number came
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self.ids) + len(self.fresh)
@@ -66,19 +67,26 @@ class Words(dict):
         return number
 
     def forget(self, run: list[array], most: int) -> None:
-        """Drop long new words; if there are more than ``most``, keep those that ``run`` has twice or more."""
+        """Drop long new words; if there are more than ``most``, keep those that came twice or more, or
+        of too many of these the more frequent ones."""
         for word in self.fresh:
             if len(word) > LONGEST_KEPT:
                 self.ids[self.pop(word)] = b""
         self.fresh = []
+        now = np.bincount(np.concatenate([np.frombuffer(r, np.uint32) for r in run]), minlength=len(self.ids))
+        now[: len(self.times)] += self.times
+        self.times = now
         if len(self) <= most:
             return
-        times = np.bincount(np.concatenate([np.frombuffer(r, np.uint32) for r in run]), minlength=len(self.ids))
-        times[: self.fixed] = 2
-        kept = [(word, self.ids[n]) for word, n in self.items() if times[n] > 1]
+        least = 2
+        while np.count_nonzero(now >= least) > most // 2:
+            least *= 2
+        now[: self.fixed] = least
+        kept = [(word, n) for word, n in self.items() if now[n] >= least]
         self.clear()
         self.update((word, i) for i, (word, _) in enumerate(kept))
-        self.ids = [ids for _, ids in kept]
+        self.ids = [self.ids[n] for _, n in kept]
+        self.times = now[[n for _, n in kept]] // 2
 
 
 class Vocabulary:
