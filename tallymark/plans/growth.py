@@ -214,6 +214,7 @@ def student_table(
     id: str = "id",
     demographic_keys: list[str] | None = None,
     null_keys: str = "match",
+    hot: bool = False,
 ) -> DataFrame:
     """Attach school and demographics to each student's growth.
 
@@ -227,14 +228,19 @@ def student_table(
     Each table is shuffled by student once, the growth not at all where it is stored
     by student (``indicator_growth``). Rows without id never take part in that: if
     the growth has any (a job asks), their distinct descriptions and enrolments,
-    summed before they are shuffled, are joined apart.
+    summed before they are shuffled, are joined apart. ``hot`` is for tables in which one
+    student has a large share of the rows: all are summed before they are shuffled, and
+    students with many enrolments are spread over tasks, for a shuffle more of each
+    and a job that counts.
     """
     keys = demographic_keys or [id]
     there = name(id).isNotNull()
-    described = _counted(demographics.where(there).repartition(name(id)), "_described")
-    enrolled = _counted(enrolment.where(there).repartition(name(id)), "_enrolled")
+    described, enrolled = demographics.where(there), enrolment.where(there)
+    if not hot:
+        described, enrolled = described.repartition(name(id)), enrolled.repartition(name(id))
+    described, enrolled = _counted(described, "_described"), _counted(enrolled, "_enrolled")
     people = keyed_join(growth, described, keys, null_keys="never" if keys == [id] else null_keys)
-    joined = keyed_join(people, enrolled, [id], null_keys="never")
+    joined = keyed_join(people, settle(enrolled) if hot else enrolled, [id], null_keys="never", hot="right" if hot else None)
     if null_keys == "match" and not growth.where(~there).isEmpty():
         lone = keyed_join(growth.where(~there), _counted(demographics.where(~there), "_described"), keys)
         lone = keyed_join(lone, _counted(enrolment.where(~there), "_enrolled"), [id])

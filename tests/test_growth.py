@@ -8,6 +8,7 @@ from helpers import plan, r_quantile, rows, sort_rows
 from pyspark.sql import functions as F
 
 from tallymark.functions.bands import SCORE_LABELS
+from tallymark.operators import joins
 from tallymark.operators.joins import keyed_join
 from tallymark.operators.records import student_year_max
 from tallymark.operators.reshape import spread
@@ -167,7 +168,10 @@ def test_all_missing_score_counts_only_with_inf(spark):
     assert inf[2]["denominator"] and clean[2]["denominator"]
 
 
-def test_student_table_counts_copies(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_student_table_counts_copies(spark, hot, monkeypatch):
+    counted = joins.hot_keys
+    monkeypatch.setattr(joins, "hot_keys", lambda df, keys, rows_per_task: counted(df, keys, 1))
     growth = spark.createDataFrame([(1, True), (2, False), (None, True), (4, True)], "id int, numerator boolean")
     enrolment = spark.createDataFrame(
         [(1, 10, 1), (1, 10, 1), (1, 20, 2), (2, 10, 1), (None, 30, 3), (None, 30, 3), (9, 1, 1)], "id int, system int, school int"
@@ -175,7 +179,7 @@ def test_student_table_counts_copies(spark):
     people = spark.createDataFrame(
         [(1, "w"), (2, "b"), (2, "b"), (2, "h"), (None, None), (None, None)], "id int, race string"
     )
-    got = student_table(growth, enrolment, people)
+    got = student_table(growth, enrolment, people, hot=hot)
     repeated = keyed_join(keyed_join(growth, enrolment, ["id"]), people, ["id"])
     counted = repeated.groupBy(*repeated.columns).agg(F.count("*").alias("copies"))
     assert rows(got, *counted.columns) == rows(counted)
