@@ -54,6 +54,11 @@ def new_path(spark: SparkSession) -> str:
     return path
 
 
+def written_paths() -> list[str]:
+    """Paths of the tables that this process settled and that are there still."""
+    return list(_written)
+
+
 def clear_settled(spark: SparkSession) -> int:
     """Delete the tables this process settled; returns how many there were."""
     return drop_paths(spark, list(_written))
