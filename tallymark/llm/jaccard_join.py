@@ -5,19 +5,21 @@ threshold. The join finds every link that the components need, none is missed
 by chance:
 
 1. Documents with equal sets are one class, named by a 64-bit digest of the set.
-2. Counts of shingles, kept in a sketch of fixed size, put all shingles into one
-   order, rare ones first. Sets as similar as asked share a shingle among the
-   first ``n - ceil(t * n) + 1`` of each. Classes that share such a key meet.
+2. Hash values of shingles are cut into segments, as many as two similar sets of a
+   range of sizes may differ in shingles, and one more: so one segment at least
+   holds the same shingles in both. Digests of segments are keys, and classes that
+   share one meet. A passage that many documents share is no key; a few shingles
+   from all over the text are.
 3. Within a key, classes are rows under a signature tree: a node holds the OR of
    its rows' token bitmaps and the range of their sizes. A traversal of pairs of
    nodes drops those whose sizes or bits rule out the overlap that the
    threshold needs, and those that are in one component already.
 4. Pairs that are left are checked with larger bitmaps, then with the sets.
 
-Step 3 runs twice. First each row is compared with ``NEIGHBOURS`` rows of its key
-only, and of the pairs found, one for each class is checked, then the rest without
-those that these have joined. That joins most copies at a cost that grows with
-the rows. Then the keys that hold several
+Step 3 runs twice. First, under the ``FIRST_KEYS`` smallest of its shared keys, each
+row is compared with ``NEIGHBOURS`` rows only, and of the pairs found, one for
+each class is checked, then the rest without those that these have joined. That
+joins most copies at a cost that grows with the rows. Then all keys that hold several
 components still are traversed whole. Keys with many rows are dealt to cells of
 bounded size: the rows of the key's largest component are spread, the others go
 along with each part. Nothing is sampled or cut off.
@@ -34,14 +36,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.settle import settle
+from ..operators.settle import drop_paths, settle, written_paths
 from .components import components
 from .marks import bit_field, may_hold
 from .text import chunks, mix, sequences
 
 SIZE, PERCENT = 5, 80
-SKETCH_BITS = 18
-SIGNATURE = 256  # bits of a token bitmap in a tree
+GROWTH = 140  # percent by which a range of sizes ends above its begin
+SPARE = 6  # a spare segment for so many others
+FIRST_KEYS = 4  # keys of a class under which neighbours are compared
+SIGNATURE = 1024  # bits of a token bitmap in a tree
 WIDE = 8  # bits per shingle of the larger bitmaps
 LEAF, FAN = 16, 8  # rows of a leaf, children of a node
 NEIGHBOURS = 3  # rows of its cell with which a row is compared first: the cell's first and those before it
@@ -83,36 +87,23 @@ class _Seen:
         return True
 
 
-def document_sets(docs: DataFrame, doc_id: str, text: str, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(doc, n, class) of all documents, and the sketch: counts of shingles by their first bits.
-
-    One pass makes both; the sketch has 2**SKETCH_BITS numbers whatever the table holds.
-    """
+def document_sets(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
+    """(doc, n, class) of all documents."""
     pairs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
 
     def run(batches):
-        seen, counts, rows = _Seen(), np.zeros(1 << SKETCH_BITS, np.int64), []
+        rows = []
         for batch, i, found in _sets(batches, size):
-            name = digest(found) if len(found) else None
-            rows.append((batch.column(0)[i].as_py(), len(found), name, None))
-            if name is not None and seen.first_time(name):
-                np.add.at(counts, _bucket(found), 1)
+            rows.append((batch.column(0)[i].as_py(), len(found), digest(found) if len(found) else None))
             if len(rows) == 10_000:
                 yield _made(rows, _DOCUMENT)
                 rows = []
-        held = np.flatnonzero(counts)
         yield _made(rows, _DOCUMENT)
-        none = pa.nulls(len(held), pa.int64())
-        yield pa.record_batch([none, pa.array(counts[held]), none, pa.array(held)], schema=_DOCUMENT)
 
-    both = settle(pairs.mapInArrow(run, "doc long, n long, class long, bucket long"))
-    totals = both.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch[totals["bucket"].to_numpy(np.int64)] = totals["n"].to_numpy(np.int64)
-    return both.where("bucket is null").drop("bucket"), sketch
+    return settle(pairs.mapInArrow(run, "doc long, n long, class long"))
 
 
-_DOCUMENT = pa.schema([(c, pa.int64()) for c in ("doc", "n", "class", "bucket")])
+_DOCUMENT = pa.schema([(c, pa.int64()) for c in ("doc", "n", "class")])
 
 
 def _made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -120,15 +111,39 @@ def _made(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _bucket(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def size_ranges(n: int, percent: int) -> list[tuple[int, int]]:
+    """(range, largest size in it) of the ranges with sizes of sets not larger than ``n`` that may be similar to it."""
+    least, begin, number, out = -(-percent * n // 100), 1, 0, []
+    while begin <= n:
+        end = max(begin + 1, begin * GROWTH // 100)
+        if end > least:
+            out.append((number, end - 1))
+        begin, number = end, number + 1
+    return out
 
 
-def prefix(shingles: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray:
-    """The keys of a set: of any two sets as similar as asked, one is a key of both."""
-    n = len(shingles)
-    keys = n - -(-percent * n // 100) + 1
-    return shingles[np.lexsort((shingles, sketch[_bucket(shingles)]))[:keys]]
+def segment_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of a set: of any two sets as similar as asked, one is a key of both.
+
+    Where the smaller of two sets has at most ``most`` shingles, they differ in at most
+    ``differ``, so that of ``differ + 1 + spare`` segments ``spare + 1`` are equal. A set with at most ``spare``
+    segments of less than two shingles leaves these out, or else empty ones, if at most ``spare`` are: of
+    two sets the one that leaves out more has an equal segment left that both keep.
+    """
+    keys = []
+    mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(shingles), dtype=np.uint64)])
+    for number, most in size_ranges(len(shingles), percent):
+        differ = (most + 100 * most // percent) * (100 - percent) // (100 + percent)
+        spare = max(1, differ // SPARE) if differ else 0
+        count = differ + 1 + spare
+        segment = ((shingles >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+        edges = np.searchsorted(segment, np.arange(count + 1, dtype=np.uint64))
+        held = np.diff(edges)
+        least = next((k for k in (2, 1) if np.count_nonzero(held < k) <= spare), 0)
+        names = (np.arange(count, dtype=np.uint64) << np.uint64(16)) + np.uint64(number)
+        all_keys = mix(mixed[edges[1:]] - mixed[edges[:-1]] + mix(names + np.uint64(1)))
+        keys.append(all_keys[held >= least])
+    return np.concatenate(keys)
 
 
 def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -143,7 +158,7 @@ def _needed(n, m, percent):
     return -(-percent * (n + m) // (100 + percent))
 
 
-def shared_keys(pairs: DataFrame, sketch, size: int, percent: int) -> DataFrame:
+def shared_keys(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """(key, rows) of the keys that several classes have."""
 
     def run(batches):
@@ -151,7 +166,7 @@ def shared_keys(pairs: DataFrame, sketch, size: int, percent: int) -> DataFrame:
         keys, names, held = [], [], 0
         for _, _, found in _sets(batches, size):
             if len(found) and seen.first_time(name := digest(found)):
-                keys.append(prefix(found, sketch.value, percent))
+                keys.append(segment_keys(found, percent))
                 names.append(name)
                 held += len(keys[-1])
             if held >= 200_000:
@@ -170,26 +185,37 @@ def _key_rows(keys, names):
     return pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner)], names=["key", "class"])
 
 
-def class_keys(pairs: DataFrame, sketch, shared: DataFrame, size: int, percent: int) -> DataFrame:
-    """(class, n, signature, keys): classes with a key that others may have too; copies of a class
-    that tasks met apart are rows of their own."""
-    field = pairs.sparkSession.sparkContext.broadcast(bit_field(shared, "key"))
+def class_keys(pairs: DataFrame, shared: DataFrame, size: int, percent: int) -> DataFrame:
+    """(class, n, signature, keys, wide, shingles): classes with a key that others may have too; copies of a
+    class that tasks met apart are rows of their own."""
+    field = pairs.sparkSession.sparkContext.broadcast(bit_field(shared, "key", _field_bits(shared.count())))
 
     def run(batches):
-        seen, rows = _Seen(), []
+        seen, rows, held = _Seen(), [], 0
         for _, _, found in _sets(batches, size):
             if len(found) and seen.first_time(name := digest(found)):
-                keys = prefix(found, sketch.value, percent)
+                keys = segment_keys(found, percent)
                 keys = keys[may_hold(field.value, keys)].view(np.int64)
                 if len(keys):
-                    rows.append((name, len(found), bitmap(found, SIGNATURE).tobytes(), keys.tolist()))
-            if len(rows) == 2_000:
+                    bits = max(SIGNATURE, 1 << int(WIDE * len(found) - 1).bit_length())
+                    rows.append((
+                        name, len(found), bitmap(found, SIGNATURE).tobytes(), np.sort(keys).tolist(),
+                        bitmap(found, bits).tobytes(), found.tobytes(),
+                    ))
+                    held += len(found)
+            if held >= 200_000:
                 yield _made(rows, _CLASS)
-                rows = []
+                rows, held = [], 0
         if rows:
             yield _made(rows, _CLASS)
 
-    return settle(pairs.mapInArrow(run, "class long, n long, signature binary, keys array<long>"))
+    columns = "class long, n long, signature binary, keys array<long>, wide binary, shingles binary"
+    return settle(pairs.mapInArrow(run, columns))
+
+
+def _field_bits(values: int) -> int:
+    """Places of a bit field for so many values: 8 to 32 MB."""
+    return min(max(1 << 26, 1 << (8 * values).bit_length()), 1 << 28)
 
 
 def with_parts(rows: DataFrame, crowded: DataFrame) -> DataFrame:
@@ -201,7 +227,10 @@ def with_parts(rows: DataFrame, crowded: DataFrame) -> DataFrame:
     )
 
 
-_CLASS = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("keys", pa.list_(pa.int64()))])
+_CLASS = pa.schema([
+    ("class", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("keys", pa.list_(pa.int64())),
+    ("wide", pa.binary()), ("shingles", pa.binary()),
+])
 
 
 class Rows:
@@ -211,7 +240,7 @@ class Rows:
         def numbers(name):
             return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False).astype(np.int64)
 
-        self.cell, self.key, self.crowded = numbers("cell"), numbers("key"), numbers("parts") > 1
+        self.cell, self.key = numbers("cell"), numbers("key")
         self.name, self.n, self.label = numbers("class"), numbers("n"), numbers("label")
         raw = b"".join(batch.column(batch.schema.get_field_index("signature")).to_pylist())
         self.bits = np.frombuffer(raw, np.uint64).reshape(-1, SIGNATURE // 64)
@@ -232,21 +261,17 @@ class Rows:
 
 
 def near_pairs(rows: Rows):
-    """Pairs of each row with the first row of its cell and those just before it; and which rows are
-    of keys that have more pairs."""
+    """Pairs of each row with the first row of its cell and those just before it."""
     new = np.concatenate([[True], rows.cell[1:] != rows.cell[:-1]])
-    starts = np.flatnonzero(new)
-    number = np.cumsum(new) - 1
-    begin, place = starts[number], np.arange(len(rows.cell))
+    begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+    place = np.arange(len(rows.cell))
     found = []
     for step in range(1, NEIGHBOURS):
         j = place[place - begin >= step]
         found.append((j - step, j))
     j = place[place - begin >= NEIGHBOURS]
     found.append((begin[j], j))
-    sizes = np.diff(np.append(starts, len(rows.cell)))
-    i, j = (np.concatenate(x) for x in zip(*found))
-    return i, j, rows.crowded | (sizes[number] > NEIGHBOURS + 1)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 class Tree:
@@ -318,42 +343,36 @@ def _cells(batches):
 
 
 def _whole(table: pa.Table) -> Rows:
-    """Cells numbered from 0, as equal numbers occur under several keys."""
-    rows = Rows(table.combine_chunks().to_batches()[0])
+    """Each class of a cell once; cells numbered from 0, as equal numbers occur under several keys."""
+    place = np.stack([table.column(c).to_numpy() for c in ("key", "cell", "class")])
+    again = np.concatenate([[False], (place[:, 1:] == place[:, :-1]).all(axis=0)])
+    rows = Rows(table.filter(pa.array(~again)).combine_chunks().to_batches()[0])
     new = (rows.cell[1:] != rows.cell[:-1]) | (rows.key[1:] != rows.key[:-1])
     rows.cell = np.concatenate([[0], np.cumsum(new)])
     return rows
 
 
 def _candidates(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """(a, b, key): pairs of classes; or, with these missing, a key that was not traversed whole."""
+    """(a, b): pairs of classes of a cell that bits and sizes allow; of each row and its neighbours, or of all."""
 
     def run(batches):
         for some in _cells(batches):
-            found, left = [], np.zeros(0, np.int64)
             if whole:
                 edges = np.append(np.flatnonzero(np.concatenate([[True], some.cell[1:] != some.cell[:-1]])), len(some.cell))
-                chunks_ = (c for b, e in zip(edges[:-1], edges[1:]) for c in Tree(some, b, e).pairs(percent))
+                parts = (c for b, e in zip(edges[:-1], edges[1:]) for c in Tree(some, b, e).pairs(percent))
             else:
-                i, j, left = near_pairs(some)
-                left = np.unique(some.key[left])
-                chunks_ = ((i[at : at + 65536], j[at : at + 65536]) for at in range(0, len(i), 65536))
-            for i, j in chunks_:
+                i, j = near_pairs(some)
+                parts = ((i[at : at + 65536], j[at : at + 65536]) for at in range(0, len(i), 65536))
+            found = [np.zeros((2, 0), np.int64)]
+            for i, j in parts:
                 keep = some.similar(i, j, percent)
                 a, b = some.name[i[keep]], some.name[j[keep]]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-            yield pa.record_batch(
-                [
-                    *[pa.concat_arrays([pa.array(p), pa.nulls(len(left), pa.int64())]) for p in pairs],
-                    pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(left)]),
-                ],
-                names=["a", "b", "key"],
-            )
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.record_batch([pa.array(p) for p in pairs], names=["a", "b"])
 
     ordered = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "class")
-    columns = ordered.select("key", "cell", "parts", "class", "n", "label", "signature")
-    return columns.mapInArrow(run, "a long, b long, key long")
+    return ordered.select("key", "cell", "class", "n", "label", "signature").mapInArrow(run, "a long, b long")
 
 
 def crowded_cells(rows: DataFrame, crowded: DataFrame) -> DataFrame:
@@ -383,45 +402,6 @@ def crowded_cells(rows: DataFrame, crowded: DataFrame) -> DataFrame:
     return joined.withColumn("group", group).withColumn("cell", F.explode(cells))
 
 
-def class_sets(pairs: DataFrame, documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(class, n, wide, shingles) of at least the ``wanted`` classes.
-
-    Each is made from the text of its first document, which a bit field marks,
-    so the sets need no shuffle to be made once; a few more rows do no harm.
-    """
-    first = documents.join(wanted.distinct(), "class", "left_semi").groupBy("class").agg(F.min(F.coalesce("doc", "class")).alias("doc"))
-    first = settle(first)
-    context = pairs.sparkSession.sparkContext
-    classes, docs = context.broadcast(bit_field(first, "class")), context.broadcast(bit_field(first, "doc"))
-
-    def run(batches):
-        seen, rows, held = _Seen(), [], 0
-        for batch, i, found in _sets(batches, size):
-            if not len(found):
-                continue
-            name = digest(found)
-            doc = batch.column(0)[i].as_py()
-            marked = _marked(classes.value, name) and _marked(docs.value, name if doc is None else doc)
-            if marked and seen.first_time(name):
-                bits = max(SIGNATURE, 1 << int(WIDE * len(found) - 1).bit_length())
-                rows.append((name, len(found), bitmap(found, bits).tobytes(), found.tobytes()))
-                held += len(found)
-            if held >= 500_000:
-                yield _made(rows, _SET)
-                rows, held = [], 0
-        if rows:
-            yield _made(rows, _SET)
-
-    return settle(pairs.mapInArrow(run, "class long, n long, wide binary, shingles binary"))
-
-
-def _marked(field: np.ndarray, value: int) -> bool:
-    return bool(may_hold(field, np.array([value], np.int64).view(np.uint64))[0])
-
-
-_SET = pa.schema([("class", pa.int64()), ("n", pa.int64()), ("wide", pa.binary()), ("shingles", pa.binary())])
-
-
 def wide_overlap(n: int, a: bytes, m: int, b: bytes) -> int:
     """Most shingles that sets with these bitmaps can share."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -452,6 +432,7 @@ def checked(pairs: DataFrame, sets: DataFrame, column: str, overlap, percent: in
             yield batch.filter(pa.array(may_hold(field.value, batch.column(0).to_numpy().view(np.uint64))))
 
     some = sets.select("class", "n", column).mapInArrow(needed, f"class long, n long, `{column}` binary")
+    some = some.dropDuplicates(["class"])
     left = some.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("of_a"))
     right = some.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("of_b"))
 
@@ -479,38 +460,34 @@ def _labelled(rows: DataFrame, labels: DataFrame, name: str, label: str) -> Data
     return rows.join(known, name, "left").withColumn(label, F.coalesce(label, name))
 
 
-def class_links(
-    pairs: DataFrame, documents: DataFrame, sketch: np.ndarray, size: int, percent: int
-) -> DataFrame:
+def class_links(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes: all that their components need."""
-    sketch = pairs.sparkSession.sparkContext.broadcast(sketch)
-    shared = shared_keys(pairs, sketch, size, percent)
+    shared = shared_keys(pairs, size, percent)
     crowded = settle(shared.where(F.col("rows") > CELL_ROWS))
-    classes = class_keys(pairs, sketch, shared, size, percent)
-
-    rows = with_parts(classes.select("class", "n", "signature", F.explode("keys").alias("key")), crowded)
-    alone = rows.withColumn("label", F.col("class")).withColumn("cell", F.col("part"))
-    found = settle(_candidates(alone, percent, whole=False))
-    near = settle(found.where("b is not null").select("a", "b").distinct())
-    open_keys = found.where("key is not null").select("key").distinct()
-    left = settle(classes.select("class", F.explode("keys").alias("key")).join(open_keys, "key", "left_semi").distinct())
-    wanted = near.select(F.col("a").alias("class")).union(near.select("b")).union(left.select("class"))
-    sets = class_sets(pairs, documents, wanted, size)
+    classes = class_keys(pairs, shared, size, percent)
 
     def exact(some):
-        return checked(some, sets, "shingles", set_overlap, percent)
+        return checked(some, classes, "shingles", set_overlap, percent)
 
     def similar(some):
-        return exact(checked(some, sets, "wide", wide_overlap, percent))
+        return exact(checked(some, classes, "wide", wide_overlap, percent))
 
+    first = classes.select("class", "n", "signature", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key"))
+    alone = with_parts(first, crowded).withColumn("label", F.col("class")).withColumn("cell", F.col("part"))
+    near = settle(_candidates(alone, percent, whole=False).distinct())
     # one partner of each class first: that joins most copies, and spares most other checks
     links = exact(near.groupBy("b").agg(F.min("a").alias("a")))
     links = settle(links.union(similar(_apart(near, links))))
 
     labels = settle(components(links))
-    open_rows = crowded_cells(_labelled(left, labels, "class", "label"), crowded)
-    signed = classes.select("class", "n", "signature").dropDuplicates(["class"])
-    still = _candidates(open_rows.join(signed, "class"), percent, whole=True).select("a", "b").distinct()
+    labelled = settle(_labelled(classes.select("class", "keys"), labels, "class", "label"))
+    keyed = labelled.select("class", "label", F.explode("keys").alias("key"))
+    open_keys = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    open_keys = settle(open_keys.where("low < high").select("key"))
+    left = settle(keyed.join(open_keys, "key", "left_semi").distinct())
+    signed = classes.select("class", "n", "signature").join(left.select("class").distinct(), "class", "left_semi")
+    open_rows = crowded_cells(left, crowded).join(signed.dropDuplicates(["class"]), "class")
+    still = _candidates(open_rows, percent, whole=True).distinct()
     return links.union(similar(still))
 
 
@@ -519,13 +496,16 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, and component_id, the smallest id it reaches by links."""
     pairs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    documents, sketch = document_sets(docs, doc_id, text, size)
-    labels = settle(components(class_links(pairs, documents, sketch, size, percent)))
-
+    documents = document_sets(docs, doc_id, text, size)
+    before = written_paths()
+    labels = settle(components(class_links(pairs, size, percent)))
     classes = documents.where("class is not null").groupBy("class").agg(F.min("doc").alias("least"))
     labelled = settle(_labelled(classes, labels, "class", "label"))
     roots = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    used = [p for p in written_paths() if p not in set(before)]
     named = settle(labelled.join(roots, "label").select("class", "component_id"))
+    drop_paths(docs.sparkSession, used)
+
     joined = documents.join(named, "class", "left")
     own = F.when(F.col("class").isNull(), F.col("doc")).otherwise(F.col("component_id"))
     return joined.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -98,9 +98,9 @@ def test_trees_find_what_all_pairs_find():
     sets.sort(key=len)
     n = len(sets)
     batch = pa.record_batch(
-        [pa.array([0] * n), pa.array([0] * n), pa.array([1] * n), pa.array(range(n)), pa.array([len(s) for s in sets]),
+        [pa.array([0] * n), pa.array([0] * n), pa.array(range(n)), pa.array([len(s) for s in sets]),
          pa.array(range(n)), pa.array([jaccard_join.bitmap(s, jaccard_join.SIGNATURE).tobytes() for s in sets])],
-        names=["key", "cell", "parts", "class", "n", "label", "signature"],
+        names=["key", "cell", "class", "n", "label", "signature"],
     )
     rows = jaccard_join.Rows(batch)
     got = set()
@@ -116,15 +116,30 @@ def test_trees_find_what_all_pairs_find():
     assert sum(len(i) for i, _ in jaccard_join.Tree(rows, 0, n).pairs(80)) == 0
 
 
-def test_prefixes_of_similar_sets_meet():
-    rnd = np.random.default_rng(1)
-    sketch = rnd.integers(0, 50, 1 << jaccard_join.SKETCH_BITS)
-    for _ in range(200):
-        a = np.unique(rnd.integers(0, 2**63, rnd.integers(1, 80)).astype(np.uint64))
-        b = np.unique(np.concatenate([a[rnd.random(len(a)) > 0.1], rnd.integers(0, 2**63, 3).astype(np.uint64)]))
+@pytest.mark.parametrize("percent", [50, 80, 85, 99])
+def test_similar_sets_share_a_key(percent):
+    rnd = np.random.default_rng(percent)
+    met = 0
+    for _ in range(3000):
+        a = np.unique(rnd.integers(0, 2**64, rnd.integers(1, 12) ** 2, dtype=np.uint64))
+        most = max(1, int(len(a) * (100 - percent) / 100))
+        kept = rnd.permutation(a)[rnd.integers(0, most + 1) :]
+        b = np.unique(np.concatenate([kept, rnd.integers(0, 2**64, rnd.integers(0, most + 1), dtype=np.uint64)]))
         both = len(np.intersect1d(a, b))
-        if 100 * both >= 80 * (len(a) + len(b) - both):
-            assert len(np.intersect1d(jaccard_join.prefix(a, sketch, 80), jaccard_join.prefix(b, sketch, 80)))
+        if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
+            met += 1
+            keys = [jaccard_join.segment_keys(x, percent) for x in (a, b)]
+            assert len(np.intersect1d(*keys))
+            assert all(len(k) <= 4 + 6 * len(x) for k, x in zip(keys, (a, b)))
+    assert met > 500
+
+
+def test_a_shared_passage_is_no_key():
+    rnd = np.random.default_rng(5)
+    passage = rnd.integers(0, 2**64, 60, dtype=np.uint64)
+    texts = [np.unique(np.concatenate([passage, rnd.integers(0, 2**64, 240, dtype=np.uint64)])) for _ in range(60)]
+    keys = np.concatenate([jaccard_join.segment_keys(t, 85) for t in texts])
+    assert len(np.unique(keys)) > 0.99 * len(keys)
 
 
 def test_bounds_never_fall_below_the_overlap():
