@@ -16,11 +16,12 @@ by chance:
    threshold needs, and those that are in one component already.
 4. Pairs that are left are checked with larger bitmaps, then with the sets.
 
-Step 3 runs twice. First, under the ``FIRST_KEYS`` smallest of its shared keys, each
+Step 3 runs several times. First, under the ``FIRST_KEYS`` smallest of its shared keys, each
 row is compared with ``NEIGHBOURS`` rows only, and of the pairs found, one for
 each class is checked, then the rest without those that these have joined. That
-joins most copies at a cost that grows with the rows. Then all keys that hold several
-components still are traversed whole. Keys with many rows are dealt to cells of
+joins most copies at a cost that grows with the rows. Then the keys that hold several
+components are traversed, ``BEST_ROUNDS`` times for the pair of each row that may be
+most similar, which is checked and joins more, and at last for all pairs of what is still apart. Keys with many rows are dealt to cells of
 bounded size: the rows of the key's largest component are spread, the others go
 along with each part. Nothing is sampled or cut off.
 
@@ -49,7 +50,9 @@ SIGNATURE = 1024  # bits of a token bitmap in a tree
 WIDE = 8  # bits per shingle of the larger bitmaps
 LEAF, FAN = 16, 8  # rows of a leaf, children of a node
 NEIGHBOURS = 3  # rows of its cell with which a row is compared first: the cell's first and those before it
+BEST_ROUNDS = 1  # traversals for the best partner of each row before the one for all
 CELL_ROWS = 1024
+PAIRS = 1_000_000  # pairs that a task holds to hand on each once
 ROW = "__row"  # column of row keys while one row of each component is chosen
 SEEN_CLASSES = 200_000  # classes of which a task remembers that it has handed them on
 
@@ -246,18 +249,19 @@ class Rows:
         self.bits = np.frombuffer(raw, np.uint64).reshape(-1, SIGNATURE // 64)
         self.surplus = self.n - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
 
-    def similar(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-        """Which pairs of rows may be as similar as asked and are not in one component."""
+    def similar(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of rows that may be as similar as asked and are not in one component, and by how
+        large a part of their sizes the largest possible overlap is more than needed."""
         keep = self.label[i] != self.label[j]
         n, m = self.n[i], self.n[j]
         keep &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-        at = np.flatnonzero(keep)
-        a, b = self.bits[i[at]], self.bits[j[at]]
+        i, j, n, m = i[keep], j[keep], n[keep], m[keep]
+        a, b = self.bits[i], self.bits[j]
         lost = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
         also = np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
-        most = np.minimum(n[at] - lost, m[at] - also)
-        keep[at] = most >= _needed(n[at], m[at], percent)
-        return keep
+        more = np.minimum(n - lost, m - also) - _needed(n, m, percent)
+        keep = more >= 0
+        return i[keep], j[keep], (more / (n + m))[keep]
 
 
 def near_pairs(rows: Rows):
@@ -352,29 +356,69 @@ def _whole(table: pa.Table) -> Rows:
     return rows
 
 
-def _candidates(rows: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """(a, b): pairs of classes of a cell that bits and sizes allow; of each row and its neighbours, or of all."""
+def _best(i: np.ndarray, j: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows, the one with the highest score of each row."""
+    row, other = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.lexsort((other, -np.concatenate([score, score]), row))
+    row, other = row[order], other[order]
+    first = np.concatenate([[True], row[1:] != row[:-1]])[: len(row)]
+    return row[first], other[first]
+
+
+def _allowed(some: Rows, percent: int, mode: str):
+    """Pairs of rows, some at a time, that sizes and bits allow."""
+    if mode == "near":
+        i, j = near_pairs(some)
+        for at in range(0, len(i), 65536):
+            yield some.similar(i[at : at + 65536], j[at : at + 65536], percent)[:2]
+        return
+    edges = np.append(np.flatnonzero(np.concatenate([[True], some.cell[1:] != some.cell[:-1]])), len(some.cell))
+    for begin, end in zip(edges[:-1], edges[1:]):
+        found = (some.similar(i, j, percent) for i, j in Tree(some, begin, end).pairs(percent))
+        if mode == "best":
+            if found := list(found):
+                yield _best(*(np.concatenate(x) for x in zip(*found)))
+        else:
+            yield from (f[:2] for f in found)
+
+
+def _candidates(rows: DataFrame, percent: int, mode: str) -> DataFrame:
+    """(a, b): pairs of classes that meet in a cell and that sizes and bits allow: of each row and its
+    neighbours ("near"), of each row and the one that may be most similar to it ("best"), or "all".
+
+    A task hands a pair on once for every ``PAIRS`` that it finds, under however many keys it finds it.
+    """
 
     def run(batches):
+        held, count = [], 0
         for some in _cells(batches):
-            if whole:
-                edges = np.append(np.flatnonzero(np.concatenate([[True], some.cell[1:] != some.cell[:-1]])), len(some.cell))
-                parts = (c for b, e in zip(edges[:-1], edges[1:]) for c in Tree(some, b, e).pairs(percent))
-            else:
-                i, j = near_pairs(some)
-                parts = ((i[at : at + 65536], j[at : at + 65536]) for at in range(0, len(i), 65536))
-            found = [np.zeros((2, 0), np.int64)]
-            for i, j in parts:
-                keep = some.similar(i, j, percent)
-                a, b = some.name[i[keep]], some.name[j[keep]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.record_batch([pa.array(p) for p in pairs], names=["a", "b"])
+            for i, j in _allowed(some, percent, mode):
+                a, b = some.name[i], some.name[j]
+                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+                count += len(a)
+                if count >= PAIRS:
+                    held = [_distinct(held)]
+                    count = held[0].shape[1]
+                    if count >= PAIRS // 2:
+                        yield _pair_batch(held[0])
+                        held, count = [], 0
+        if held:
+            yield _pair_batch(_distinct(held))
 
     ordered = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "class")
     return ordered.select("key", "cell", "class", "n", "label", "signature").mapInArrow(run, "a long, b long")
 
 
+def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    both = np.concatenate(pairs, axis=1)
+    both = both[:, np.lexsort(both)]
+    return both[:, np.concatenate([[True], (both[:, 1:] != both[:, :-1]).any(axis=0)])[: both.shape[1]]]
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(p) for p in pairs], names=["a", "b"])
+
+
 def crowded_cells(rows: DataFrame, crowded: DataFrame) -> DataFrame:
     """``rows`` (key, class, label) dealt to cells so that any two rows of a key that have different
     labels meet in one. Keys with one label only are left out."""
@@ -472,13 +516,23 @@ def class_links(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     def similar(some):
         return exact(checked(some, classes, "wide", wide_overlap, percent))
 
+    def joined(links, near):
+        # one partner of each class first: that joins most copies, and spares most other checks
+        some = exact(near.groupBy("b").agg(F.min("a").alias("a")))
+        links = settle(links.union(some)) if links is not None else some
+        return settle(links.union(similar(_apart(near, links))))
+
     first = classes.select("class", "n", "signature", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key"))
     alone = with_parts(first, crowded).withColumn("label", F.col("class")).withColumn("cell", F.col("part"))
-    near = settle(_candidates(alone, percent, whole=False).distinct())
-    # one partner of each class first: that joins most copies, and spares most other checks
-    links = exact(near.groupBy("b").agg(F.min("a").alias("a")))
-    links = settle(links.union(similar(_apart(near, links))))
+    links = joined(None, settle(_candidates(alone, percent, "near").distinct()))
+    for _ in range(BEST_ROUNDS):
+        links = joined(links, settle(_candidates(open_cells(classes, links, crowded), percent, "best").distinct()))
+    still = _candidates(open_cells(classes, links, crowded), percent, "all").distinct()
+    return links.union(similar(still))
 
+
+def open_cells(classes: DataFrame, links: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Rows of the keys under which classes of several components meet, dealt to cells."""
     labels = settle(components(links))
     labelled = settle(_labelled(classes.select("class", "keys"), labels, "class", "label"))
     keyed = labelled.select("class", "label", F.explode("keys").alias("key"))
@@ -486,9 +540,7 @@ def class_links(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     open_keys = settle(open_keys.where("low < high").select("key"))
     left = settle(keyed.join(open_keys, "key", "left_semi").distinct())
     signed = classes.select("class", "n", "signature").join(left.select("class").distinct(), "class", "left_semi")
-    open_rows = crowded_cells(left, crowded).join(signed.dropDuplicates(["class"]), "class")
-    still = _candidates(open_rows, percent, whole=True).distinct()
-    return links.union(similar(still))
+    return crowded_cells(left, crowded).join(signed.dropDuplicates(["class"]), "class")
 
 
 def near_duplicates(
