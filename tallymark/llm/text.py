@@ -27,6 +27,7 @@ _BYTES = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
 _ROOT, _ROOT_INVERSE = _MIX[0], np.uint64(pow(int(_MIX[0]), -1, 2**64))
+BLOCK = 1 << 19  # bytes or words whose hashes are made at once
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -71,19 +72,42 @@ def one_by_one(texts):
 
 
 def _hashes(parts: list[bytes], lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all parts and where each part's begin.
+
+    The bytes are taken in blocks, so that memory beside the texts and hashes does not grow with a text.
+    A word that a block's end cuts is carried on: its sum so far, times no power, and the next block's
+    times the power of the bytes before it.
+    """
     joined = b"\n".join(parts) + b"\n"
     raw = np.frombuffer(joined.lower() if lower else joined, np.uint8)
     ends_of_texts = np.cumsum([len(p) + 1 for p in parts])
-    space = _IS_SPACE[raw]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.concatenate([[0], edge])
-    starts, ends = edge[0::2], edge[1::2]
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * up[: len(raw)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.concatenate([[0], np.searchsorted(starts, ends_of_texts)])
+    up, down = _powers(min(len(raw), BLOCK) + 1)
+    hashes, places = [], []
+    begun, before = 0, None
+    for at in range(0, len(raw), BLOCK):
+        part = raw[at : at + BLOCK]
+        space = np.ones(len(part) + 2, bool)
+        space[1:-1] = _IS_SPACE[part]
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        starts, ends = edge[0::2], edge[1::2]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTES[part] * up[: len(part)], out=total[1:])
+        sums = (total[ends] - total[starts]) * down[starts]
+        starts, ends = starts + at, ends + at
+        if before is not None:
+            if space[1]:
+                sums, starts, ends = (np.concatenate(x) for x in ((before, sums), ([begun], starts), ([at], ends)))
+            else:
+                sums[:1] = before + sums[:1] * np.uint64(pow(int(_ROOT), at - begun, 2**64))
+                starts[0] = begun
+            before = None
+        if not space[-2]:  # never at the end of all bytes, which is white space
+            begun, before = int(starts[-1]), sums[-1:]
+            sums, starts, ends = sums[:-1], starts[:-1], ends[:-1]
+        hashes.append(mix(sums + (ends - starts).astype(np.uint64)))
+        places.append(starts)
+    starts = np.concatenate(places)
+    return np.concatenate(hashes), np.concatenate([[0], np.searchsorted(starts, ends_of_texts)])
 
 
 def sequences(words: np.ndarray, size: int) -> np.ndarray:
@@ -91,7 +115,11 @@ def sequences(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(words) + 1, np.uint64)
-    up, down = _powers(len(words) + 1)
-    np.cumsum(words * up[: len(words)], out=total[1:])
-    return mix((total[size:] - total[:-size]) * down[:n])
+    out = np.empty(n, np.uint64)
+    up, down = _powers(min(n, BLOCK) + size)
+    for at in range(0, n, BLOCK):
+        part = words[at : at + BLOCK + size - 1]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=total[1:])
+        out[at : at + BLOCK] = mix((total[size:] - total[:-size]) * down[: len(part) - size + 1])
+    return out
