@@ -28,6 +28,11 @@ def bit_field(values: DataFrame, column: str, bits: int = 1 << 26) -> np.ndarray
     return field
 
 
+def field_bits(values: int) -> int:
+    """Places of a bit field for so many values: 8 to 32 MB."""
+    return min(max(1 << 26, 1 << (8 * values).bit_length()), 1 << 28)
+
+
 def may_hold(field: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which unsigned 64-bit ``values`` may be in the set."""
     place = values & np.uint64(field.size * 8 - 1)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -68,10 +69,38 @@ def test_random_passages(spark, seed):
 def test_a_full_bit_field_changes_nothing(spark, monkeypatch):
     docs = frame(spark, extra=False)
     expected = found(docs, 5)
-    monkeypatch.setattr(substrings, "bit_field", lambda values, column: np.full(8, 255, np.uint8))
+    monkeypatch.setattr(substrings, "bit_field", lambda values, column, bits: np.full(8, 255, np.uint8))
     assert found(docs, 5) == expected
 
 
+def test_more_shared_anchors_than_a_field_takes(spark, monkeypatch):
+    docs = frame(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    monkeypatch.setattr(substrings, "FIELD_VALUES", 0)
+    monkeypatch.setattr(substrings, "bit_field", None)
+    assert found(docs, 5) == brute(rows, 5)
+    marked, marks = substrings.with_marks(docs.selectExpr("doc_id as id", "xxhash64(text) as key", "text"), 50)
+    # only windows whose anchor another document has are handed on: none of the text that stands alone
+    windows = substrings.repeated_windows(marked, marks, 50)
+    assert windows.where("id = 6").isEmpty() and not windows.isEmpty()
+
+
+def test_many_rows_of_one_id(spark):
+    passage = [f"p{i}" for i in range(8)]
+    rows = [(1, " ".join(passage), None, None)]
+    rows += [(2, " ".join([f"a{i}", *passage[i % 5 :], f"b{i}"]), None, None) for i in range(200)] + rows * 3
+    docs = frame(spark, rows, extra=False)
+    assert found(docs, 4) == brute([(r[0], r[1]) for r in rows], 4)
+
+
+def test_windows_with_equal_hashes_are_told_apart(spark, monkeypatch):
+    a, b = " ".join("abcdefgh"), " ".join("abcdefgi")
+    docs = frame(spark, [(1, a, None, None), (2, b, None, None), (3, a, None, None)], extra=False)
+    w = np.array([1, 2, 3, 4], np.uint64)
+    assert len(np.unique(substrings.checks(w, 2))) == 3 and substrings.checks(w, 2).dtype == np.int32
+    assert found(docs, 8) == brute([(1, a), (2, b), (3, a)], 8)
+
+
 def test_bit_field(spark):
     values = [-(2**63), -1, 0, 1, 5, 32767, 32768, 2**62]
     rows = spark.createDataFrame([(v,) for v in values], "v long")
@@ -105,6 +134,28 @@ def test_word_hashes():
     assert lower.tolist() == next(text.chunks(["a É"], lower=False))[1].tolist()
 
 
+def test_words_across_blocks(monkeypatch):
+    texts = ["a bc def " * 5, None, "x" * 40, "", " tail", "y" * 7 + " z", "ends " + "w" * 16]
+    whole = [(h.tolist(), at.tolist()) for _, h, at in text.chunks(texts, lower=False)]
+    runs = {n: text.sequences(np.arange(50, dtype=np.uint64), n).tolist() for n in (1, 3, 20, 50)}
+    for block in (1, 2, 3, 7, 8, 16):
+        monkeypatch.setattr(text, "BLOCK", block)
+        assert [(h.tolist(), at.tolist()) for _, h, at in text.chunks(texts, lower=False)] == whole
+        assert {n: text.sequences(np.arange(50, dtype=np.uint64), n).tolist() for n in runs} == runs
+
+
+def test_memory_beside_a_long_text_does_not_grow():
+    long = "word " * 4_000_000
+    tracemalloc.start()
+    for _, words, _ in text.chunks([long], lower=False):
+        held = words.nbytes
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # the encoded text twice or so, hashes and places of words, each twice while they are joined
+    assert peak < 4 * len(long) + 4 * held + 100 * text.BLOCK
+    assert len(text._POWERS[0]) <= 4 * text.BLOCK
+
+
 def test_sequences():
     w = np.array([1, 2, 3, 1, 2, 3, 9], np.uint64)
     runs = text.sequences(w, 3)
