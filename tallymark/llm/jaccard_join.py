@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators.settle import drop_paths, settle, written_paths
+from ..operators.settle import drop_paths, settings, settle, written_paths
 from .components import components
 from .marks import bit_field, may_hold
 from .text import chunks, mix, sequences
@@ -52,6 +52,7 @@ LEAF, FAN = 16, 8  # rows of a leaf, children of a node
 NEIGHBOURS = 3  # rows of its cell with which a row is compared first: the cell's first and those before it
 BEST_ROUNDS = 1  # traversals for the best partner of each row before the one for all
 CELL_ROWS = 1024
+BATCH_BYTES = 2 << 20  # bytes of texts or sets that go to Python at once, or one row's
 PAIRS = 1_000_000  # pairs that a task holds to hand on each once
 ROW = "__row"  # column of row keys while one row of each component is chosen
 SEEN_CLASSES = 200_000  # classes of which a task remembers that it has handed them on
@@ -156,6 +157,12 @@ def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
+def wide_bitmap(shingles: bytes) -> bytes:
+    """The larger bitmap of a set."""
+    found = np.frombuffer(shingles, np.uint64)
+    return bitmap(found, max(SIGNATURE, 1 << int(WIDE * len(found) - 1).bit_length())).tobytes()
+
+
 def _needed(n, m, percent):
     """Smallest overlap of sets of these sizes that are as similar as asked."""
     return -(-percent * (n + m) // (100 + percent))
@@ -189,7 +196,7 @@ def _key_rows(keys, names):
 
 
 def class_keys(pairs: DataFrame, shared: DataFrame, size: int, percent: int) -> DataFrame:
-    """(class, n, signature, keys, wide, shingles): classes with a key that others may have too; copies of a
+    """(class, n, signature, keys, shingles): classes with a key that others may have too; copies of a
     class that tasks met apart are rows of their own."""
     field = pairs.sparkSession.sparkContext.broadcast(bit_field(shared, "key", _field_bits(shared.count())))
 
@@ -200,11 +207,8 @@ def class_keys(pairs: DataFrame, shared: DataFrame, size: int, percent: int) ->
                 keys = segment_keys(found, percent)
                 keys = keys[may_hold(field.value, keys)].view(np.int64)
                 if len(keys):
-                    bits = max(SIGNATURE, 1 << int(WIDE * len(found) - 1).bit_length())
-                    rows.append((
-                        name, len(found), bitmap(found, SIGNATURE).tobytes(), np.sort(keys).tolist(),
-                        bitmap(found, bits).tobytes(), found.tobytes(),
-                    ))
+                    signature = bitmap(found, SIGNATURE).tobytes()
+                    rows.append((name, len(found), signature, np.sort(keys).tolist(), found.tobytes()))
                     held += len(found)
             if held >= 200_000:
                 yield _made(rows, _CLASS)
@@ -212,8 +216,10 @@ def class_keys(pairs: DataFrame, shared: DataFrame, size: int, percent: int) ->
         if rows:
             yield _made(rows, _CLASS)
 
-    columns = "class long, n long, signature binary, keys array<long>, wide binary, shingles binary"
-    return settle(pairs.mapInArrow(run, columns))
+    columns = "class long, n long, signature binary, keys array<long>, shingles binary"
+    found = settle(pairs.mapInArrow(run, columns))
+    field.destroy()
+    return found
 
 
 def _field_bits(values: int) -> int:
@@ -232,7 +238,7 @@ def with_parts(rows: DataFrame, crowded: DataFrame) -> DataFrame:
 
 _CLASS = pa.schema([
     ("class", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("keys", pa.list_(pa.int64())),
-    ("wide", pa.binary()), ("shingles", pa.binary()),
+    ("shingles", pa.binary()),
 ])
 
 
@@ -460,8 +466,8 @@ def set_overlap(n: int, a: bytes, m: int, b: bytes) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def checked(pairs: DataFrame, sets: DataFrame, column: str, overlap, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets can be as similar as asked, by ``overlap`` of their ``column``s.
+def checked(pairs: DataFrame, sets: DataFrame, percent: int, overlap, form=None) -> DataFrame:
+    """The pairs (a, b) whose sets can be as similar as asked, by ``overlap`` of the sets or of what ``form`` makes of each.
 
     Only the sets of classes in ``pairs`` are shuffled: a bit field of fixed size tells them.
     """
@@ -473,12 +479,16 @@ def checked(pairs: DataFrame, sets: DataFrame, column: str, overlap, percent: in
 
     def needed(batches):
         for batch in batches:
-            yield batch.filter(pa.array(may_hold(field.value, batch.column(0).to_numpy().view(np.uint64))))
+            some = batch.filter(pa.array(may_hold(field.value, batch.column(0).to_numpy().view(np.uint64))))
+            if form:
+                made = pa.array([form(s.as_py()) for s in some.column(2)], pa.binary())
+                some = pa.record_batch([some.column(0), some.column(1), made], names=some.schema.names)
+            yield some
 
-    some = sets.select("class", "n", column).mapInArrow(needed, f"class long, n long, `{column}` binary")
+    some = sets.select("class", "n", "shingles").mapInArrow(needed, "class long, n long, shingles binary")
     some = some.dropDuplicates(["class"])
-    left = some.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("of_a"))
-    right = some.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("of_b"))
+    left = some.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
+    right = some.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
 
     def run(batches):
         for batch in batches:
@@ -489,12 +499,13 @@ def checked(pairs: DataFrame, sets: DataFrame, column: str, overlap, percent: in
                 keep += [overlap(*v) >= _needed(v[0], v[2], percent) for v in zip(n, x, m, y)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return settle(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct())
+    found = settle(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct())
+    field.destroy()
+    return found
 
 
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """The pairs whose classes ``links`` have not joined."""
-    labels = settle(components(links))
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose classes have different labels."""
     both = _labelled(_labelled(pairs, labels, "a", "label_a"), labels, "b", "label_b")
     return settle(both.where("label_a <> label_b").select("a", "b"))
 
@@ -504,6 +515,11 @@ def _labelled(rows: DataFrame, labels: DataFrame, name: str, label: str) -> Data
     return rows.join(known, name, "left").withColumn(label, F.coalesce(label, name))
 
 
+def _stars(labels: DataFrame) -> DataFrame:
+    """Links (a, b) that give these labels: of each class to its label, in place of all that led to it."""
+    return labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
 def class_links(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) between classes: all that their components need."""
     shared = shared_keys(pairs, size, percent)
@@ -511,29 +527,31 @@ def class_links(pairs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = class_keys(pairs, shared, size, percent)
 
     def exact(some):
-        return checked(some, classes, "shingles", set_overlap, percent)
+        return checked(some, classes, percent, set_overlap)
 
     def similar(some):
-        return exact(checked(some, classes, "wide", wide_overlap, percent))
+        return exact(checked(some, classes, percent, wide_overlap, wide_bitmap))
 
     def joined(links, near):
         # one partner of each class first: that joins most copies, and spares most other checks
         some = exact(near.groupBy("b").agg(F.min("a").alias("a")))
-        links = settle(links.union(some)) if links is not None else some
-        return settle(links.union(similar(_apart(near, links))))
+        labels = settle(components(links.union(some) if links is not None else some))
+        return _stars(labels).union(similar(_apart(near, labels)))
 
     first = classes.select("class", "n", "signature", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key"))
     alone = with_parts(first, crowded).withColumn("label", F.col("class")).withColumn("cell", F.col("part"))
     links = joined(None, settle(_candidates(alone, percent, "near").distinct()))
     for _ in range(BEST_ROUNDS):
-        links = joined(links, settle(_candidates(open_cells(classes, links, crowded), percent, "best").distinct()))
-    still = _candidates(open_cells(classes, links, crowded), percent, "all").distinct()
-    return links.union(similar(still))
+        labels = settle(components(links))
+        best = _candidates(open_cells(classes, labels, crowded), percent, "best")
+        links = joined(_stars(labels), settle(best.distinct()))
+    labels = settle(components(links))
+    still = _candidates(open_cells(classes, labels, crowded), percent, "all").distinct()
+    return _stars(labels).union(similar(still))
 
 
-def open_cells(classes: DataFrame, links: DataFrame, crowded: DataFrame) -> DataFrame:
+def open_cells(classes: DataFrame, labels: DataFrame, crowded: DataFrame) -> DataFrame:
     """Rows of the keys under which classes of several components meet, dealt to cells."""
-    labels = settle(components(links))
     labelled = settle(_labelled(classes.select("class", "keys"), labels, "class", "label"))
     keyed = labelled.select("class", "label", F.explode("keys").alias("key"))
     open_keys = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -548,9 +566,11 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row of ``docs``: its id, n_shingles, and component_id, the smallest id it reaches by links."""
     pairs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    documents = document_sets(docs, doc_id, text, size)
-    before = written_paths()
-    labels = settle(components(class_links(pairs, size, percent)))
+    # a batch of 10,000 rows of long texts, or of pairs of their sets, would be most of what a task holds beside its heap
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}):
+        documents = document_sets(docs, doc_id, text, size)
+        before = written_paths()
+        labels = settle(components(class_links(pairs, size, percent)))
     classes = documents.where("class is not null").groupBy("class").agg(F.min("doc").alias("least"))
     labelled = settle(_labelled(classes, labels, "class", "label"))
     roots = labelled.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
 _tables: dict[str, str] = {}  # the catalog's name of bucketed ones, by path
+# A settled table is read instead of the plan that made it, so what that plan shuffled goes when it is written.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def settle(df: DataFrame, by: list[str] = (), buckets: int | None = None) -> DataFrame:
@@ -28,15 +30,33 @@ def settle(df: DataFrame, by: list[str] = (), buckets: int | None = None) -> Dat
     spark = df.sparkSession
     path = new_path(spark)
     if not by:
-        df.write.parquet(path)
+        with settings(spark, _WRITING):
+            df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     table = "tallymark_" + path.rsplit("-", 1)[-1]
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").bucketBy(buckets, *by).option("path", path).saveAsTable(table)
+    with settings(spark, _WRITING):
+        df.write.format("parquet").bucketBy(buckets, *by).option("path", path).saveAsTable(table)
     _tables[path] = table
     return spark.table(table)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session for the jobs that run inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 @contextmanager
 def settled_here(spark: SparkSession):
     """Drops at its end what was settled inside, also where it ends by an error."""

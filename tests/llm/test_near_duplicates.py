@@ -343,3 +343,35 @@ def test_parts_in_another_order_against_sql(spark, tmp_path):
     got = QUERIES["op5_benchmark_decontamination"](spark, str(tmp_path))
     assert {r.doc_id for r in got.collect()} == {0, 1, 3}
     assert oracle.spark_rows(got) == oracle.duck_rows(oracle.connect(str(tmp_path)), ORACLES["op5_benchmark_decontamination"])
+
+
+def test_batches_are_bounded_while_the_join_runs(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    settle = jaccard_join.settle
+
+    def noted(df, *args, **more):
+        seen.append(spark.conf.get(name))
+        return settle(df, *args, **more)
+
+    monkeypatch.setattr(jaccard_join, "settle", noted)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, f"{text} x"), (3, "other words here")], "doc_id long, text string")
+    assert [r[2] for r in found(docs, 4, 85)] == [1, 1, 3]
+    assert set(seen[:-2]) == {str(jaccard_join.BATCH_BYTES)} and spark.conf.get(name) == before
+
+
+def test_classes_hold_no_second_form_of_their_sets(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choices(words, k=300)) for _ in range(6)]
+    docs = spark.createDataFrame([(i, t + end) for i, t in enumerate(texts) for end in ("", " more")], "doc long, text string")
+    shared = jaccard_join.shared_keys(docs, 4, 85)
+    classes = jaccard_join.class_keys(docs, shared, 4, 85)
+    assert classes.columns == ["class", "n", "signature", "keys", "shingles"]
+    names = [r[0] for r in classes.select("class").distinct().collect()]
+    assert len(names) == 12
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a < b], "a long, b long")
+    exact = {tuple(r) for r in jaccard_join.checked(pairs, classes, 85, jaccard_join.set_overlap).collect()}
+    wide = jaccard_join.checked(pairs, classes, 85, jaccard_join.wide_overlap, jaccard_join.wide_bitmap)
+    assert len(exact) == 6 and exact <= {tuple(r) for r in wide.collect()}
