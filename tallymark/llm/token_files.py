@@ -33,6 +33,7 @@ from .files import opened, publish
 from .text import one_by_one
 
 KEPT_WORDS = 600_000  # words a worker keeps, and as many from before
+NEAR = "\u024f"  # last character whose class all releases of Unicode tables agree on, see bpe.FAR
 LEAD = 64
 FILE_TOKENS = 1 << 22  # a file ends with the document that reaches so many
 MISSING = -(2**63)  # stands for a missing id in a file
@@ -70,6 +71,8 @@ class LibraryVocabulary(Vocabulary):
         super().__init__(path)
         self.model = self.rules.model
         self.letter_of = {b: c for c, b in self.byte_of.items()}
+        near = map(chr, range(0x80, ord(NEAR) + 1))
+        self.letters_of = {ord(c): c.encode().decode("latin-1").translate(self.letter_of) for c in near}
         self.as_bytes = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
         self.special_ids = {word: self.words.ids[i] for word, i in self.words.items()}
         self.kept = _Kept(self)
@@ -79,16 +82,19 @@ class LibraryVocabulary(Vocabulary):
             yield b"".join(map(self.kept.__getitem__, self.parts(text)))
 
     def ids_of(self, word: str) -> bytes:
-        if word.isascii() and word.isprintable():  # letters that stand for themselves
+        plain = word.isascii()
+        if plain or max(word) <= NEAR:
             if word.isalpha():  # one piece
-                return self._of_letters(word)
+                return self._of_letters(word if plain else word.translate(self.letters_of))
             if word[:-1].isalpha() and word[-1] in ".,;:!?":  # two
                 return self.kept[word[:-1]] + self.kept[word[-1]]
-            return b"".join(map(self._of_letters, PIECES.findall(word)))
+            if plain and word.isprintable():  # letters that stand for themselves
+                return b"".join(map(self._of_letters, PIECES.findall(word)))
         return b"".join(map(self._of_piece, self.pieces(word)))
 
     def _of_letters(self, letters: str) -> bytes:
-        return b"".join([self.as_bytes[t.id] for t in self.model.tokenize(letters)])
+        tokens, as_bytes = self.model.tokenize(letters), self.as_bytes
+        return b"".join([as_bytes[t.id] for t in tokens]) if len(tokens) > 1 else as_bytes[tokens[0].id]
 
     def _of_piece(self, piece: bytes) -> bytes:
         return self._of_letters(piece.decode("latin-1").translate(self.letter_of))

@@ -230,3 +230,16 @@ def test_query_counts_every_token(spark):
     vocabulary, _ = token_counts.encoding(RANKS, public_tokenizers.PATTERN)
     total = QUERIES["op3_token_counts"](spark, SF).agg(F.sum("n_tokens")).first()[0]
     assert total == sum(len(vocabulary.encode_ordinary(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+
+
+def test_words_beyond_ascii_are_one_look_each(library, monkeypatch):
+    vocabulary = token_files.LibraryVocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(vocabulary, "pieces", None)  # the way for words of other kinds
+    words = ["ouanqué", "ÉLÈVE,", "straße.", "œuvre", "ªº", "ǅx", "ɏɏ", "naïve!", "é", "é,", "abc", "a-b", "x1,"]
+    for word in words:
+        ids = library.encode(word, add_special_tokens=False).ids
+        assert list(np.frombuffer(b"".join(vocabulary.encode([word])), "<u4")) == ids, word
+    monkeypatch.undo()
+    for word in ["é-è", "é1", "日本,", "ɐb", "é\u0301", "·é", "é\u00ad", "×", "ʼn't", "é's", "\u024f\u0250", "é\u2019s", "e\u0301."]:
+        ids = library.encode(word, add_special_tokens=False).ids
+        assert list(np.frombuffer(b"".join(vocabulary.encode([word])), "<u4")) == ids, word
