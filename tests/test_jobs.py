@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from pathlib import Path
+
 import pytest
 from helpers import optimized, plan, rows, sort_rows
+from pyspark.sql import functions as F
 from tallymark.operators.reconcile import differing_ranges, reconcile
+from tallymark.operators.settle import settle
 from tallymark.plans.check import check_report
 from tallymark.plans.release import release_duplicates, release_students, release_table
 from tallymark.plans.reports import assemble, growth_rates, level_report, stack_levels
@@ -208,3 +213,20 @@ def test_keys_with_several_measures_are_compared(spark):
     assert rows(reconcile(df, other, ["k"], ("m", "n"), [], ranges=8)) == rows(reconcile(df, other, ["k"], ("m", "n"), []))
     with pytest.raises(Exception, match="more than one row"):
         reconcile(df, other, ["k"], ("m", "n"), [], expect="one", ranges=8).collect()
+
+
+def test_settling_leaves_no_shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+
+    def shuffled():
+        return {f for folder in folders for f in Path(folder.toString()).rglob("shuffle_*.data")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffled(), spark.conf.get(name, None)
+    made = settle(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count())
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert made.count() == 100 and spark.conf.get(name, None) == setting
