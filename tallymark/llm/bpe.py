@@ -10,7 +10,7 @@ index. Merges never cross words, so the order within each word is that of BPE.
 The vocabulary is a file of the tokenizers library with an end-of-word suffix
 (lower case, white space dropped). Its special tokens are found in the raw text
 and kept. Texts are read whole. Each worker keeps the words it has encoded, a
-bounded number of them.
+bounded number of them, until another operator needs the memory (``kept``).
 
 Defined results: a missing or empty text has no tokens and decodes to an empty
 text. Repeated rows each get their tokens. Other columns pass through; columns
@@ -23,7 +23,6 @@ import heapq
 import json
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
+from .kept import kept
 from .text import one_by_one
 
 # The pattern of the vocabulary's pieces.
@@ -252,7 +252,7 @@ def _apart(places: np.ndarray, after: np.ndarray) -> np.ndarray:
     return places[(run - begins) % 2 == 0]
 
 
-@lru_cache(2)
+@kept(2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 

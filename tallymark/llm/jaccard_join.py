@@ -13,7 +13,9 @@ by chance:
 3. Within a key, classes are rows under a signature tree: a node holds the OR of
    its rows' token bitmaps and the range of their sizes. A traversal of pairs of
    nodes drops those whose sizes or bits rule out the overlap that the
-   threshold needs, and those that are in one component already.
+   threshold needs, and those that are in one component already. Pairs of rows are
+   also held against parities of their shingles' hashes: long sets fill a bitmap,
+   while parities differ in no more bits than the sets do in shingles.
 4. Pairs that are left are checked with larger bitmaps, then with the sets.
 
 Step 3 runs several times. First, under the ``FIRST_KEYS`` smallest of its shared keys, each
@@ -39,6 +41,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.settle import drop_paths, settings, settle, written_paths
 from .components import components
+from .kept import alone
 from .marks import bit_field, may_hold
 from .text import chunks, mix, sequences
 
@@ -47,11 +50,13 @@ GROWTH = 140  # percent by which a range of sizes ends above its begin
 SPARE = 6  # a spare segment for so many others
 FIRST_KEYS = 4  # keys of a class under which neighbours are compared
 SIGNATURE = 1024  # bits of a token bitmap in a tree
+PARITY = 2048  # bits of a row's parities, which tell long sets apart where the bitmap is full
 WIDE = 8  # bits per shingle of the larger bitmaps
 LEAF, FAN = 16, 8  # rows of a leaf, children of a node
 NEIGHBOURS = 3  # rows of its cell with which a row is compared first: the cell's first and those before it
 BEST_ROUNDS = 1  # traversals for the best partner of each row before the one for all
 CELL_ROWS = 1024
+PAIRS_AT_ONCE = 16_384  # pairs of rows whose bits are compared at once
 BATCH_BYTES = 2 << 20  # bytes of texts or sets that go to Python at once, or one row's
 PAIRS = 1_000_000  # pairs that a task holds to hand on each once
 ROW = "__row"  # column of row keys while one row of each component is chosen
@@ -104,7 +109,7 @@ def document_sets(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFra
                 rows = []
         yield _made(rows, _DOCUMENT)
 
-    return settle(pairs.mapInArrow(run, "doc long, n long, class long"))
+    return settle(pairs.mapInArrow(alone(run), "doc long, n long, class long"))
 
 
 _DOCUMENT = pa.schema([(c, pa.int64()) for c in ("doc", "n", "class")])
@@ -157,6 +162,15 @@ def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(out, bitorder="little")
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Bytes whose bit p is set if an odd number of shingles are p modulo ``PARITY``, by other bits than ``bitmap``.
+
+    Sets that differ in d shingles differ in d bits at most.
+    """
+    place = ((shingles >> np.uint64(20)) & np.uint64(PARITY - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=PARITY) & 1).astype(np.uint8), bitorder="little")
+
+
 def wide_bitmap(shingles: bytes) -> bytes:
     """The larger bitmap of a set."""
     found = np.frombuffer(shingles, np.uint64)
@@ -185,7 +199,7 @@ def shared_keys(pairs: DataFrame, size: int, percent: int) -> DataFrame:
         if held:
             yield _key_rows(keys, names)
 
-    rows = pairs.mapInArrow(run, "key long, class long")
+    rows = pairs.mapInArrow(alone(run), "key long, class long")
     least_most = rows.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b"), F.count("*").alias("rows"))
     return settle(least_most.where("a < b").select("key", "rows"))
 
@@ -196,7 +210,7 @@ def _key_rows(keys, names):
 
 
 def class_keys(pairs: DataFrame, shared: DataFrame, size: int, percent: int) -> DataFrame:
-    """(class, n, signature, keys, shingles): classes with a key that others may have too; copies of a
+    """(class, n, signature, parity, keys, shingles): classes with a key that others may have too; copies of a
     class that tasks met apart are rows of their own."""
     field = pairs.sparkSession.sparkContext.broadcast(bit_field(shared, "key", _field_bits(shared.count())))
 
@@ -207,8 +221,8 @@ def class_keys(pairs: DataFrame, shared: DataFrame, size: int, percent: int) ->
                 keys = segment_keys(found, percent)
                 keys = keys[may_hold(field.value, keys)].view(np.int64)
                 if len(keys):
-                    signature = bitmap(found, SIGNATURE).tobytes()
-                    rows.append((name, len(found), signature, np.sort(keys).tolist(), found.tobytes()))
+                    signature, parity = bitmap(found, SIGNATURE).tobytes(), parities(found).tobytes()
+                    rows.append((name, len(found), signature, parity, np.sort(keys), found.tobytes()))
                     held += len(found)
             if held >= 200_000:
                 yield _made(rows, _CLASS)
@@ -216,8 +230,8 @@ def class_keys(pairs: DataFrame, shared: DataFrame, size: int, percent: int) ->
         if rows:
             yield _made(rows, _CLASS)
 
-    columns = "class long, n long, signature binary, keys array<long>, shingles binary"
-    found = settle(pairs.mapInArrow(run, columns))
+    columns = "class long, n long, signature binary, parity binary, keys array<long>, shingles binary"
+    found = settle(pairs.mapInArrow(alone(run), columns))
     field.destroy()
     return found
 
@@ -237,8 +251,8 @@ def with_parts(rows: DataFrame, crowded: DataFrame) -> DataFrame:
 
 
 _CLASS = pa.schema([
-    ("class", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("keys", pa.list_(pa.int64())),
-    ("shingles", pa.binary()),
+    ("class", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("parity", pa.binary()),
+    ("keys", pa.list_(pa.int64())), ("shingles", pa.binary()),
 ])
 
 
@@ -251,8 +265,12 @@ class Rows:
 
         self.cell, self.key = numbers("cell"), numbers("key")
         self.name, self.n, self.label = numbers("class"), numbers("n"), numbers("label")
-        raw = b"".join(batch.column(batch.schema.get_field_index("signature")).to_pylist())
-        self.bits = np.frombuffer(raw, np.uint64).reshape(-1, SIGNATURE // 64)
+        def bits(name):
+            return np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(name)).to_pylist()), np.uint64)
+
+        self.bits = bits("signature").reshape(-1, SIGNATURE // 64)
+        # rows without parities are told apart by the rest
+        self.parity = bits("parity").reshape(-1, PARITY // 64) if "parity" in batch.schema.names else None
         self.surplus = self.n - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
 
     def similar(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -265,16 +283,24 @@ class Rows:
         a, b = self.bits[i], self.bits[j]
         lost = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
         also = np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
-        more = np.minimum(n - lost, m - also) - _needed(n, m, percent)
+        common = np.minimum(n - lost, m - also)
+        if self.parity is not None:
+            differ = np.bitwise_count(self.parity[i] ^ self.parity[j]).sum(axis=1, dtype=np.int64)
+            common = np.minimum(common, (n + m - differ) // 2)
+        more = common - _needed(n, m, percent)
         keep = more >= 0
         return i[keep], j[keep], (more / (n + m))[keep]
 
 
+def _places(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row stands, and where its cell begins."""
+    new = np.concatenate([[True], rows.cell[1:] != rows.cell[:-1]])
+    return np.arange(len(rows.cell)), np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
 def near_pairs(rows: Rows):
     """Pairs of each row with the first row of its cell and those just before it."""
-    new = np.concatenate([[True], rows.cell[1:] != rows.cell[:-1]])
-    begin = np.flatnonzero(new)[np.cumsum(new) - 1]
-    place = np.arange(len(rows.cell))
+    place, begin = _places(rows)
     found = []
     for step in range(1, NEIGHBOURS):
         j = place[place - begin >= step]
@@ -375,8 +401,8 @@ def _allowed(some: Rows, percent: int, mode: str):
     """Pairs of rows, some at a time, that sizes and bits allow."""
     if mode == "near":
         i, j = near_pairs(some)
-        for at in range(0, len(i), 65536):
-            yield some.similar(i[at : at + 65536], j[at : at + 65536], percent)[:2]
+        for at in range(0, len(i), PAIRS_AT_ONCE):
+            yield some.similar(i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE], percent)[:2]
         return
     edges = np.append(np.flatnonzero(np.concatenate([[True], some.cell[1:] != some.cell[:-1]])), len(some.cell))
     for begin, end in zip(edges[:-1], edges[1:]):
@@ -412,7 +438,8 @@ def _candidates(rows: DataFrame, percent: int, mode: str) -> DataFrame:
             yield _pair_batch(_distinct(held))
 
     ordered = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "class")
-    return ordered.select("key", "cell", "class", "n", "label", "signature").mapInArrow(run, "a long, b long")
+    columns = ordered.select("key", "cell", "class", "n", "label", "signature", "parity")
+    return columns.mapInArrow(alone(run), "a long, b long")
 
 
 def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
@@ -485,7 +512,7 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int, overlap, form=None)
                 some = pa.record_batch([some.column(0), some.column(1), made], names=some.schema.names)
             yield some
 
-    some = sets.select("class", "n", "shingles").mapInArrow(needed, "class long, n long, shingles binary")
+    some = sets.select("class", "n", "shingles").mapInArrow(alone(needed), "class long, n long, shingles binary")
     some = some.dropDuplicates(["class"])
     left = some.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("of_a"))
     right = some.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("of_b"))
@@ -499,7 +526,7 @@ def checked(pairs: DataFrame, sets: DataFrame, percent: int, overlap, form=None)
                 keep += [overlap(*v) >= _needed(v[0], v[2], percent) for v in zip(n, x, m, y)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = settle(pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct())
+    found = settle(pairs.join(left, "a").join(right, "b").mapInArrow(alone(run), "a long, b long").distinct())
     field.destroy()
     return found
 
@@ -538,7 +565,7 @@ def class_links(pairs: DataFrame, size: int, percent: int) -> DataFrame:
         labels = settle(components(links.union(some) if links is not None else some))
         return _stars(labels).union(similar(_apart(near, labels)))
 
-    first = classes.select("class", "n", "signature", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key"))
+    first = classes.select("class", "n", "signature", "parity", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key"))
     alone = with_parts(first, crowded).withColumn("label", F.col("class")).withColumn("cell", F.col("part"))
     links = joined(None, settle(_candidates(alone, percent, "near").distinct()))
     for _ in range(BEST_ROUNDS):
@@ -557,7 +584,7 @@ def open_cells(classes: DataFrame, labels: DataFrame, crowded: DataFrame) -> Dat
     open_keys = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     open_keys = settle(open_keys.where("low < high").select("key"))
     left = settle(keyed.join(open_keys, "key", "left_semi").distinct())
-    signed = classes.select("class", "n", "signature").join(left.select("class").distinct(), "class", "left_semi")
+    signed = classes.select("class", "n", "signature", "parity").join(left.select("class").distinct(), "class", "left_semi")
     return crowded_cells(left, crowded).join(signed.dropDuplicates(["class"]), "class")
 
 

@@ -5,12 +5,13 @@ from collections import Counter
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 import regex
 from awkward import empty, frame
 from pyspark.sql import functions as F
 
-from tallymark.llm import decontaminate, jaccard_join
+from tallymark.llm import bpe, decontaminate, jaccard_join
 from tallymark.llm.components import components
 from tallymark.llm.queries import ORACLES, QUERIES
 
@@ -375,3 +376,55 @@ def test_classes_hold_no_second_form_of_their_sets(spark):
     exact = {tuple(r) for r in jaccard_join.checked(pairs, classes, 85, jaccard_join.set_overlap).collect()}
     wide = jaccard_join.checked(pairs, classes, 85, jaccard_join.wide_overlap, jaccard_join.wide_bitmap)
     assert len(exact) == 6 and exact <= {tuple(r) for r in wide.collect()}
+
+
+def placed(sets, cells, **more):
+    columns = {
+        "key": cells, "cell": [0] * len(sets), "class": range(len(sets)), "n": [len(s) for s in sets], "label": range(len(sets)),
+        "signature": [jaccard_join.bitmap(s, jaccard_join.SIGNATURE).tobytes() for s in sets], **more,
+    }
+    return pa.record_batch([pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def test_long_texts_that_share_a_part_are_told_apart_in_a_cell():
+    rnd = np.random.default_rng(8)
+    base = rnd.integers(0, 2**64, 1500, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[:900], rnd.integers(0, 2**64, 600, dtype=np.uint64)])) for _ in range(60)]
+    sets += [np.unique(np.concatenate([base[n:], rnd.integers(0, 2**64, n, dtype=np.uint64)])) for n in range(0, 150, 10)]
+    batch = placed(sets, [7] * len(sets), parity=[jaccard_join.parities(s).tobytes() for s in sets])
+    rows = next(jaccard_join._cells([batch]))
+    got = {(a, b) for i, j in jaccard_join._allowed(rows, 80, "all") for a, b in zip(i.tolist(), j.tolist())}
+    similar = set()
+    for i in range(len(sets)):
+        for j in range(i + 1, len(sets)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                similar.add((i, j))
+    assert similar and similar <= got
+    assert len(got) < 2 * len(similar)
+
+
+def test_parities_never_differ_in_more_bits_than_sets_in_shingles():
+    rnd = np.random.default_rng(9)
+    for n in (0, 1, 50, 3000, 20_000):
+        a = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+        for lost in (0, 1, 30, n):
+            b = np.unique(np.concatenate([a[lost:], rnd.integers(0, 2**64, lost // 2, dtype=np.uint64)]))
+            differ = np.bitwise_count(jaccard_join.parities(a) ^ jaccard_join.parities(b)).sum()
+            assert differ <= len(np.setxor1d(a, b))
+
+
+def test_tasks_of_the_join_hold_nothing_of_other_operators():
+    from tallymark.llm import kept
+
+    @kept.kept(2)
+    def words(n):
+        return list(range(n))
+
+    words(5)
+    task = kept.alone(lambda batches: ((b, words.cache_info().currsize) for b in batches))
+    assert list(task([1, 2])) == [(1, 0), (2, 0)]
+    words(5)
+    kept.release()
+    assert words.cache_info().currsize == 0 and words(3) == [0, 1, 2]
+    assert bpe.vocabulary.cache_clear in kept._clear
