@@ -15,7 +15,8 @@ by chance:
    nodes drops those whose sizes or bits rule out the overlap that the
    threshold needs, and those that are in one component already. Pairs of rows are
    also held against parities of their shingles' hashes: long sets fill a bitmap,
-   while parities differ in no more bits than the sets do in shingles.
+   while parities differ in no more bits than the sets do in shingles. Keys with
+   one leaf of rows, which are most, have their pairs made together.
 4. Pairs that are left are checked with larger bitmaps, then with the sets.
 
 Step 3 runs several times. First, under the ``FIRST_KEYS`` smallest of its shared keys, each
@@ -35,6 +36,8 @@ documents each. An empty table gives an empty table.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -65,7 +68,11 @@ SEEN_CLASSES = 200_000  # classes of which a task remembers that it has handed t
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of runs of ``size`` words; the whole sequence if it is shorter."""
-    return np.unique(sequences(words, min(size, len(words)))) if len(words) else words[:0]
+    if not len(words):
+        return words[:0]
+    found = sequences(words, min(size, len(words)))
+    found.sort()
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def digest(shingles: np.ndarray) -> int:
@@ -310,6 +317,19 @@ def near_pairs(rows: Rows):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def leaf_pairs(rows: Rows):
+    """All pairs of rows (i < j) in each cell that is one leaf, of all such cells together, some at a time."""
+    place, begin = _places(rows)
+    single = np.bincount(begin, minlength=len(place))[begin] <= LEAF
+    place, begin = place[single], begin[single]
+    for step in range(1, LEAF):
+        later = place - begin >= step
+        place, begin = place[later], begin[later]
+        for at in range(0, len(place), PAIRS_AT_ONCE):
+            j = place[at : at + PAIRS_AT_ONCE]
+            yield j - step, j
+
+
 class Tree:
     """Signature tree over rows [begin, end): levels of nodes, the leaves first."""
 
@@ -405,8 +425,11 @@ def _allowed(some: Rows, percent: int, mode: str):
             yield some.similar(i[at : at + PAIRS_AT_ONCE], j[at : at + PAIRS_AT_ONCE], percent)[:2]
         return
     edges = np.append(np.flatnonzero(np.concatenate([[True], some.cell[1:] != some.cell[:-1]])), len(some.cell))
-    for begin, end in zip(edges[:-1], edges[1:]):
-        found = (some.similar(i, j, percent) for i, j in Tree(some, begin, end).pairs(percent))
+    large = np.flatnonzero(np.diff(edges) > LEAF)
+    # most cells are one leaf: their pairs are made together
+    trees = (Tree(some, begin, end).pairs(percent) for begin, end in zip(edges[large], edges[large + 1]))
+    for pairs in chain([leaf_pairs(some)], trees):
+        found = (some.similar(i, j, percent) for i, j in pairs)
         if mode == "best":
             if found := list(found):
                 yield _best(*(np.concatenate(x) for x in zip(*found)))

@@ -414,6 +414,37 @@ def test_parities_never_differ_in_more_bits_than_sets_in_shingles():
             assert differ <= len(np.setxor1d(a, b))
 
 
+@pytest.mark.parametrize("mode", ["all", "best"])
+def test_small_cells_need_no_tree_each(mode, monkeypatch):
+    rnd = np.random.default_rng(10)
+    made = []
+
+    class Counted(jaccard_join.Tree):
+        def __init__(self, *args):
+            made.append(args)
+            super().__init__(*args)
+
+    monkeypatch.setattr(jaccard_join, "Tree", Counted)
+    monkeypatch.setattr(jaccard_join, "PAIRS_AT_ONCE", 7)
+    sets, cells = [], []
+    for cell, rows in enumerate([1, 2, 3, 16, 17, 40, 1, 5, 16, 2]):
+        base = rnd.integers(0, 2**64, 100, dtype=np.uint64)
+        some = [np.unique(np.concatenate([base[k:], rnd.integers(0, 2**64, k, dtype=np.uint64)])) for k in rnd.integers(0, 40, rows)]
+        sets += sorted(some, key=len)
+        cells += [cell] * rows
+    parity = [jaccard_join.parities(s).tobytes() for s in sets]
+    rows = jaccard_join._whole(pa.Table.from_batches([placed(sets, cells, parity=parity)]))
+    pairs = [(i, j) for x in jaccard_join._allowed(rows, 80, mode) for i, j in zip(*(y.tolist() for y in x))]
+    assert len(made) == 2
+    i, j = np.array([(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if cells[i] == cells[j]]).T
+    i, j, score = rows.similar(i, j, 80)
+    if mode == "all":
+        assert sorted(pairs) == sorted(zip(i.tolist(), j.tolist()))
+    else:
+        best = jaccard_join._best(i, j, score)
+        assert sorted(pairs) == sorted(zip(*(x.tolist() for x in best)))
+
+
 def test_tasks_of_the_join_hold_nothing_of_other_operators():
     from tallymark.llm import kept
 
@@ -428,3 +459,11 @@ def test_tasks_of_the_join_hold_nothing_of_other_operators():
     kept.release()
     assert words.cache_info().currsize == 0 and words(3) == [0, 1, 2]
     assert bpe.vocabulary.cache_clear in kept._clear
+
+
+def test_sets_are_sorted_and_distinct():
+    rnd = np.random.default_rng(11)
+    for n in (0, 1, 3, 4, 5, 300):
+        words = rnd.integers(0, 4, n).astype(np.uint64)
+        got = jaccard_join.shingle_set(words, 4)
+        assert np.array_equal(got, np.unique(got)) and len(got) == len({tuple(words[k : k + 4]) for k in range(max(1, n - 3))} if n else ())
