@@ -217,7 +217,7 @@ def _key_rows(keys, names):
 
 
 def class_keys(pairs: DataFrame, shared: DataFrame, size: int, percent: int) -> DataFrame:
-    """(class, n, signature, parity, keys, shingles): classes with a key that others may have too; copies of a
+    """(class, n, signature, keys, shingles): classes with a key that others may have too; copies of a
     class that tasks met apart are rows of their own."""
     field = pairs.sparkSession.sparkContext.broadcast(bit_field(shared, "key", _field_bits(shared.count())))
 
@@ -228,8 +228,8 @@ def class_keys(pairs: DataFrame, shared: DataFrame, size: int, percent: int) ->
                 keys = segment_keys(found, percent)
                 keys = keys[may_hold(field.value, keys)].view(np.int64)
                 if len(keys):
-                    signature, parity = bitmap(found, SIGNATURE).tobytes(), parities(found).tobytes()
-                    rows.append((name, len(found), signature, parity, np.sort(keys), found.tobytes()))
+                    signature = bitmap(found, SIGNATURE).tobytes() + parities(found).tobytes()
+                    rows.append((name, len(found), signature, np.sort(keys), found.tobytes()))
                     held += len(found)
             if held >= 200_000:
                 yield _made(rows, _CLASS)
@@ -237,7 +237,7 @@ def class_keys(pairs: DataFrame, shared: DataFrame, size: int, percent: int) ->
         if rows:
             yield _made(rows, _CLASS)
 
-    columns = "class long, n long, signature binary, parity binary, keys array<long>, shingles binary"
+    columns = "class long, n long, signature binary, keys array<long>, shingles binary"
     found = settle(pairs.mapInArrow(alone(run), columns))
     field.destroy()
     return found
@@ -258,8 +258,8 @@ def with_parts(rows: DataFrame, crowded: DataFrame) -> DataFrame:
 
 
 _CLASS = pa.schema([
-    ("class", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("parity", pa.binary()),
-    ("keys", pa.list_(pa.int64())), ("shingles", pa.binary()),
+    ("class", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("keys", pa.list_(pa.int64())),
+    ("shingles", pa.binary()),
 ])
 
 
@@ -272,12 +272,10 @@ class Rows:
 
         self.cell, self.key = numbers("cell"), numbers("key")
         self.name, self.n, self.label = numbers("class"), numbers("n"), numbers("label")
-        def bits(name):
-            return np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(name)).to_pylist()), np.uint64)
-
-        self.bits = bits("signature").reshape(-1, SIGNATURE // 64)
-        # rows without parities are told apart by the rest
-        self.parity = bits("parity").reshape(-1, PARITY // 64) if "parity" in batch.schema.names else None
+        raw = b"".join(batch.column(batch.schema.get_field_index("signature")).to_pylist())
+        both = np.frombuffer(raw, np.uint64).reshape(len(batch), -1)
+        # the bitmap and behind it the parities; without these, rows are told apart by the rest
+        self.bits, self.parity = both[:, : SIGNATURE // 64], both[:, SIGNATURE // 64 :]
         self.surplus = self.n - np.bitwise_count(self.bits).sum(axis=1, dtype=np.int64)
 
     def similar(self, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -290,11 +288,8 @@ class Rows:
         a, b = self.bits[i], self.bits[j]
         lost = np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64)
         also = np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64)
-        common = np.minimum(n - lost, m - also)
-        if self.parity is not None:
-            differ = np.bitwise_count(self.parity[i] ^ self.parity[j]).sum(axis=1, dtype=np.int64)
-            common = np.minimum(common, (n + m - differ) // 2)
-        more = common - _needed(n, m, percent)
+        differ = np.bitwise_count(self.parity[i] ^ self.parity[j]).sum(axis=1, dtype=np.int64)
+        more = np.minimum(np.minimum(n - lost, m - also), (n + m - differ) // 2) - _needed(n, m, percent)
         keep = more >= 0
         return i[keep], j[keep], (more / (n + m))[keep]
 
@@ -461,7 +456,7 @@ def _candidates(rows: DataFrame, percent: int, mode: str) -> DataFrame:
             yield _pair_batch(_distinct(held))
 
     ordered = rows.repartition("key", "cell").sortWithinPartitions("key", "cell", "n", "class")
-    columns = ordered.select("key", "cell", "class", "n", "label", "signature", "parity")
+    columns = ordered.select("key", "cell", "class", "n", "label", "signature")
     return columns.mapInArrow(alone(run), "a long, b long")
 
 
@@ -588,7 +583,7 @@ def class_links(pairs: DataFrame, size: int, percent: int) -> DataFrame:
         labels = settle(components(links.union(some) if links is not None else some))
         return _stars(labels).union(similar(_apart(near, labels)))
 
-    first = classes.select("class", "n", "signature", "parity", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key"))
+    first = classes.select("class", "n", "signature", F.explode(F.slice("keys", 1, FIRST_KEYS)).alias("key"))
     alone = with_parts(first, crowded).withColumn("label", F.col("class")).withColumn("cell", F.col("part"))
     links = joined(None, settle(_candidates(alone, percent, "near").distinct()))
     for _ in range(BEST_ROUNDS):
@@ -607,7 +602,7 @@ def open_cells(classes: DataFrame, labels: DataFrame, crowded: DataFrame) -> Dat
     open_keys = keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     open_keys = settle(open_keys.where("low < high").select("key"))
     left = settle(keyed.join(open_keys, "key", "left_semi").distinct())
-    signed = classes.select("class", "n", "signature", "parity").join(left.select("class").distinct(), "class", "left_semi")
+    signed = classes.select("class", "n", "signature").join(left.select("class").distinct(), "class", "left_semi")
     return crowded_cells(left, crowded).join(signed.dropDuplicates(["class"]), "class")
 
 

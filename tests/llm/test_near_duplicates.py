@@ -378,10 +378,11 @@ def test_classes_hold_no_second_form_of_their_sets(spark):
     assert len(exact) == 6 and exact <= {tuple(r) for r in wide.collect()}
 
 
-def placed(sets, cells, **more):
+def placed(sets, cells):
+    signatures = [jaccard_join.bitmap(s, jaccard_join.SIGNATURE).tobytes() + jaccard_join.parities(s).tobytes() for s in sets]
     columns = {
         "key": cells, "cell": [0] * len(sets), "class": range(len(sets)), "n": [len(s) for s in sets], "label": range(len(sets)),
-        "signature": [jaccard_join.bitmap(s, jaccard_join.SIGNATURE).tobytes() for s in sets], **more,
+        "signature": signatures,
     }
     return pa.record_batch([pa.array(c) for c in columns.values()], names=list(columns))
 
@@ -391,7 +392,7 @@ def test_long_texts_that_share_a_part_are_told_apart_in_a_cell():
     base = rnd.integers(0, 2**64, 1500, dtype=np.uint64)
     sets = [np.unique(np.concatenate([base[:900], rnd.integers(0, 2**64, 600, dtype=np.uint64)])) for _ in range(60)]
     sets += [np.unique(np.concatenate([base[n:], rnd.integers(0, 2**64, n, dtype=np.uint64)])) for n in range(0, 150, 10)]
-    batch = placed(sets, [7] * len(sets), parity=[jaccard_join.parities(s).tobytes() for s in sets])
+    batch = placed(sets, [7] * len(sets))
     rows = next(jaccard_join._cells([batch]))
     got = {(a, b) for i, j in jaccard_join._allowed(rows, 80, "all") for a, b in zip(i.tolist(), j.tolist())}
     similar = set()
@@ -432,8 +433,7 @@ def test_small_cells_need_no_tree_each(mode, monkeypatch):
         some = [np.unique(np.concatenate([base[k:], rnd.integers(0, 2**64, k, dtype=np.uint64)])) for k in rnd.integers(0, 40, rows)]
         sets += sorted(some, key=len)
         cells += [cell] * rows
-    parity = [jaccard_join.parities(s).tobytes() for s in sets]
-    rows = jaccard_join._whole(pa.Table.from_batches([placed(sets, cells, parity=parity)]))
+    rows = jaccard_join._whole(pa.Table.from_batches([placed(sets, cells)]))
     pairs = [(i, j) for x in jaccard_join._allowed(rows, 80, mode) for i, j in zip(*(y.tolist() for y in x))]
     assert len(made) == 2
     i, j = np.array([(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if cells[i] == cells[j]]).T
